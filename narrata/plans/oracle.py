@@ -152,3 +152,41 @@ spl AS (
     CASE WHEN _r <= (_n * 7 + 5) // 10 THEN 'train'
          WHEN _r <= (_n * 85 + 50) // 100 THEN 'val' ELSE 'test' END AS split
   FROM sr)"""
+
+
+def round_half_up_sql(x: str, d: int) -> str:
+    """Spark's ``round`` (HALF_UP on the shortest decimal text of a double)."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 12)), {d}) AS DOUBLE)"
+
+
+def per_class_ctes(src: str, model: bool = False, prefix: str = "") -> str:
+    """CTEs {prefix}cnt, cls, pc: per-class tp/support/predicted/P/R/F1."""
+    m = "model, " if model else ""
+    k = "model, cls" if model else "cls"
+    p = prefix
+    return f"""{p}cnt AS (SELECT {m}y_true AS t, y_pred AS p, count(*) AS n FROM {src} GROUP BY ALL),
+{p}cls AS (SELECT DISTINCT {m}t AS cls FROM {p}cnt UNION SELECT DISTINCT {m}p AS cls FROM {p}cnt),
+{p}tp AS (SELECT {m}t AS cls, n AS tp FROM {p}cnt WHERE t = p),
+{p}sup AS (SELECT {m}t AS cls, sum(n) AS support FROM {p}cnt GROUP BY ALL),
+{p}prd AS (SELECT {m}p AS cls, sum(n) AS predicted FROM {p}cnt GROUP BY ALL),
+{p}pc0 AS (SELECT c.*, coalesce(tp, 0) AS tp, coalesce(support, 0) AS support,
+                  coalesce(predicted, 0) AS predicted
+           FROM {p}cls c LEFT JOIN {p}tp USING ({k}) LEFT JOIN {p}sup USING ({k})
+                         LEFT JOIN {p}prd USING ({k})),
+{p}pc AS (SELECT *, CASE WHEN predicted > 0 THEN CAST(tp AS DOUBLE) / predicted ELSE 0.0 END AS precision,
+                 CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0.0 END AS recall,
+                 CASE WHEN support + predicted > 0 THEN 2.0 * tp / (support + predicted) ELSE 0.0 END AS f1
+          FROM {p}pc0)"""
+
+
+def summary_select(pc: str = "pc", model: bool = False, digits: int = 6) -> str:
+    m = "model, " if model else ""
+    g = "GROUP BY model" if model else ""
+
+    def r(x):
+        return f"round({x}, {digits})"
+    return f"""SELECT {m}{r('CAST(sum(tp) AS DOUBLE) / sum(support)')} AS accuracy,
+  {r('avg(precision)')} AS precision_macro, {r('avg(recall)')} AS recall_macro,
+  {r('avg(f1)')} AS f1_macro, {r('sum(f1 * support) / sum(support)')} AS f1_weighted,
+  CAST(sum(support) AS BIGINT) AS n
+FROM {pc} {g}"""

@@ -102,3 +102,94 @@ SELECT doc_id AS complaint_id,
   lang AS company_response,
   CASE WHEN doc_id % 2 = 0 THEN 'Yes' ELSE 'No' END AS timely
 FROM documents"""
+
+
+# --------------------------------------------------------------------------
+# F-pred / F-models / F-pred-big: prediction tables from embeddings / orders
+# --------------------------------------------------------------------------
+
+N_PRED_CLASSES = 10
+PRED_LABELS = [f"label_{i}" for i in range(N_PRED_CLASSES)]
+MODEL_SCALES = [("m1", 4), ("m2", 8), ("m3", 12)]
+
+
+def pred_logits(emb: DataFrame, scale: float = 8, bump: float = 3,
+                n: int = N_PRED_CLASSES) -> DataFrame:
+    """(id, y_true, logits): logit i = e[i]*scale (+bump on the true class
+    unless id % 4 = 0), first ``n`` dimensions."""
+    logits = F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        lambda i: F.element_at("embedding", i + 1).cast("double") * F.lit(float(scale))
+        + F.when((i == F.col("label")) & (F.col("vec_id") % 4 != 0), F.lit(float(bump)))
+           .otherwise(F.lit(0.0)))
+    return emb.select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("y_true"),
+                      logits.alias("logits"))
+
+
+def predictions(spark: SparkSession, sf_dir: str, scale: float = 8) -> DataFrame:
+    """F-pred: (id, y_true, y_pred, confidence, proba, text)."""
+    from narrata.operators.pooling import argmax, softmax
+    emb = read_table(spark, sf_dir, "embeddings")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_docs = docs.agg(F.count(F.lit(1)).alias("_nd"))
+    p = pred_logits(emb, scale).withColumn("proba", softmax("logits"))
+    p = p.withColumn("y_pred", argmax("proba")).withColumn("confidence", F.array_max("proba"))
+    # text of document (id mod #documents); the one-row count joins on a constant
+    p = p.withColumn("_one", F.lit(1)).join(n_docs.withColumn("_one", F.lit(1)), "_one")
+    p = p.withColumn("_doc", F.col("id") % F.col("_nd"))
+    return (p.join(docs, p["_doc"] == docs["doc_id"], "left")
+             .select("id", "y_true", "y_pred", "confidence", "proba", "text"))
+
+
+def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-models: F-pred under three logit scales, column ``model``."""
+    out = None
+    for name, scale in MODEL_SCALES:
+        p = predictions(spark, sf_dir, scale).withColumn("model", F.lit(name))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def big_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-pred-big from orders: 5 classes from the order priority digit."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    t = (F.substring("o_orderpriority", 1, 1).cast("int") - 1)
+    bad = F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 1) >= F.lit("b")
+    return o.select(F.col("o_orderkey").alias("id"), t.alias("y_true"),
+                    F.when(bad, (t + 1 + F.col("o_orderkey") % 4) % 5).otherwise(t)
+                    .cast("int").alias("y_pred"))
+
+
+def logits_sql(scale: float = 8, bump: float = 3, n: int = N_PRED_CLASSES) -> str:
+    return (f"list_transform(generate_series(0, {n - 1}), lambda i: "
+            f"CAST(embedding[i + 1] AS DOUBLE) * {float(scale)} + "
+            f"CASE WHEN i = label AND vec_id % 4 <> 0 THEN {float(bump)} ELSE 0.0 END)")
+
+
+def predictions_sql(scale: float = 8, name: str = "pred") -> str:
+    """CTE ``name``: (id, y_true, y_pred, confidence, proba, text)."""
+    lg = logits_sql(scale)
+    return f"""{name}_l AS (SELECT vec_id AS id, CAST(label AS INTEGER) AS y_true, {lg} AS logits
+             FROM embeddings),
+{name}_e AS (SELECT id, y_true, list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex
+             FROM {name}_l),
+{name}_p AS (SELECT id, y_true, list_transform(ex, lambda x: x / list_sum(ex)) AS proba FROM {name}_e),
+{name} AS (SELECT p.id, p.y_true, CAST(list_position(proba, list_max(proba)) - 1 AS INTEGER) AS y_pred,
+                  list_max(proba) AS confidence, proba, d.text
+           FROM {name}_p p LEFT JOIN documents d
+             ON d.doc_id = p.id % (SELECT count(*) FROM documents))"""
+
+
+def models_sql() -> str:
+    parts = [predictions_sql(s, n) for n, s in MODEL_SCALES]
+    union = " UNION ALL ".join(f"SELECT *, '{n}' AS model FROM {n}" for n, _ in MODEL_SCALES)
+    return ",\n".join(parts) + f",\nmodels AS ({union})"
+
+
+def big_predictions_sql() -> str:
+    return """bigp AS (
+  SELECT o_orderkey AS id, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1 AS y_true,
+    CAST(CASE WHEN substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) >= 'b'
+         THEN (CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1 + 1 + o_orderkey % 4) % 5
+         ELSE CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1 END AS INTEGER) AS y_pred
+  FROM orders)"""
