@@ -31,5 +31,6 @@ def load_all() -> None:
     from narrata.plans import queries_core  # noqa: F401
     from narrata.plans import queries_profile  # noqa: F401
     from narrata.plans import queries_eval  # noqa: F401
+    from narrata.plans import queries_io  # noqa: F401
     from narrata.plans import queries_features  # noqa: F401
     from narrata.plans import queries_models  # noqa: F401

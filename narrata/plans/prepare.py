@@ -55,3 +55,29 @@ def triage_counts(raw: DataFrame) -> DataFrame:
     """The flagship slice: prepared rows counted by product and priority."""
     return filter_and_clean(raw).groupBy("product", "priority").agg(
         F.count(F.lit(1)).alias("n"))
+
+
+def clean_new_batch(new_raw: DataFrame, date_cutoff: str = DATE_CUTOFF,
+                    min_words: int = MIN_WORD_COUNT) -> DataFrame:
+    """Filters and derivations for a newly fetched batch of one class:
+    word count, date, first-wins dedup, cleaning, issue groups, priority."""
+    df = filter_min_words(new_raw, min_words)
+    df = filter_date_cutoff(df, date_cutoff)
+    df = dedup_first(df, "narrative", "complaint_id")
+    df = add_issue_groups(preprocess_texts(df))
+    return df.withColumn("priority", score_priority("narrative"))
+
+
+def class_refresh(full: DataFrame, new_rows: DataFrame, product: str = "Credit reporting",
+                  max_per_class: int = MAX_PER_CLASS, min_per_class: int = MIN_PER_CLASS,
+                  seed: int = RANDOM_SEED, split_mode: str = "exact") -> DataFrame:
+    """Replace one class: drop its old rows, add a seeded sample of at most
+    ``max_per_class`` new cleaned rows, then balance, encode and split."""
+    from narrata.operators.filters import drop_class
+    from narrata.operators.sampling import sample_k
+    kept = drop_class(full, product, "product")
+    sample = sample_k(new_rows, max_per_class, seed, "complaint_id")
+    combined = kept.unionByName(sample.select(*kept.columns))
+    df = balance_classes(combined, "product", max_per_class, min_per_class, seed)
+    df = encode_labels(df, ("product", "issue_group"))
+    return stratified_split(df, "product_encoded", seed, mode=split_mode)
