@@ -190,3 +190,35 @@ def summary_select(pc: str = "pc", model: bool = False, digits: int = 6) -> str:
   {r('avg(f1)')} AS f1_macro, {r('sum(f1 * support) / sum(support)')} AS f1_weighted,
   CAST(sum(support) AS BIGINT) AS n
 FROM {pc} {g}"""
+
+
+def textrank_sql(src: str, steps: int = 20, damping: float = 0.85, n_sentences: int = 2) -> str:
+    """Brute-force TextRank over sentence pairs (oracle only), unrolled.
+
+    ``src`` is a CTE with (id, text). Produces CTE ``summ`` (id, summary)."""
+    keep = f"CAST('{repr(1 - damping)}' AS DOUBLE)"
+    d = f"CAST('{repr(damping)}' AS DOUBLE)"
+    parts = [f"""tr_raw AS (SELECT id, unnest(generate_series(0, len(r) - 1)) AS pos, unnest(r) AS raw
+           FROM (SELECT id, regexp_extract_all(text, '[^.!?\\n]+[.!?]*') AS r FROM {src})),
+tr_s AS (SELECT id, pos, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS sentence FROM tr_raw),
+tr_t AS (SELECT id, pos, sentence, list_distinct({tokens_sql('sentence')}) AS toks FROM tr_s),
+tr_n AS (SELECT *, len(toks) AS n, ln(len(toks)) AS a FROM tr_t WHERE len(toks) > 0),
+tr_p AS (SELECT x.id, x.pos AS i, y.pos AS j, len(list_intersect(x.toks, y.toks)) / (x.a + y.a) AS w
+         FROM tr_n x JOIN tr_n y ON x.id = y.id AND x.pos <> y.pos
+         WHERE x.a + y.a > 0 AND len(list_intersect(x.toks, y.toks)) > 0),
+tr_d AS (SELECT id, i, sum(w) AS deg FROM tr_p GROUP BY ALL),
+tr_x0 AS (SELECT id, pos, 1.0::DOUBLE AS x FROM tr_n)"""]
+    for k in range(1, steps + 1):
+        parts.append(f"""tr_x{k} AS (
+  SELECT n.id, n.pos, {keep} + {d} * coalesce(z.z, 0.0) AS x FROM tr_n n LEFT JOIN (
+    SELECT p.id, p.i, sum(p.w * xp.x / dd.deg) AS z FROM tr_p p
+    JOIN tr_x{k - 1} xp ON xp.id = p.id AND xp.pos = p.j
+    JOIN tr_d dd ON dd.id = p.id AND dd.i = p.j WHERE dd.deg > 0 GROUP BY p.id, p.i) z
+  ON z.id = n.id AND z.i = n.pos)""")
+    parts.append(f"""tr_top AS (
+  SELECT s.id, s.pos, s.sentence FROM tr_n s JOIN tr_x{steps} x USING (id, pos)
+  QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY round(x.x, 9) DESC, s.pos) <= {n_sentences}),
+tr_j AS (SELECT id, string_agg(sentence, ' ' ORDER BY pos) AS s FROM tr_top GROUP BY id),
+summ AS (SELECT src.id, coalesce(tr_j.s, substr(coalesce(src.text, ''), 1, 300) || '…') AS summary
+         FROM {src} src LEFT JOIN tr_j USING (id))""")
+    return ",\n".join(parts)

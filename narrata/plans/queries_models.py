@@ -1 +1,151 @@
-"""Queries (filled in below)."""
+"""Model, summary and scoring queries.
+
+Model training queries are property-checked (rows only): a fitted model
+has no SQL twin. The TextRank summaries have a brute-force pairwise SQL
+oracle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from narrata.functions.text import round6
+from narrata.operators import metrics as mt
+from narrata.operators import models as ml
+from narrata.operators.summarize import summarize, summarize_groups
+from narrata.plans import oracle as o
+from narrata.plans.catalog import register
+from narrata.plans.prepare import filter_and_clean, prepare_pipeline
+from narrata.plans.queries_core import SEED, T_MAX, T_MIN
+from narrata.plans.score import triage_batch
+from narrata.session import read_table, scratch_path
+from narrata.sources.fixtures import complaints
+
+MAX_ITER = 50
+
+
+def _splits(spark, sf):
+    df = prepare_pipeline(complaints(spark, sf), T_MAX, T_MIN, SEED)
+    df = df.withColumn("row_id", F.col("complaint_id") * 100000 + F.col("draw"))
+    return df
+
+
+def _metrics(pred, truth, label):
+    j = pred.join(truth.select("row_id", F.col(label).alias("y_true")), "row_id")
+    m = mt.classification_metrics(j)
+    return m.select(*[round6(c).alias(c) if c != "n" else F.col(c) for c in m.columns])
+
+
+def _fit_lr(spark, sf, label="product_encoded"):
+    df = _splits(spark, sf).cache()
+    train = df.where("split = 'train'")
+    clf = ml.train_tfidf_lr(train, label, "row_id", "narrative_clean", max_iter=MAX_ITER)
+    return df, clf
+
+
+@register("train_product")
+def q_train_product(spark, sf):
+    df, clf = _fit_lr(spark, sf)
+    test = df.where("split = 'test'")
+    return _metrics(clf.predict(test), test, "product_encoded")
+
+
+@register("train_issue_group")
+def q_train_issue_group(spark, sf):
+    df, clf = _fit_lr(spark, sf, "issue_group_encoded")
+    test = df.where("split = 'test'")
+    return _metrics(clf.predict(test), test, "issue_group_encoded")
+
+
+@register("predict_batch")
+def q_predict_batch(spark, sf):
+    df, clf = _fit_lr(spark, sf)
+    p = clf.predict(df.where("split = 'test'"))
+    return p.select("row_id", "y_pred", round6("confidence").alias("confidence"),
+                    F.size("proba").alias("n_classes"))
+
+
+@register("train_word2vec")
+def q_train_word2vec(spark, sf):
+    df = _splits(spark, sf).cache()
+    clf = ml.train_word2vec_lr(df.where("split = 'train'"), "product_encoded", "row_id",
+                               max_iter=MAX_ITER)
+    test = df.where("split = 'test'")
+    return _metrics(clf.predict(test), test, "product_encoded")
+
+
+@register("train_nb")
+def q_train_nb(spark, sf):
+    df = _splits(spark, sf).cache()
+    clf = ml.train_tfidf_nb(df.where("split = 'train'"), "product_encoded", "row_id")
+    test = df.where("split = 'test'")
+    return _metrics(clf.predict(test), test, "product_encoded")
+
+
+def _product_names(df):
+    rows = df.select("product", "product_encoded").distinct().orderBy("product_encoded").collect()
+    return [r["product"] for r in rows]  # one row per class
+
+
+@register("top_features")
+def q_top_features(spark, sf):
+    df, clf = _fit_lr(spark, sf)
+    return ml.top_features(clf, _product_names(df), 20)
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    df, clf = _fit_lr(spark, sf)
+    path = scratch_path(spark, "model")
+    clf.save(path)
+    back = ml.TextClassifier.load(spark, path, "row_id", "narrative_clean")
+    test = df.where("split = 'test'")
+    a = clf.predict(test).select("row_id", F.col("y_pred").alias("a"), F.col("confidence").alias("ca"))
+    b = back.predict(test).select("row_id", F.col("y_pred").alias("b"), F.col("confidence").alias("cb"))
+    j = a.join(b, "row_id")
+    return j.agg(F.count(F.lit(1)).alias("n"),
+                 F.sum((F.col("a") == F.col("b")).cast("int")).alias("same_class"),
+                 F.max(F.abs(F.col("ca") - F.col("cb"))).alias("max_conf_diff"))
+
+
+@register("token_attribution")
+def q_token_attribution(spark, sf):
+    df, clf = _fit_lr(spark, sf)
+    test = df.where("split = 'test'")
+    att = ml.token_attribution(clf, test, clf.predict(test))
+    return att.select("row_id", "pos", "token", round6("weight").alias("weight"))
+
+
+@register("triage_batch")
+def q_triage_batch(spark, sf):
+    df, clf = _fit_lr(spark, sf)
+    nb = ml.train_tfidf_nb(df.where("split = 'train'"), "product_encoded", "row_id")
+    names = _product_names(df)
+    test = df.where("split = 'test'").select("row_id", "narrative", "narrative_clean")
+    return triage_batch(test, {"baseline": clf, "naive_bayes": nb}, names, "row_id")
+
+
+# --------------------------------------------------------------------------
+# summaries (pairwise brute-force SQL oracle)
+# --------------------------------------------------------------------------
+
+@register("textrank_docs", "WITH src AS (SELECT conv_id * 100000 + turn AS id, text FROM conversations),\n"
+          + o.textrank_sql("src") + "\nSELECT id, summary FROM summ")
+def q_textrank_docs(spark, sf):
+    c = read_table(spark, sf, "conversations")
+    src = c.select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "text")
+    return summarize(src, "id", "text", 2)
+
+
+@register("textrank_category", f"""WITH {o.filtered_ctes()},
+cat AS (SELECT product, narrative, row_number() OVER (PARTITION BY product ORDER BY complaint_id) AS r
+        FROM prep WHERE narrative IS NOT NULL),
+src AS (SELECT product AS id, string_agg(narrative, ' ' ORDER BY r) AS text FROM cat WHERE r <= 50
+        GROUP BY product),
+""" + o.textrank_sql("src") + """
+SELECT s.id AS product, CASE WHEN length(regexp_replace(src.text, '^\\s+|\\s+$', '', 'g')) < 100
+       THEN 'Insufficient text for summarization.' ELSE s.summary END AS summary
+FROM summ s JOIN src USING (id)""")
+def q_textrank_category(spark, sf):
+    prep = filter_and_clean(complaints(spark, sf))
+    return summarize_groups(prep, "product", "complaint_id", "narrative", 50, 2)
