@@ -37,16 +37,23 @@ def confusion_matrix(pred: DataFrame, t: str = "y_true", p: str = "y_pred",
                      model: str | None = None) -> DataFrame:
     """Dense long matrix (model?, t, p, n) over the class set, zeros filled.
 
-    The C x C grid is generated by exploding the (sorted) class array per
-    true class, not by a join of the class table with itself."""
+    One aggregation pass: the (t, p) counts of a model (at most C x C
+    entries) are gathered into one array, and the grid over the sorted
+    class set is generated from it by explode and a map lookup; no join of
+    the class table with itself and no second scan of the predictions."""
     by = _by(model)
     counts = confusion_counts(pred, t, p, model)
-    cls = class_set(counts, model)
-    arr = cls.groupBy(*by).agg(F.array_sort(F.collect_list("cls")).alias("_cls"))
-    grid = (arr.select(*by, F.explode("_cls").alias("t"), "_cls")
-               .select(*by, "t", F.explode("_cls").alias("p")))
-    return (grid.join(counts, [*by, "t", "p"], "left")
-                .select(*by, "t", "p", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    per = counts.groupBy(*by).agg(F.collect_list(F.struct("t", "p", "n")).alias("_l"))
+    cls = F.array_sort(F.array_distinct(F.concat(F.transform("_l", lambda x: x["t"]),
+                                                 F.transform("_l", lambda x: x["p"]))))
+    lut = F.map_from_entries(F.transform("_l", lambda x: F.struct(
+        F.concat_ws(",", x["t"].cast("string"), x["p"].cast("string")), x["n"])))
+    grid = (per.select(*by, cls.alias("_c"), lut.alias("_m"))
+               .select(*by, "_m", "_c", F.explode("_c").alias("t"))
+               .select(*by, "_m", "t", F.explode("_c").alias("p")))
+    key = F.concat_ws(",", F.col("t").cast("string"), F.col("p").cast("string"))
+    return grid.select(*by, "t", "p",
+                       F.coalesce(F.try_element_at("_m", key), F.lit(0)).cast("bigint").alias("n"))
 
 
 def confusion_normalized(cm: DataFrame, model: str | None = None) -> DataFrame:
@@ -60,17 +67,21 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def per_class(pred: DataFrame, t: str = "y_true", p: str = "y_pred",
-              model: str | None = None) -> DataFrame:
-    """(model?, cls, tp, support, predicted, precision, recall, f1)."""
+                model: str | None = None) -> DataFrame:
+    """(model?, cls, tp, support, predicted, precision, recall, f1).
+
+    One scan: each prediction contributes a (true class) record and a
+    (predicted class) record, summed per class with partial aggregation."""
     by = _by(model)
-    counts = confusion_counts(pred, t, p, model)
-    tp = counts.where(F.col("t") == F.col("p")).select(*by, F.col("t").alias("cls"),
-                                                      F.col("n").alias("tp"))
-    sup = counts.groupBy(*by, F.col("t").alias("cls")).agg(F.sum("n").alias("support"))
-    prd = counts.groupBy(*by, F.col("p").alias("cls")).agg(F.sum("n").alias("predicted"))
-    cls = class_set(counts, model)
-    j = (cls.join(tp, [*by, "cls"], "left").join(sup, [*by, "cls"], "left")
-            .join(prd, [*by, "cls"], "left").na.fill(0, ["tp", "support", "predicted"]))
+
+    def rec(cls, sup, prd, tp):
+        return F.struct(cls.cast("int").alias("cls"), F.lit(sup).alias("s"),
+                        F.lit(prd).alias("q"), tp.cast("int").alias("tp"))
+    e = pred.select(*by, F.explode(F.array(
+        rec(F.col(t), 1, 0, F.col(t) == F.col(p)),
+        rec(F.col(p), 0, 1, F.lit(False)))).alias("e"))
+    j = e.groupBy(*by, F.col("e.cls").alias("cls")).agg(
+        F.sum("e.tp").alias("tp"), F.sum("e.s").alias("support"), F.sum("e.q").alias("predicted"))
     return j.select(*by, F.col("cls").cast("int").alias("cls"),
                     F.col("tp").cast("bigint").alias("tp"),
                     F.col("support").cast("bigint").alias("support"),
@@ -104,30 +115,38 @@ def with_names(pc: DataFrame, names: list[str], code: str = "cls", out: str = "l
 
 
 def class_report(pred: DataFrame, names: list[str], t: str = "y_true",
-                 p: str = "y_pred") -> DataFrame:
-    """Per-class rows plus accuracy / macro avg / weighted avg rows,
-    2-decimal precision, recall and F1 as in the text report."""
+                 p: str = "y_pred", digits: int = 2) -> DataFrame:
+    """Per-class rows plus accuracy / macro avg / weighted avg rows, with
+    precision, recall and F1 rounded as in the text report.
+
+    The per-class table (one row per class) gets its totals from windows
+    and the first class row also emits the three summary rows, so the
+    predictions are aggregated once."""
     pc = with_names(per_class(pred, t, p), names, out="row")
-    cls_rows = pc.select("row", "precision", "recall", "f1", "support")
-    tot = pc.agg(F.sum("support").alias("s"), F.sum("tp").alias("tp"),
-                 F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-                 (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-                 (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-                 (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"))
-    def row(name, p_, r_, f_):
-        return F.struct(F.lit(name).alias("row"), p_.cast("double").alias("precision"),
+    w = Window.partitionBy()
+    s = F.sum("support").over(w)
+    pc = pc.select("*", s.alias("s"), F.sum("tp").over(w).alias("tps"),
+                   F.avg("precision").over(w).alias("mp"), F.avg("recall").over(w).alias("mr"),
+                   F.avg("f1").over(w).alias("mf"),
+                   (F.sum(F.col("precision") * F.col("support")).over(w) / s).alias("wp"),
+                   (F.sum(F.col("recall") * F.col("support")).over(w) / s).alias("wr"),
+                   (F.sum(F.col("f1") * F.col("support")).over(w) / s).alias("wf"),
+                   F.row_number().over(Window.orderBy("cls")).alias("_first"))
+
+    def row(name, p_, r_, f_, sup):
+        return F.struct(name.alias("row"), p_.cast("double").alias("precision"),
                         r_.cast("double").alias("recall"), f_.cast("double").alias("f1"),
-                        F.col("s").cast("bigint").alias("support"))
+                        sup.cast("bigint").alias("support"))
     none = F.lit(None)
-    summary = tot.select(F.explode(F.array(
-        row("accuracy", none, none, F.col("tp") / F.col("s")),
-        row("macro avg", F.col("mp"), F.col("mr"), F.col("mf")),
-        row("weighted avg", F.col("wp"), F.col("wr"), F.col("wf")),
-    )).alias("r")).select("r.*")
-    rows = cls_rows.unionByName(summary)
-    return rows.select("row", F.round("precision", 2).alias("precision"),
-                       F.round("recall", 2).alias("recall"), F.round("f1", 2).alias("f1"),
-                       F.col("support").cast("bigint").alias("support"))
+    own = row(F.col("row"), F.col("precision"), F.col("recall"), F.col("f1"), F.col("support"))
+    extra = [row(F.lit("accuracy"), none, none, F.col("tps") / F.col("s"), F.col("s")),
+             row(F.lit("macro avg"), F.col("mp"), F.col("mr"), F.col("mf"), F.col("s")),
+             row(F.lit("weighted avg"), F.col("wp"), F.col("wr"), F.col("wf"), F.col("s"))]
+    rows = pc.select(F.explode(F.when(F.col("_first") == 1, F.array(own, *extra))
+                               .otherwise(F.array(own))).alias("r")).select("r.*")
+    return rows.select("row", F.round("precision", digits).alias("precision"),
+                       F.round("recall", digits).alias("recall"), F.round("f1", digits).alias("f1"),
+                       "support")
 
 
 METRIC_COLS = ["accuracy", "precision_macro", "recall_macro", "f1_macro", "f1_weighted"]

@@ -44,11 +44,16 @@ def group_histogram(df: DataFrame, by: list[str], key: str, bits: int) -> DataFr
 
 
 def exact_row_number(df: DataFrame, by: list[str], key: str, tiebreak: list[str],
-                     out: str = "_rn", count_out: str = "_n", bits: int = 12) -> DataFrame:
+                     out: str = "_rn", count_out: str = "_n", bits: int = 12,
+                     hist: DataFrame | None = None) -> DataFrame:
     """Add ``out`` = row number in ``by`` ordered by (key, tiebreak...) and
-    ``count_out`` = group size. ``key`` must be a bigint draw in [0, 2^32)."""
+    ``count_out`` = group size. ``key`` must be a bigint draw in [0, 2^32).
+
+    The input is read twice (histogram, ranking): materialise it first when
+    it is expensive to recompute. A histogram already built with
+    :func:`group_histogram` may be passed in (and shared by the caller)."""
     keyed = df.withColumn("_bkt", F.shiftright(F.col(key), DRAW_BITS - bits))
-    hist = group_histogram(df, by, key, bits)
+    hist = hist if hist is not None else group_histogram(df, by, key, bits)
     w = Window.partitionBy(*by, "_bkt").orderBy(F.col(key), *[F.col(c) for c in tiebreak])
     ranked = keyed.withColumn("_rb", F.row_number().over(w))
     h = hist.select(*[F.col(c).alias(f"_h_{c}") for c in by], F.col("_bkt").alias("_h_bkt"),

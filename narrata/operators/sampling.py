@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from narrata.fixed_values import MAX_PER_CLASS, MIN_PER_CLASS, RANDOM_SEED, EXCERPT_WORDS
 from narrata.functions.text import words
 from narrata.keys import draw
-from narrata.operators.ranking import exact_row_number
+from narrata.operators.ranking import exact_row_number, group_histogram
 
 
 def dedup_first(df: DataFrame, col: str = "narrative",
@@ -48,19 +48,24 @@ def balance_classes(df: DataFrame, label: str = "product",
     oversampling join touches only classes smaller than ``min`` (bounded).
     """
     keyed = df.withColumn("_k", draw(F.col(id_col), seed))
+    hist = group_histogram(keyed, [label], "_k", bits)
     ranked = exact_row_number(keyed, [label], "_k", [id_col], out="_r", count_out="_n",
-                              bits=bits)
-    kept = (ranked.where((F.col("_n") >= min_per_class) & (F.col("_r") <= max_per_class))
-                  .withColumn("draw", F.lit(0)))
-    small = ranked.where(F.col("_n") < min_per_class)
-    draws = (small.select(label, "_n").distinct()
-                  .select(F.col(label).alias("_lab"), F.col("_n").alias("_dn"),
+                              bits=bits, hist=hist)
+    # draw table for the classes below the floor, from the class sizes only
+    # (at most min_per_class rows per such class): (label, _r = pick, draw)
+    sizes = hist.groupBy(label).agg(F.first("_n").alias("_n"))
+    draws = (sizes.where(F.col("_n") < min_per_class)
+                  .select(F.col(label).alias("_lab"), "_n",
                           F.explode(F.sequence(F.lit(1), F.lit(min_per_class))).alias("draw"))
-                  .withColumn("_pick", draw(F.col("_lab"), F.col("draw"), seed) % F.col("_dn") + 1))
-    copies = (small.join(draws, (small[label] == draws["_lab"]) & (small["_r"] == draws["_pick"]))
-                   .drop("_lab", "_dn", "_pick"))
-    cols = df.columns + ["draw"]
-    return kept.select(*cols).unionByName(copies.select(*cols))
+                  .select("_lab", "draw",
+                          (draw(F.col("_lab"), F.col("draw"), seed) % F.col("_n") + 1).alias("_pick")))
+    # one pass over the ranked rows: a row of a small class meets each of
+    # its draws; a row of another class is kept if ranked within the cap
+    j = ranked.join(draws, (ranked[label] == draws["_lab"]) & (ranked["_r"] == draws["_pick"]), "left")
+    keep = ((F.col("_n") >= min_per_class) & (F.col("_r") <= max_per_class)) | \
+           ((F.col("_n") < min_per_class) & F.col("draw").isNotNull())
+    return (j.where(keep).withColumn("draw", F.coalesce(F.col("draw"), F.lit(0)).cast("int"))
+             .select(*df.columns, "draw"))
 
 
 def shuffle_rows(df: DataFrame, seed: int = RANDOM_SEED, id_cols=("complaint_id", "draw")) -> DataFrame:

@@ -18,6 +18,7 @@ from narrata.operators.filters import filter_blank, filter_date_cutoff, filter_m
 from narrata.operators.labels import add_issue_groups, encode_labels, product_normalize
 from narrata.operators.sampling import balance_classes, dedup_first
 from narrata.operators.split import stratified_split
+from narrata.session import cut_lineage
 
 
 def scan_filter(raw: DataFrame, date_cutoff: str = DATE_CUTOFF,
@@ -44,10 +45,23 @@ def filter_and_clean(df: DataFrame) -> DataFrame:
 
 def prepare_pipeline(raw: DataFrame, max_per_class: int = MAX_PER_CLASS,
                      min_per_class: int = MIN_PER_CLASS, seed: int = RANDOM_SEED,
-                     split_mode: str = "exact") -> DataFrame:
+                     split_mode: str = "exact", materialize: bool = True) -> DataFrame:
+    """Filters -> dedup -> cleaning -> groups -> priority -> balance ->
+    encoders -> split.
+
+    Balancing, encoding and the exact split each read their input more than
+    once (a histogram pass and a ranking pass, encoder tables). With
+    ``materialize`` the cleaned rows and the balanced, encoded rows are
+    written once as reliable checkpoints in the shared checkpoint folder, so
+    the expensive scan, regex and dedup stages run once and a lost executor
+    does not replay the whole lineage."""
     df = filter_and_clean(raw)
+    if materialize:
+        df = cut_lineage(df)
     df = balance_classes(df, "product", max_per_class, min_per_class, seed)
     df = encode_labels(df, ("product", "issue_group"))
+    if materialize:
+        df = cut_lineage(df)
     return stratified_split(df, "product_encoded", seed, mode=split_mode)
 
 
@@ -77,7 +91,7 @@ def class_refresh(full: DataFrame, new_rows: DataFrame, product: str = "Credit r
     from narrata.operators.sampling import sample_k
     kept = drop_class(full, product, "product")
     sample = sample_k(new_rows, max_per_class, seed, "complaint_id")
-    combined = kept.unionByName(sample.select(*kept.columns))
+    combined = cut_lineage(kept.unionByName(sample.select(*kept.columns)))
     df = balance_classes(combined, "product", max_per_class, min_per_class, seed)
-    df = encode_labels(df, ("product", "issue_group"))
+    df = cut_lineage(encode_labels(df, ("product", "issue_group")))
     return stratified_split(df, "product_encoded", seed, mode=split_mode)
