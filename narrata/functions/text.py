@@ -87,13 +87,13 @@ def parse_date(c) -> Column:
 
 @lru_cache(maxsize=1)
 def accent_table() -> tuple[str, str]:
-    """1:1 accent-stripping table for U+00C0..U+024F, derived from NFKD.
+    """1:1 accent-stripping table for U+00A0..U+024F, derived from NFKD.
 
     A character is mapped when its NFKD form minus combining marks is a
     single different character.
     """
     src, dst = [], []
-    for cp in range(0xC0, 0x250):
+    for cp in range(0xA0, 0x250):
         ch = chr(cp)
         base = "".join(x for x in unicodedata.normalize("NFKD", ch)
                        if not unicodedata.combining(x))

@@ -88,3 +88,19 @@ def q_class_refresh(spark, sf):
     out = class_refresh(full, clean_new_batch(new), REFRESH, T_MAX, T_MIN, SEED)
     return out.select("complaint_id", "draw", "product", "issue_group", "priority",
                       "product_encoded", "split")
+
+
+@register("triage_stream", f"""SELECT doc_id, {o.wc_sql('text')} AS raw_words,
+  {o.wc_sql('text')} >= 10 AS accepted,
+  CASE WHEN {o.wc_sql('text')} >= 10 THEN {o.clean_sql('text')} END AS narrative_clean,
+  CASE WHEN {o.wc_sql('text')} >= 10 THEN {o.priority_sql('text')} END AS priority,
+  CASE WHEN {o.wc_sql('text')} >= 10 THEN {o.issue_rule_sql('text')} END AS issue_group,
+  CASE WHEN {o.wc_sql('text')} >= 10 THEN CAST(0.6 AS DOUBLE) END AS issue_confidence
+FROM documents""")
+def q_triage_stream(spark, sf):
+    """The documents table replayed as a file stream (availableNow) into a
+    Parquet sink; the sink is read back as the result."""
+    from narrata.streaming.triage_stream import run_triage_stream
+    out = scratch_path(spark, "stream-out")
+    run_triage_stream(spark, sf, out, scratch_path(spark, "stream-ckpt"), glob="documents.parquet")
+    return spark.read.parquet(out)
