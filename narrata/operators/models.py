@@ -90,18 +90,29 @@ class TextClassifier:
         return cls(vocab, model.numFeatures, model, id_col, text)
 
 
-def train_tfidf_lr(train: DataFrame, label: str, id_col: str = "complaint_id",
-                   text: str = "narrative_clean", C: float = 1.0, max_iter: int = 100,
-                   max_features: int = 50000, min_df: int = 5, max_df: float = 0.95) -> TextClassifier:
+def _training_matrix(train: DataFrame, label: str, id_col: str, text: str, max_features: int,
+                     min_df: int, max_df: float):
+    """(vocab, n_features, data, total weight): features built once and
+    written as a reliable checkpoint, so the optimiser's passes and any
+    retry read vectors instead of re-tokenising the texts."""
+    from narrata.session import cut_lineage
     tf = term_frequencies(train, id_col, text)
-    vocab = tfidf_vocabulary(tf, document_count(train), min_df, max_df, max_features).cache()
+    vocab = cut_lineage(tfidf_vocabulary(tf, document_count(train), min_df, max_df, max_features))
     n_features = vocab.count()  # bounded by max_features; sizes the vectors
     long = tfidf_terms(train, id_col, text, vocab=vocab)
     feats = to_vectors(long, id_col, "weight", n_features)
-    data = balanced_weights(train.select(id_col, F.col(label).cast("double").alias("label")), "label")
+    labels = balanced_weights(train.select(id_col, F.col(label).cast("double").alias("label")), "label")
+    total_w = labels.agg(F.sum("weight")).first()[0]
     empty = _sparse(F.lit(n_features), F.array().cast("array<int>"), F.array().cast("array<double>"))
-    data = data.join(feats, id_col, "left").withColumn("features", F.coalesce("features", empty))
-    total_w = data.agg(F.sum("weight")).first()[0]
+    data = labels.join(feats, id_col, "left").withColumn("features", F.coalesce("features", empty))
+    return vocab, n_features, cut_lineage(data), total_w
+
+
+def train_tfidf_lr(train: DataFrame, label: str, id_col: str = "complaint_id",
+                   text: str = "narrative_clean", C: float = 1.0, max_iter: int = 100,
+                   max_features: int = 50000, min_df: int = 5, max_df: float = 0.95) -> TextClassifier:
+    vocab, n_features, data, total_w = _training_matrix(train, label, id_col, text, max_features,
+                                                        min_df, max_df)
     lr = LogisticRegression(family="multinomial", weightCol="weight", maxIter=max_iter,
                             regParam=1.0 / (C * total_w), elasticNetParam=0.0,
                             standardization=False, fitIntercept=True)
@@ -113,14 +124,8 @@ def train_tfidf_nb(train: DataFrame, label: str, id_col: str = "complaint_id",
                    text: str = "narrative_clean", smoothing: float = 1.0,
                    max_features: int = 50000, min_df: int = 5, max_df: float = 0.95) -> TextClassifier:
     """Multinomial naive Bayes on the TF-IDF weights of the fitted vocabulary."""
-    tf = term_frequencies(train, id_col, text)
-    vocab = tfidf_vocabulary(tf, document_count(train), min_df, max_df, max_features).cache()
-    n_features = vocab.count()
-    long = tfidf_terms(train, id_col, text, vocab=vocab)
-    feats = to_vectors(long, id_col, "weight", n_features)
-    data = balanced_weights(train.select(id_col, F.col(label).cast("double").alias("label")), "label")
-    empty = _sparse(F.lit(n_features), F.array().cast("array<int>"), F.array().cast("array<double>"))
-    data = data.join(feats, id_col, "left").withColumn("features", F.coalesce("features", empty))
+    vocab, n_features, data, _ = _training_matrix(train, label, id_col, text, max_features,
+                                                  min_df, max_df)
     model = NaiveBayes(modelType="multinomial", smoothing=smoothing, weightCol="weight").fit(data)
     return TextClassifier(vocab, n_features, model, id_col, text)
 

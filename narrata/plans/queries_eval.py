@@ -316,3 +316,18 @@ def q_metrics_store(spark, sf):
     """Metrics rows written as JSON to the shared scratch folder and read
     back with a fixed schema (rows-only check: the write is a side effect)."""
     return metrics_roundtrip(fx.model_predictions(spark, sf), LABELS)
+
+
+@register("comparison_csv", _M + ",\n" + o.per_class_ctes("models", model=True) + f"""
+SELECT model, {', '.join(o.round_half_up_sql(x, 4) + ' AS ' + c for x, c in [
+    ('CAST(sum(tp) AS DOUBLE) / sum(support)', 'accuracy'), ('avg(precision)', 'precision_macro'),
+    ('avg(recall)', 'recall_macro'), ('avg(f1)', 'f1_macro'),
+    ('sum(f1 * support) / sum(support)', 'f1_weighted')])}
+FROM pc GROUP BY model""")
+def q_comparison_csv(spark, sf):
+    """Comparison table written as a CSV with header and read back."""
+    from narrata.session import scratch_path
+    from narrata.sources.metrics_store import read_comparison_csv, write_comparison_csv
+    path = scratch_path(spark, "comparison")
+    write_comparison_csv(mt.compare_models(fx.model_predictions(spark, sf)), path)
+    return read_comparison_csv(spark, path)

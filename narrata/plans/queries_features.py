@@ -86,3 +86,13 @@ def q_score_with_udf(spark, sf):
     e = read_table(spark, sf, "embeddings")
     s = e.select("vec_id", linear_scores("embedding").alias("s"))
     return s.select("vec_id", F.col("s.y_pred").alias("y_pred"), round6("s.confidence").alias("confidence"))
+
+
+@register("vocab_roundtrip", _F + _VOCAB_SQL + "\nSELECT token, id FROM vocab")
+def q_vocab_roundtrip(spark, sf):
+    """Vocabulary saved as Parquet (token, id) and loaded back."""
+    from narrata.session import scratch_path
+    path = scratch_path(spark, "vocab")
+    vocab_build(_prep(spark, sf), "narrative_clean").select("token", "id") \
+        .write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
