@@ -104,3 +104,15 @@ def q_triage_stream(spark, sf):
     out = scratch_path(spark, "stream-out")
     run_triage_stream(spark, sf, out, scratch_path(spark, "stream-ckpt"), glob="documents.parquet")
     return spark.read.parquet(out)
+
+
+@register("csv_scan", f"""WITH {o.filtered_ctes()}
+SELECT complaint_id, date_received, product, issue, narrative FROM dedup""")
+def q_csv_scan(spark, sf):
+    """Complaints landed as a raw-header CSV, read with the fixed all-string
+    schema and run through the scan filters and dedup."""
+    from narrata.plans.prepare import scan_filter
+    path = scratch_path(spark, "landing-csv")
+    src.write_complaints_csv(complaints(spark, sf), path)
+    raw = src.read_complaints_csv(spark, path)
+    return scan_filter(raw).select("complaint_id", "date_received", "product", "issue", "narrative")

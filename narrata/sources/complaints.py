@@ -44,13 +44,25 @@ def read_complaints_csv(spark: SparkSession, path: str) -> DataFrame:
     columns are kept (pruned by the CSV reader), ids become bigint.
     """
     raw = (spark.read.option("header", True).option("multiLine", True)
-           .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+           .option("escape", '"').option("mode", "PERMISSIVE")
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+           .csv(path))
     renamed = raw.select(*[F.col(f"`{k}`").alias(v) for k, v in RAW_COLUMNS.items()
                            if k in raw.columns])
     out = project_columns(renamed)
     return out.withColumn("complaint_id", F.expr("try_cast(complaint_id AS BIGINT)"))
 
 
+def write_complaints_csv(df: DataFrame, path: str) -> None:
+    """Complaint rows as a landing CSV with the raw header names (quoted,
+    multi-line fields, whitespace kept)."""
+    inv = {v: k for k, v in RAW_COLUMNS.items()}
+    out = df.select(*[F.col(c).cast("string").alias(inv[c]) for c in COMPLAINT_COLUMNS if c in df.columns])
+    (out.write.mode("overwrite").option("header", True).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        .csv(path))
+
+
 def land_as_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
