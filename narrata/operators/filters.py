@@ -18,7 +18,15 @@ TEXT = "narrative"
 
 def filter_date_cutoff(df: DataFrame, cutoff: str = DATE_CUTOFF,
                        col: str = "date_received") -> DataFrame:
-    """Parse dates (bad ones become null) and keep ``date >= cutoff``."""
+    """Parse dates (bad ones become null) and keep ``date >= cutoff``.
+
+    A column that is already a date/timestamp is compared as it is, so the
+    predicate reaches the Parquet reader (row-group skipping on min/max)."""
+    from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+    typ = df.schema[col].dataType
+    if isinstance(typ, (DateType, TimestampType, TimestampNTZType)):
+        return df.where(F.col(col) >= F.lit(cutoff).cast(typ)) \
+                 .withColumn(col, F.col(col).cast("date"))
     return (df.withColumn(col, parse_date(col))
               .where(F.col(col) >= F.lit(cutoff).cast("date")))
 
