@@ -43,5 +43,6 @@ def split_leakage(df: DataFrame, text: str = "narrative", a: str = "train",
                   b: str = "test") -> DataFrame:
     """Rows of split ``b`` whose text also occurs in split ``a`` (left semi)."""
     left = df.where(F.col("split") == b)
-    right = df.where(F.col("split") == a).select(F.col(text).alias("_t"))
+    # distinct texts first: a text copied many times ships once per map task
+    right = df.where(F.col("split") == a).select(F.col(text).alias("_t")).distinct()
     return left.join(right, left[text] == right["_t"], "left_semi")

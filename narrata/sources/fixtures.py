@@ -134,8 +134,9 @@ def predictions(spark: SparkSession, sf_dir: str, scale: float = 8) -> DataFrame
     n_docs = docs.agg(F.count(F.lit(1)).alias("_nd"))
     p = pred_logits(emb, scale).withColumn("proba", softmax("logits"))
     p = p.withColumn("y_pred", argmax("proba")).withColumn("confidence", F.array_max("proba"))
-    # text of document (id mod #documents); the one-row count joins on a constant
-    p = p.withColumn("_one", F.lit(1)).join(n_docs.withColumn("_one", F.lit(1)), "_one")
+    # text of document (id mod #documents); the one-row count is broadcast
+    # (a shuffle join on a constant key would send every row to one task)
+    p = p.withColumn("_one", F.lit(1)).join(F.broadcast(n_docs.withColumn("_one", F.lit(1))), "_one")
     p = p.withColumn("_doc", F.col("id") % F.col("_nd"))
     return (p.join(docs, p["_doc"] == docs["doc_id"], "left")
              .select("id", "y_true", "y_pred", "confidence", "proba", "text"))

@@ -55,8 +55,10 @@ def dataset_stats_row(df: DataFrame) -> DataFrame:
 
 
 def _one_row(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Combine two one-row frames side by side (equi-join on a constant)."""
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    """Combine two one-row frames side by side (equi-join on a constant,
+    the one-row side broadcast)."""
+    return a.withColumn("_one", F.lit(1)).join(F.broadcast(b.withColumn("_one", F.lit(1))),
+                                               "_one").drop("_one")
 
 
 def write_dataset_stats(df: DataFrame, path: str) -> None:
