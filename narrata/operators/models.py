@@ -149,8 +149,10 @@ def train_word2vec_lr(train: DataFrame, label: str, id_col: str = "complaint_id"
                       text: str = "narrative_clean", dims: int = 128, min_count: int = 3,
                       max_iter: int = 100, seed: int = RANDOM_SEED) -> EmbeddingClassifier:
     x = train.select(id_col, tokenize(text).alias("tokens"), F.col(label).cast("double").alias("label"))
+    # numPartitions defaults to 1 (one training task): use the cluster
     w2v = Word2Vec(vectorSize=dims, minCount=min_count, seed=seed, inputCol="tokens",
-                   outputCol="features", maxIter=1).fit(x)
+                   outputCol="features", maxIter=1,
+                   numPartitions=train.sparkSession.sparkContext.defaultParallelism).fit(x)
     data = balanced_weights(w2v.transform(x), "label")
     total_w = data.agg(F.sum("weight")).first()[0]
     lr = LogisticRegression(family="multinomial", weightCol="weight", maxIter=max_iter,
@@ -158,13 +160,22 @@ def train_word2vec_lr(train: DataFrame, label: str, id_col: str = "complaint_id"
     return EmbeddingClassifier(w2v, lr.fit(data), id_col, text)
 
 
+def coefficient_table(clf: TextClassifier) -> DataFrame:
+    """(cls, idx, coef) from the fitted coefficient matrix. The matrix is
+    model state held by the driver (classes x max_features, bounded); it is
+    handed to Spark once through Arrow."""
+    import numpy as np
+    import pandas as pd
+    coef = clf.model.coefficientMatrix.toArray()
+    c, j = np.meshgrid(np.arange(coef.shape[0]), np.arange(coef.shape[1]), indexing="ij")
+    pdf = pd.DataFrame({"cls": c.ravel().astype("int32"), "idx": j.ravel().astype("int32"),
+                        "coef": coef.ravel().astype("float64")})
+    return clf.vocab.sparkSession.createDataFrame(pdf, "cls int, idx int, coef double")
+
+
 def top_features(clf: TextClassifier, names: list[str], top_n: int = 20) -> DataFrame:
     """(label, rank, term, coef): highest coefficients per class."""
-    spark = clf.vocab.sparkSession
-    coef = clf.model.coefficientMatrix.toArray()   # model state: C x V, bounded
-    rows = [(int(c), int(j), float(coef[c, j])) for c in range(coef.shape[0])
-            for j in range(coef.shape[1])]
-    long = spark.createDataFrame(rows, "cls int, idx int, coef double")
+    long = coefficient_table(clf)
     j = long.join(F.broadcast(clf.vocab.select("idx", "term")), "idx")
     return rank_features(j, names, top_n)
 
@@ -180,11 +191,7 @@ def rank_features(coefs: DataFrame, names: list[str], top_n: int = 20) -> DataFr
 def token_attribution(clf: TextClassifier, df: DataFrame, pred: DataFrame) -> DataFrame:
     """Per token position: coef[predicted class, term] x tf-idf weight of the
     term in the document, softmax-normalised within the document."""
-    spark = df.sparkSession
-    coef = clf.model.coefficientMatrix.toArray()
-    rows = [(int(c), int(j), float(coef[c, j])) for c in range(coef.shape[0])
-            for j in range(coef.shape[1])]
-    coefs = spark.createDataFrame(rows, "cls int, idx int, coef double")
+    coefs = coefficient_table(clf)
     long = tfidf_terms(df, clf.id_col, clf.text, vocab=clf.vocab)
     toks = df.select(clf.id_col, F.posexplode(tokenize(clf.text)).alias("pos", "token"))
     t = (toks.join(long.select(clf.id_col, F.col("term").alias("token"), "idx", "weight"),
