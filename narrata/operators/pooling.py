@@ -18,16 +18,28 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    A value referenced inside a per-element lambda (``transform``) would
+    otherwise be recomputed for every element: O(n^2) per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def softmax(logits, mask=None) -> Column:
     """Numerically stable softmax; ``mask`` (array<boolean>) sets masked
-    positions to -1e9 first."""
+    positions to -1e9 first. Max and sum are computed once per array."""
     x = _c(logits)
     if mask is not None:
         x = F.zip_with(x, _c(mask), lambda v, m: F.when(m, v).otherwise(F.lit(MASK_FILL)))
-    mx = F.array_max(x)
-    ex = F.transform(x, lambda v: F.exp(v - mx))
-    total = F.aggregate(ex, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(ex, lambda v: v / total)
+
+    def with_x(xs):
+        def with_ex(ex):
+            return let(F.aggregate(ex, F.lit(0.0), lambda acc, v: acc + v),
+                       lambda total: F.transform(ex, lambda v: v / total))
+        return let(let(F.array_max(xs), lambda mx: F.transform(xs, lambda v: F.exp(v - mx))),
+                   with_ex)
+    return let(x, with_x)
 
 
 def argmax(scores) -> Column:
@@ -56,9 +68,8 @@ def top_probabilities(df: DataFrame, id_col: str, proba: str, labels: list[str],
 
 def normalize_weights(weights, k: int | None = None) -> Column:
     """w / (max(w) + 1e-9), optionally only the first ``k`` entries."""
-    w = _c(weights)
-    mx = F.array_max(w)
-    out = F.transform(w, lambda v: v / (mx + F.lit(1e-9)))
+    out = let(_c(weights), lambda w: let(
+        F.array_max(w), lambda mx: F.transform(w, lambda v: v / (mx + F.lit(1e-9)))))
     return F.slice(out, 1, k) if k else out
 
 
