@@ -311,10 +311,14 @@ def q_attention_pool(spark, sf):
     return attention_pool(read_table(spark, sf, "embeddings"), "label", "embedding", "vec_id")
 
 
-@register("metrics_store")
+@register("metrics_store", _M + ",\n" + o.per_class_ctes("models", model=True) + """
+SELECT model, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS accuracy,
+       round(avg(f1), 6) AS f1_macro, CAST(count(*) AS INTEGER) AS n_classes,
+       CAST(sum(support) AS BIGINT) AS cm_total
+FROM pc GROUP BY model""")
 def q_metrics_store(spark, sf):
-    """Metrics rows written as JSON to the shared scratch folder and read
-    back with a fixed schema (rows-only check: the write is a side effect)."""
+    """Metrics documents (scalars, per-class F1 map, dense matrix) written
+    as JSON to the shared scratch folder and read back with a fixed schema."""
     return metrics_roundtrip(fx.model_predictions(spark, sf), LABELS)
 
 
