@@ -46,11 +46,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or \
+        sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
         # only reached in local tests: the cluster names a shared folder
         configured = tempfile.mkdtemp(prefix="narrata-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        try:
+            spark.conf.set("spark.checkpoint.dir", configured)
+        except Exception:  # noqa: BLE001 - core confs may be read-only at runtime
+            pass
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
