@@ -12,8 +12,8 @@ from narrata.functions.text import (clean_text, excerpt, prefix_fallback, strip_
 from narrata.fixed_values import PRIORITY_KEYWORDS
 from narrata.operators import filters as flt
 from narrata.operators.labels import add_issue_groups, encode_labels, product_normalize
-from narrata.operators.sampling import balance_classes, class_preview, dedup_first, sample_k
-from narrata.operators.split import split_leakage, stratified_split
+from narrata.operators.sampling import balance_classes, class_preview, sample_k
+from narrata.operators.split import split_leakage
 from narrata.plans import oracle as o
 from narrata.plans.catalog import register
 from narrata.plans.prepare import (filter_and_clean, prepare_pipeline, preprocess_texts,

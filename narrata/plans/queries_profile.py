@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from narrata.fixed_values import CHART_STOPWORDS, EDA_STOPWORDS, PRIORITY_ORDER
 from narrata.functions.text import word_count
