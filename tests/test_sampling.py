@@ -72,3 +72,18 @@ def test_dedup_first_wins_and_idempotent(spark):
     once = dedup_first(df)
     assert sorted(r[0] for r in once.collect()) == [1, 2, 4]
     assert sorted(map(tuple, dedup_first(once).collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_class_weights_absent_class_and_total(spark):
+    from narrata.operators.profile import class_weights
+    # codes 0, 1, 3 present; code 2 absent
+    rows = [(0,)] * 6 + [(1,)] * 3 + [(3,)] * 1
+    df = spark.createDataFrame(rows, "product_encoded int")
+    got = {r["product_encoded"]: r for r in class_weights(df).collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    assert got[2]["weight"] is None and got[2]["n"] == 0
+    n_total = 10
+    assert abs(got[0]["weight"] - n_total / (4 * 6)) < 1e-12
+    # sum of weight * n over present classes = N * (present / C)
+    s = sum(r["weight"] * r["n"] for r in got.values() if r["weight"] is not None)
+    assert abs(s - n_total * 3 / 4) < 1e-12
