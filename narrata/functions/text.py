@@ -48,6 +48,14 @@ def word_count(c) -> Column:
     return F.regexp_count(_c(c), F.lit(WORD_RE)).cast("int")
 
 
+def has_min_words(c, n: int) -> Column:
+    """``word_count(c) >= n`` without scanning the whole text: an anchored
+    match that stops at the start of the n-th word."""
+    if n <= 0:
+        return F.lit(True)
+    return F.coalesce(_c(c).rlike(rf"(?U)^\s*(?:\S+\s+){{{n - 1}}}\S"), F.lit(False))
+
+
 def has_text(c) -> Column:
     """Non-null and holding at least one non-space character."""
     col = _c(c)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from narrata.fixed_values import DATE_CUTOFF, GATE_MIN_WORDS, MIN_WORD_COUNT
-from narrata.functions.text import has_text, parse_date, word_count
+from narrata.functions.text import has_min_words, has_text, parse_date
 
 TEXT = "narrative"
 
@@ -37,14 +37,15 @@ def filter_blank(df: DataFrame, col: str = TEXT) -> DataFrame:
 
 def filter_min_words(df: DataFrame, min_words: int = MIN_WORD_COUNT,
                      col: str = TEXT) -> DataFrame:
-    return df.where(word_count(col) >= min_words)
+    """Rows with at least ``min_words`` whitespace-separated words (checked
+    by an anchored match that stops at that word, not by counting all)."""
+    return df.where(has_min_words(col, min_words))
 
 
 def gate_min_words(df: DataFrame, min_words: int = GATE_MIN_WORDS,
                    col: str = TEXT) -> DataFrame:
     """Validity gate: adds ``accepted`` (at least ``min_words`` words)."""
-    wc = F.coalesce(word_count(col), F.lit(0))
-    return df.withColumn("accepted", wc >= min_words)
+    return df.withColumn("accepted", has_min_words(col, min_words))
 
 
 def split_gate(df: DataFrame, min_words: int = GATE_MIN_WORDS, col: str = TEXT):
