@@ -78,3 +78,14 @@ def test_date_parse_coerces(spark):
     got = [r[0] for r in df.select(tx.parse_date("d")).collect()]
     assert str(got[0]) == "2023-08-01" and got[1] is None and str(got[2]) == "2023-08-15"
     assert got[3] is None
+
+
+def test_has_min_words_equals_count(spark):
+    texts = ["a " * 19 + "b", "a " * 18 + "b", "  " + "x\t" * 25, "", "one", " \n a b c ",
+             "w " * 3]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = df.select(tx.has_min_words("t", 20).alias("a"), tx.has_min_words("t", 3).alias("b"),
+                    tx.word_count("t").alias("wc")).collect()
+    for r in got:
+        wc = r["wc"] or 0
+        assert r["a"] == (wc >= 20) and r["b"] == (wc >= 3)
