@@ -74,7 +74,9 @@ def confidence_hist(pred: DataFrame, model: str = "model", bins: int = 30) -> Da
     (last bin closed) plus the mean; bounds come from a per-model aggregate."""
     stats = pred.groupBy(model).agg(F.min("confidence").alias("lo"), F.max("confidence").alias("hi"),
                                     F.avg("confidence").alias("mean"))
-    j = pred.select(model, "confidence").join(stats, model)
+    # one stats row per model; broadcast, as a shuffle join on a handful of
+    # model keys would put every prediction in a handful of tasks
+    j = pred.select(model, "confidence").join(F.broadcast(stats), model)
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)) \
          .otherwise(F.floor((F.col("confidence") - F.col("lo")) / width))

@@ -2,11 +2,10 @@
 
 Fixed maps (tens of entries, known at plan time) are inlined as literal
 ``map`` expressions: a lookup is then a codegen'd hash probe inside the scan
-stage, with no join and no exchange at all. Data-dependent tables (label
-encoders) are joined without a hint; the table is the result of a
-``distinct``/``groupBy`` stage, so AQE sees its real size at run time and
-picks a broadcast join only when it is under the broadcast threshold, and a
-shuffle join otherwise.
+stage, with no join and no exchange at all. Label encoders have one row per
+label and are broadcast (a shuffle join on a low-cardinality key would put
+a whole class in one task); user lookup tables of any size are joined
+without a hint and AQE picks the strategy from their measured size.
 """
 
 from __future__ import annotations
@@ -71,9 +70,12 @@ def label_encoder(df: DataFrame, col: str, code: str | None = None) -> DataFrame
 
 
 def encode_labels(df: DataFrame, cols=("product", "issue_group")) -> DataFrame:
+    """Add ``<col>_encoded`` codes. Each encoder has one row per label and
+    is broadcast: a shuffle join on a label key would send a whole class
+    (possibly a third of the rows) to one task."""
     out = df
     for c in cols:
-        out = out.join(label_encoder(df, c), c, "left")
+        out = out.join(F.broadcast(label_encoder(df, c)), c, "left")
     return out
 
 

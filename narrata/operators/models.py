@@ -50,7 +50,9 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     w = Window.partitionBy()
     counts = counts.select(label, (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc")))
                            .alias("weight"))
-    return df.join(counts, label)
+    # one row per class: broadcast (a shuffle join on the class key would
+    # send each class, however large, to one task)
+    return df.join(F.broadcast(counts), label)
 
 
 @dataclass

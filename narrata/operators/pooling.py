@@ -93,8 +93,10 @@ def attention_pool(df: DataFrame, group: str, vec: str, id_col: str,
              else F.element_at(F.array(*[F.lit(float(v)) for v in v_weights]), F.col("dim") + 1))
     scores = long.groupBy("_vid", group).agg(F.sum(vsign * F.tanh("x")).alias("s"))
     gmax = scores.groupBy(group).agg(F.max("s").alias("_m"))
-    ex = scores.join(gmax, group).withColumn("e", F.exp(F.col("s") - F.col("_m")))
+    # one row per group on the right: broadcast, so a hot group is never a
+    # single shuffle partition
+    ex = scores.join(F.broadcast(gmax), group).withColumn("e", F.exp(F.col("s") - F.col("_m")))
     gsum = ex.groupBy(group).agg(F.sum("e").alias("_z"))
-    w = ex.join(gsum, group).select("_vid", (F.col("e") / F.col("_z")).alias("w"))
+    w = ex.join(F.broadcast(gsum), group).select("_vid", (F.col("e") / F.col("_z")).alias("w"))
     pooled = long.join(w, "_vid").groupBy(group, "dim").agg(F.sum(F.col("w") * F.col("x")).alias("value"))
     return pooled.select(group, F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))
