@@ -81,8 +81,10 @@ def encode_labels(df: DataFrame, cols=("product", "issue_group")) -> DataFrame:
 
 def decode_labels(df: DataFrame, encoder: DataFrame, code_col: str,
                   enc_code: str, enc_label: str, out: str) -> DataFrame:
+    """Code -> label name through an encoder table (one row per class,
+    broadcast)."""
     e = encoder.select(F.col(enc_code).alias("_code"), F.col(enc_label).alias(out))
-    return df.join(e, F.col(code_col) == F.col("_code"), "left").drop("_code")
+    return df.join(F.broadcast(e), F.col(code_col) == F.col("_code"), "left").drop("_code")
 
 
 def decode_by_array(code_col: str, names: list[str]) -> Column:
