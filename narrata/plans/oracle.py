@@ -125,10 +125,10 @@ def balanced_ctes(max_per_class: int, min_per_class: int, seed: int,
          count(*) OVER (PARTITION BY {label}) AS _n
   FROM {src} s),
 sd AS (SELECT DISTINCT {label}, _n FROM bk WHERE _n < {min_per_class}),
-dr AS (SELECT sd.{label} AS _lab, g.j AS draw, ({pick} % sd._n) + 1 AS _pick
+dr AS (SELECT sd.{label} AS _lab, CAST(g.j AS INTEGER) AS draw, ({pick} % sd._n) + 1 AS _pick
        FROM sd, (SELECT unnest(generate_series(1, {min_per_class})) AS j) g),
 bal AS (
-  SELECT * EXCLUDE (_r, _n), 0 AS draw FROM bk WHERE _n >= {min_per_class} AND _r <= {max_per_class}
+  SELECT * EXCLUDE (_r, _n), CAST(0 AS INTEGER) AS draw FROM bk WHERE _n >= {min_per_class} AND _r <= {max_per_class}
   UNION ALL
   SELECT bk.* EXCLUDE (_r, _n), dr.draw FROM bk JOIN dr ON bk.{label} = dr._lab AND bk._r = dr._pick)"""
 
@@ -167,8 +167,8 @@ def per_class_ctes(src: str, model: bool = False, prefix: str = "") -> str:
     return f"""{p}cnt AS (SELECT {m}y_true AS t, y_pred AS p, count(*) AS n FROM {src} GROUP BY ALL),
 {p}cls AS (SELECT DISTINCT {m}t AS cls FROM {p}cnt UNION SELECT DISTINCT {m}p AS cls FROM {p}cnt),
 {p}tp AS (SELECT {m}t AS cls, n AS tp FROM {p}cnt WHERE t = p),
-{p}sup AS (SELECT {m}t AS cls, sum(n) AS support FROM {p}cnt GROUP BY ALL),
-{p}prd AS (SELECT {m}p AS cls, sum(n) AS predicted FROM {p}cnt GROUP BY ALL),
+{p}sup AS (SELECT {m}t AS cls, CAST(sum(n) AS BIGINT) AS support FROM {p}cnt GROUP BY ALL),
+{p}prd AS (SELECT {m}p AS cls, CAST(sum(n) AS BIGINT) AS predicted FROM {p}cnt GROUP BY ALL),
 {p}pc0 AS (SELECT c.*, coalesce(tp, 0) AS tp, coalesce(support, 0) AS support,
                   coalesce(predicted, 0) AS predicted
            FROM {p}cls c LEFT JOIN {p}tp USING ({k}) LEFT JOIN {p}sup USING ({k})

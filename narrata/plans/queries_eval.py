@@ -239,7 +239,7 @@ z AS (SELECT id, y_pred, unnest(generate_series(1, 10)) AS pos, unnest(proba) AS
 r AS (SELECT id, y_pred, pos, probability,
              row_number() OVER (PARTITION BY id ORDER BY probability DESC, ({'[' + ', '.join(o.q(x) for x in LABELS) + ']'})[pos]) AS rank
       FROM z)
-SELECT id, rank, ({'[' + ', '.join(o.q(x) for x in LABELS) + ']'})[pos] AS label,
+SELECT id, CAST(rank AS INTEGER) AS rank, ({'[' + ', '.join(o.q(x) for x in LABELS) + ']'})[pos] AS label,
        round(probability, 6) AS probability, pos - 1 = y_pred AS is_pred
 FROM r WHERE rank <= 8""")
 def q_top_probabilities(spark, sf):
@@ -253,15 +253,15 @@ def q_top_probabilities(spark, sf):
 _HIST = """WITH d AS (
   SELECT user_id AS run, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day,
          avg(value) AS v, count(*) AS n FROM events GROUP BY ALL),
-h AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY day) AS epoch,
+h AS (SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY day) AS INTEGER) AS epoch,
              v / (v + 1) AS val_f1_macro FROM d),
 a AS (SELECT *, max(val_f1_macro) OVER (PARTITION BY run ORDER BY epoch
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_best FROM h),
 b AS (SELECT *, prev_best IS NULL OR val_f1_macro > prev_best AS improved,
              max(val_f1_macro) OVER (PARTITION BY run ORDER BY epoch
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_so_far FROM a),
-c AS (SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY run ORDER BY epoch
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since_best FROM b),
+c AS (SELECT *, CAST(epoch - max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY run ORDER BY epoch
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS since_best FROM b),
 th AS (SELECT *, epoch = min(CASE WHEN since_best >= 3 THEN epoch END) OVER (PARTITION BY run) AS stop
        FROM c)"""
 
@@ -286,7 +286,7 @@ def q_best_epochs(spark, sf):
     return hi.best_epochs(th)
 
 
-@register("token_weights_norm", """SELECT vec_id, pos, round(w, 6) AS w FROM (
+@register("token_weights_norm", """SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(w, 6) AS w FROM (
   SELECT vec_id, unnest(generate_series(1, 45)) AS pos,
          unnest(list_transform(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))),
                 lambda v: v / (list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) + 1e-9))[1:45]) AS w

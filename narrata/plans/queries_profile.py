@@ -110,8 +110,8 @@ def q_monthly_events(spark, sf):
 
 
 @register("mapping_coverage", _F + """
-SELECT count(*) - sum(CASE WHEN issue_group = 'Other' THEN 1 ELSE 0 END) AS mapped,
-       sum(CASE WHEN issue_group = 'Other' THEN 1 ELSE 0 END) AS unmapped,
+SELECT CAST(count(*) - sum(CASE WHEN issue_group = 'Other' THEN 1 ELSE 0 END) AS BIGINT) AS mapped,
+       CAST(sum(CASE WHEN issue_group = 'Other' THEN 1 ELSE 0 END) AS BIGINT) AS unmapped,
        round((count(*) - sum(CASE WHEN issue_group = 'Other' THEN 1 ELSE 0 END)) * 100.0 / count(*), 6) AS mapped_pct,
        round(sum(CASE WHEN issue_group = 'Other' THEN 1 ELSE 0 END) * 100.0 / count(*), 6) AS unmapped_pct
 FROM prep""")
@@ -189,7 +189,7 @@ def _words_sql(stop, n, sample=None):
 , t AS (SELECT product, unnest({o.tokens_sql('narrative')}) AS word FROM {src} s WHERE narrative IS NOT NULL),
 c AS (SELECT product, word, count(*) AS n FROM t
       WHERE regexp_full_match(word, '[a-z]{{3,}}') AND word NOT IN ({stop_list}) GROUP BY 1, 2)
-SELECT product, word, n, row_number() OVER (PARTITION BY product ORDER BY n DESC, word) AS rank
+SELECT product, word, n, CAST(row_number() OVER (PARTITION BY product ORDER BY n DESC, word) AS INTEGER) AS rank
 FROM c QUALIFY rank <= {n}"""
 
 
