@@ -74,8 +74,8 @@ def length_describe(df: DataFrame, value: Column | str) -> DataFrame:
     return agg.select(
         F.col("count").cast("bigint").alias("count"), F.round("mean", 6).alias("mean"),
         F.round(F.sqrt("_var"), 6).alias("std"),
-        F.col("min").cast("double").alias("min"), F.col("_q")[0].alias("p25"),
-        F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"),
+        F.col("min").cast("double").alias("min"), F.round(F.col("_q")[0], 6).alias("p25"),
+        F.round(F.col("_q")[1], 6).alias("p50"), F.round(F.col("_q")[2], 6).alias("p75"),
         F.col("max").cast("double").alias("max"))
 
 
@@ -86,7 +86,7 @@ def length_percentiles(df: DataFrame, value: Column | str, ps=None) -> DataFrame
     r = vt.agg(q.alias("q"))
     return r.select(F.posexplode("q").alias("i", "value")).select(
         F.element_at(F.array(*[F.lit(int(round(p * 100))) for p in ps]), F.col("i") + 1)
-        .alias("pct"), F.col("value"))
+        .alias("pct"), F.round("value", 6).alias("value"))
 
 
 def length_histogram(df: DataFrame, value: Column | str, clip: int = LENGTH_CLIP,
@@ -115,8 +115,8 @@ def length_by_class(df: DataFrame, label: str, value: Column | str,
     q = vt.groupBy(label).agg(
         F.percentile(F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("f")).alias("q"),
         F.sum("f").alias("n"))
-    q = q.select(label, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                 F.col("q")[2].alias("q3"))
+    q = q.select(label, "n", F.round(F.col("q")[0], 6).alias("q1"),
+                 F.round(F.col("q")[1], 6).alias("median"), F.round(F.col("q")[2], 6).alias("q3"))
     j = vt.join(q, label)
     iqr = F.col("q3") - F.col("q1")
     inside = (F.col("v") >= F.col("q1") - 1.5 * iqr) & (F.col("v") <= F.col("q3") + 1.5 * iqr)

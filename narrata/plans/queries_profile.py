@@ -50,8 +50,9 @@ def q_dataset_summary(spark, sf):
 
 @register("length_describe", _F + f"""
 SELECT CAST(count(*) AS BIGINT) AS count, round(avg(w), 6) AS mean, round(stddev_samp(w), 6) AS std,
-       CAST(min(w) AS DOUBLE) AS min, quantile_cont(w, 0.25) AS p25, quantile_cont(w, 0.5) AS p50,
-       quantile_cont(w, 0.75) AS p75, CAST(max(w) AS DOUBLE) AS max
+       CAST(min(w) AS DOUBLE) AS min, round(quantile_cont(w, 0.25), 6) AS p25,
+       round(quantile_cont(w, 0.5), 6) AS p50, round(quantile_cont(w, 0.75), 6) AS p75,
+       CAST(max(w) AS DOUBLE) AS max
 FROM (SELECT {_RAW_WC} AS w FROM prep)""")
 def q_length_describe(spark, sf):
     return pf.length_describe(_prep(spark, sf), _raw_wc())
@@ -59,7 +60,7 @@ def q_length_describe(spark, sf):
 
 @register("length_percentiles", _F + f"""
 SELECT unnest([50, 75, 90, 95, 99]) AS pct,
-       unnest(quantile_cont(w, [0.5, 0.75, 0.9, 0.95, 0.99])) AS value
+       unnest(list_transform(quantile_cont(w, [0.5, 0.75, 0.9, 0.95, 0.99]), lambda v: round(v, 6))) AS value
 FROM (SELECT {_RAW_WC} AS w FROM prep)""")
 def q_length_percentiles(spark, sf):
     return pf.length_percentiles(_prep(spark, sf), _raw_wc())
@@ -78,8 +79,9 @@ def q_length_histogram(spark, sf):
 
 @register("length_by_class", _F + f"""
 , v AS (SELECT product, {_RAW_WC} AS v FROM prep WHERE {_RAW_WC} < 500),
-q AS (SELECT product, CAST(count(*) AS BIGINT) AS n, quantile_cont(v, 0.25) AS q1,
-             quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM v GROUP BY product)
+q AS (SELECT product, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(v, 0.25), 6) AS q1,
+             round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3
+      FROM v GROUP BY product)
 SELECT q.product, q.n, q.q1, q.median, q.q3,
   CAST(min(CASE WHEN v.v >= q1 - 1.5 * (q3 - q1) AND v.v <= q3 + 1.5 * (q3 - q1) THEN v.v END) AS DOUBLE) AS whisker_lo,
   CAST(max(CASE WHEN v.v >= q1 - 1.5 * (q3 - q1) AND v.v <= q3 + 1.5 * (q3 - q1) THEN v.v END) AS DOUBLE) AS whisker_hi
