@@ -2,7 +2,7 @@
 
 # FIXED VALUES: confusion matrices and scalar metrics of four evaluated models
 METRICS = {
-    "baseline_product": {
+    "linear_product": {
         "matrix": [
             [1843, 144, 1, 21, 208, 15, 2, 3, 13],
             [161, 1853, 5, 119, 52, 11, 9, 5, 35],
@@ -20,7 +20,7 @@ METRICS = {
         "f1_macro": 0.8787445428540714,
         "f1_weighted": 0.8761314529222303,
     },
-    "baseline_issue_group": {
+    "linear_issue_group": {
         "matrix": [
             [1580, 263, 50, 102, 178, 160, 139, 85],
             [151, 967, 17, 37, 28, 70, 27, 33],
@@ -37,7 +37,7 @@ METRICS = {
         "f1_macro": 0.6208086135647649,
         "f1_weighted": 0.7106983693591544,
     },
-    "bilstm_attention_product": {
+    "recurrent_product": {
         "matrix": [
             [1880, 127, 0, 14, 188, 16, 0, 8, 17],
             [212, 1800, 0, 138, 45, 19, 2, 10, 24],
@@ -55,7 +55,7 @@ METRICS = {
         "f1_macro": 0.8834069855833666,
         "f1_weighted": 0.8679197419056376,
     },
-    "distilbert_product": {
+    "transformer_product": {
         "matrix": [
             [1888, 99, 0, 20, 206, 16, 3, 5, 13],
             [181, 1844, 0, 121, 51, 6, 8, 7, 32],
@@ -75,7 +75,7 @@ METRICS = {
     },
 }
 
-# FIXED VALUES: validation history of the recurrent model (10 epochs)
+# FIXED VALUES: validation history of a recurrent model (10 epochs)
 HISTORY = {
     "train_loss": [0.9970628639311593, 0.5063364185693268, 0.3878825312892649, 0.3161287515293135, 0.2707086456780918, 0.23374903621278872, 0.19746845432451474, 0.14002436793256348, 0.11006194450428712, 0.08994462756780741],
     "val_loss": [0.5399339979014293, 0.46151873062704213, 0.40969584837880835, 0.38588396038221795, 0.39612411499023437, 0.38734446223279767, 0.40542977110247747, 0.4684229766394119, 0.4961801063977298, 0.5705385939131644],

@@ -5,7 +5,7 @@ from tests.golden_values import HISTORY
 
 
 def test_best_epoch_and_stop(spark):
-    df = spark.createDataFrame([("bilstm", *[HISTORY[k] for k in
+    df = spark.createDataFrame([("recurrent", *[HISTORY[k] for k in
                                              ["train_loss", "val_loss", "val_f1_macro", "val_accuracy"]])],
                                "run string, train_loss array<double>, val_loss array<double>, "
                                "val_f1_macro array<double>, val_accuracy array<double>")

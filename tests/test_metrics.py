@@ -7,7 +7,7 @@ from narrata.operators import errors as er
 from narrata.operators import metrics as mt
 from tests.golden_values import COMPARISON, METRICS
 
-NAMES = ["baseline_product", "bilstm_attention_product", "distilbert_product"]
+NAMES = ["linear_product", "recurrent_product", "transformer_product"]
 
 
 def _long(spark, name):
@@ -26,11 +26,11 @@ def test_metrics_from_published_matrix(spark, name):
 
 def test_metrics_from_prediction_rows_equal_matrix(spark):
     # expand one matrix into prediction rows and go through the row path
-    df = _long(spark, "baseline_product").where("n > 0")
+    df = _long(spark, "linear_product").where("n > 0")
     rows = df.select(F.col("t").alias("y_true"), F.col("p").alias("y_pred"),
                      F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("_"))
     got = mt.classification_metrics(rows).first()
-    assert abs(got["f1_macro"] - METRICS["baseline_product"]["f1_macro"]) < 1e-12
+    assert abs(got["f1_macro"] - METRICS["linear_product"]["f1_macro"]) < 1e-12
     cm = mt.confusion_matrix(rows)
     assert cm.count() == 81 and cm.agg(F.sum("n")).first()[0] == 16050
 
