@@ -23,3 +23,10 @@ def test_fixture_counts_sf001(spark):
     got = {r[0]: r[1] for r in prep.groupBy("priority").count().collect()}
     assert got == {"Low": 236, "Critical": 179, "Medium": 162, "High": 139}
     assert prep.where("issue_group = 'Other'").count() == 37
+
+
+def test_only_model_queries_lack_an_oracle():
+    qs, sql = E.queries(), E.oracle_sql()
+    assert set(qs) - set(sql) == {
+        "train_product", "train_issue_group", "predict_batch", "train_word2vec", "train_nb",
+        "top_features", "model_roundtrip", "token_attribution", "triage_batch"}
