@@ -87,3 +87,12 @@ def test_class_weights_absent_class_and_total(spark):
     # sum of weight * n over present classes = N * (present / C)
     s = sum(r["weight"] * r["n"] for r in got.values() if r["weight"] is not None)
     assert abs(s - n_total * 3 / 4) < 1e-12
+
+
+def test_dedup_plans_partial_limit_before_exchange(spark):
+    """A text copied many times ships at most one row per map task."""
+    df = spark.range(0, 1000).select(F.col("id").alias("complaint_id"),
+                                     (F.col("id") % 3).cast("string").alias("narrative"))
+    plan = dedup_first(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2  # partial (map side) and final
+    assert dedup_first(df).count() == 3
