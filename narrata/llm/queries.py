@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import prefix_bpe, rans
+from narrata.llm import curriculum, gam, line_crf, prefix_bpe, rans, simhash
 from narrata.llm.common import documents
 
 QUERIES: dict = {}
@@ -39,3 +39,33 @@ def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+@query
+def op6_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), shingle=4, distance=4)
+
+
+@query
+def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = line_crf.train(docs, documents(spark, sf_dir, "labels"))
+    return line_crf.judge(docs.select("doc_id", "text"), model).drop("text")
+
+
+@query
+def op7_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = gam.train(docs, documents(spark, sf_dir, "labels"))
+    return gam.score(docs.select("doc_id", "text"), model) \
+        .select("doc_id", gam.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = curriculum.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "copies", "taken",
+                        F.round("position", 9).alias("position"))
+
+
+ORACLE["op8_curriculum_mix"] = curriculum.ORACLE
