@@ -19,7 +19,7 @@ from narrata.session import scratch_path, ship_package
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: rows of one Arrow batch: texts may be long, so batches stay small
-BATCH_ROWS = 512
+BATCH_ROWS = 128
 #: a table of more rows than this is joined by a salted shuffle, not broadcast
 BROADCAST_ROWS = 200_000
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import curriculum, gam, line_crf, prefix_bpe, rans, simhash
+from narrata.llm import curriculum, gam, interpolated_lm, line_crf, prefix_bpe, rans, simhash
 from narrata.llm.common import documents
 
 QUERIES: dict = {}
@@ -69,3 +69,8 @@ def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op8_curriculum_mix"] = curriculum.ORACLE
+
+
+@query
+def op1_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score(documents(spark, sf_dir))
