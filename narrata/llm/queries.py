@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import curriculum, gam, interpolated_lm, line_crf, prefix_bpe, rans, simhash
+from narrata.llm import curriculum, gam, interpolated_lm, line_crf, prefix_bpe, rans, simhash, stable_ann
 from narrata.llm.common import documents
 
 QUERIES: dict = {}
@@ -74,3 +74,9 @@ ORACLE["op8_curriculum_mix"] = curriculum.ORACLE
 @query
 def op1_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_lm.score(documents(spark, sf_dir))
+
+
+@query
+def op10_stable_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = documents(spark, sf_dir, "embeddings")
+    return stable_ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
