@@ -93,8 +93,8 @@ def join_keyed(big: DataFrame, small: DataFrame, keys: list[str], how: str = "le
         joined = big.join(F.broadcast(small), _all(cond), how)
     else:
         salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        left = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns[:1], F.rand(7)),
-                                              F.lit(salts)).cast("int"))
+        plain = [f.name for f in big.schema.fields if f.dataType.typeName() in ("long", "integer", "string", "double")]
+        left = big.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
         joined = left.join(salted, _all([left[k].eqNullSafe(salted[k]) for k in [*keys, "_salt"]]), how)
         small = salted
         joined = joined.drop(left["_salt"]).drop(salted["_salt"])

@@ -8,7 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import curriculum, gam, interpolated_lm, line_crf, prefix_bpe, rans, simhash, stable_ann
+from narrata.llm import (
+    curriculum,
+    gam,
+    interpolated_lm,
+    line_crf,
+    pii_bootstrap,
+    prefix_bpe,
+    rans,
+    simhash,
+    stable_ann,
+    wrapper_html,
+)
 from narrata.llm.common import documents
 
 QUERIES: dict = {}
@@ -80,3 +91,18 @@ def op1_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_stable_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = documents(spark, sf_dir, "embeddings")
     return stable_ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+@query
+def op3_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_bootstrap.extract(documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
+    counts = [F.size(F.filter("base", pii_bootstrap.is_kind(k))).cast("long").alias(f"n_{name}")
+              for k, name in enumerate(pii_bootstrap.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii_bootstrap.spans_text(F.col("base")), 256).alias("base_sha256"),
+                        pii_bootstrap.spans_text(F.concat("base", "added")).alias("spans"))
+
+
+@query
+def op4_wrapper_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = documents(spark, sf_dir, "pages")
+    return wrapper_html.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
