@@ -112,3 +112,17 @@ def _all(conds: list[Column]) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+
+
+def pack(docs: DataFrame, *plain: str) -> DataFrame:
+    """The ``plain`` columns, and all others as one struct column ``others``, so
+    that no column of the caller can clash with an operator's."""
+    rest = [c for c in docs.columns if c not in plain]
+    others = F.struct(*[docs[f"`{c}`"] for c in rest]) if rest else F.struct(F.lit(0).alias("none"))
+    return docs.select(*plain, others.alias("others"))
+
+
+def unpack(packed: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that :func:`pack` took, in their order."""
+    return packed.select(*[F.col(c) if c in packed.columns and c != "others"
+                           else F.col("others").getField(c).alias(c) for c in columns])

@@ -33,10 +33,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import map_arrow, materialise, text_bytes
+from narrata.llm.common import map_arrow, materialise
 
 LEAF = 32
 SPLIT = 50_000
@@ -68,15 +69,21 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, shingle: int = 4, carry: bool = False) -> DataFrame:
+    """(row_id, doc_id, fp): fingerprints as signed 64-bit integers; with
+    ``carry`` also the text and an ``others`` column of ``docs``."""
+    kept = [f for f in docs.schema.fields if carry and f.name in ("text", "others")]
+    ddl = ", ".join(["row_id long, doc_id long, fp long", *(f"{f.name} {f.dataType.simpleString()}" for f in kept)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
-            fps = [fingerprint(t, shingle) for t in b.column("text").to_pylist()]
-            yield {"doc_id": b.column("doc_id"), "fp": pa.array(np.array(fps, "<u8").view("<i8"))}
+            fps = [fingerprint((t or "").encode(), shingle) for t in b.column("text").to_pylist()]
+            yield {"row_id": pa.array(range(row, row + len(fps)), type=pa.int64()), "doc_id": b.column("doc_id"),
+                   "fp": pa.array(np.array(fps, "<u8").view("<i8")), **{f.name: b.column(f.name) for f in kept}}
+            row += len(fps)
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_bytes()), "doc_id long, fp long", run)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text", *[f.name for f in kept if f.name != "text"]), ddl, run)
 
 
 # -------------------------------------------------------- Gray-order index
@@ -261,17 +268,32 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document."""
-    fps = materialise(fingerprints(docs, shingle), "simhash")
-    # one row per fingerprint, named by its smallest document (or by its bits)
-    named = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+def classes(fps: DataFrame, distance: int) -> DataFrame:
+    """(node, comp, component_id) of every distinct fingerprint: the class label
+    (a fingerprint) and the smallest doc_id of the class."""
+    named = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     edges = materialise(links(named.select("fp"), distance), "simhash-links")
     comps = components(edges)
     member = named.join(comps, named["fp"] == comps["node"], "left") \
         .select("fp", "low", F.coalesce("comp", "fp").alias("comp"))
-    # smallest doc_id of each component that has links; others name themselves
     least = member.groupBy("comp").agg(F.min("low").alias("component_id"))
-    table = member.join(least, "comp").select(F.col("fp").alias("node"), "component_id")
+    return member.join(least, "comp").select(F.col("fp").alias("node"), "comp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document."""
+    fps = materialise(fingerprints(docs, shingle), "simhash")
+    table = classes(fps, distance)
     out = fps.join(table, fps["fp"] == table["node"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
+    """(doc_id, text, others): one document of each class, that of the smallest
+    doc_id (of rows that share it, the first)."""
+    found = materialise(fingerprints(docs, shingle, carry=True), "simhash-rows")
+    table = classes(found.select("fp", "doc_id"), distance)
+    first = found.select("row_id", "doc_id", "fp").join(table, F.col("fp") == F.col("node")) \
+        .groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_id"))).alias("w")) \
+        .select(F.col("w.row_id").alias("row_id"))
+    return found.join(first, "row_id", "left_semi").drop("row_id", "fp")
