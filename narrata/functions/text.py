@@ -22,7 +22,9 @@ ELLIPSIS = "…"
 CLEAN_STEPS = [
     (r"(?U)\bx{2,}\b", REDACTED),
     (r"(?U)https?://\S+|www\.\S+", ""),
-    (r"(?U)\S+@\S+\.\S+", ""),
+    # a match always reaches back to its run's start, so it is only tried there,
+    # up to the run's first "@" that is not its first character: linear time
+    (r"(?U)(?<!\S)\S[^\s@]*+@\S+\.\S+", ""),
     (r"(?U)\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", ""),
 ]
 
@@ -94,26 +96,39 @@ def parse_date(c) -> Column:
 
 
 @lru_cache(maxsize=1)
-def accent_table() -> tuple[str, str]:
-    """1:1 accent-stripping table for U+00A0..U+024F, derived from NFKD.
-
-    A character is mapped when its NFKD form minus combining marks is a
-    single different character.
-    """
-    src, dst = [], []
-    for cp in range(0xA0, 0x250):
+def accent_table() -> tuple[str, str, dict[str, str]]:
+    """Accent stripping for every code point, derived from NFKD without its
+    combining marks: a 1:1 table (source, target; marks, which vanish, are the
+    sources beyond the targets) and the multi-character forms (ligatures,
+    fractions ...). Hangul syllables are left whole."""
+    src, dst, gone, longer = [], [], [], {}
+    for cp in (*range(0xA0, 0xAC00), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)):
         ch = chr(cp)
-        base = "".join(x for x in unicodedata.normalize("NFKD", ch)
-                       if not unicodedata.combining(x))
-        if len(base) == 1 and base != ch:
+        if unicodedata.combining(ch):
+            gone.append(ch)
+            continue
+        form = unicodedata.normalize("NFKD", ch)
+        if form == ch:
+            continue
+        base = "".join(x for x in form if not unicodedata.combining(x))
+        if len(base) == 1 and cp < 0x10000:
             src.append(ch)
             dst.append(base)
-    return "".join(src), "".join(dst)
+        elif base != ch:
+            longer[ch] = base
+    return "".join(src + gone), "".join(dst), longer
 
 
 def strip_accents(c) -> Column:
-    src, dst = accent_table()
-    return F.translate(_c(c), src, dst)
+    """NFKD without combining marks. Multi-character forms are spelt out only in
+    texts that hold a character beyond Latin letters that has one."""
+    src, dst, longer = accent_table()
+    t = _c(c)
+    keys = F.array(*[F.lit(k) for k in longer])
+    table = F.map_from_arrays(keys, F.array(*[F.lit(v) for v in longer.values()]))
+    spelt = F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    rare = r"[^\x{0}-\x{9f}\x{c0}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}]"
+    return F.translate(F.when(t.rlike(rare), spelt).otherwise(t), src, dst)
 
 
 def round6(c) -> Column:

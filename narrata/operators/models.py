@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, NaiveBayes
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, NaiveBayes, NaiveBayesModel
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from narrata.fixed_values import RANDOM_SEED
-from narrata.functions.text import tokenize
+from narrata.functions.text import strip_accents, tokenize
 from narrata.operators.features import (document_count, term_frequencies, tfidf_terms,
                                         tfidf_vocabulary)
 from narrata.operators.pooling import argmax
@@ -88,7 +88,10 @@ class TextClassifier:
     @classmethod
     def load(cls, spark: SparkSession, path: str, id_col: str, text: str) -> "TextClassifier":
         vocab = spark.read.parquet(f"{path}/vocab")
-        model = LogisticRegressionModel.load(f"{path}/model")
+        # the saved metadata names the class of the model
+        meta = spark.read.text(f"{path}/model/metadata").first()[0]
+        kind = NaiveBayesModel if "NaiveBayesModel" in meta else LogisticRegressionModel
+        model = kind.load(f"{path}/model")
         return cls(vocab, model.numFeatures, model, id_col, text)
 
 
@@ -195,11 +198,13 @@ def token_attribution(clf: TextClassifier, df: DataFrame, pred: DataFrame) -> Da
     term in the document, softmax-normalised within the document."""
     coefs = coefficient_table(clf)
     long = tfidf_terms(df, clf.id_col, clf.text, vocab=clf.vocab)
-    toks = df.select(clf.id_col, F.posexplode(tokenize(clf.text)).alias("pos", "token"))
-    t = (toks.join(long.select(clf.id_col, F.col("term").alias("token"), "idx", "weight"),
-                   [clf.id_col, "token"], "left")
+    # terms were counted on accent-stripped text; the token itself is shown raw
+    toks = df.select(clf.id_col, F.posexplode(tokenize(clf.text)).alias("pos", "token")) \
+             .withColumn("term", strip_accents("token"))
+    t = (toks.join(long.select(clf.id_col, "term", "idx", "weight"), [clf.id_col, "term"], "left")
              .join(pred.select(clf.id_col, F.col("y_pred").alias("cls")), clf.id_col)
-             .join(coefs, ["cls", "idx"], "left"))
+             # classes x max_features rows at most
+             .join(F.broadcast(coefs), ["cls", "idx"], "left"))
     score = F.coalesce(F.col("coef") * F.col("weight"), F.lit(0.0))
     w = Window.partitionBy(clf.id_col)
     t = t.withColumn("_s", score).withColumn("_e", F.exp(F.col("_s") - F.max("_s").over(w)))

@@ -201,4 +201,4 @@ def top_words(df: DataFrame, label: str, text: str, n: int = 30,
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-CHART_WORDS = dict(n=150, stopwords=CHART_STOPWORDS, sample_per_class=3000)
+CHART_WORDS = dict(n=150, stopwords=CHART_STOPWORDS)

@@ -21,7 +21,7 @@ from narrata.plans.score import triage_batch
 from narrata.session import read_table, scratch_path
 from narrata.sources.fixtures import complaints
 
-MAX_ITER = 50
+MAX_ITER = 1000  # the optimiser stops earlier by its tolerance
 
 
 def _splits(spark, sf):
@@ -30,6 +30,12 @@ def _splits(spark, sf):
     return df
 
 
+def _all_rows(spark, sf):
+    """Every prepared complaint: what the scoring queries score. Only the fit
+    uses the balanced sample, at most ``T_MAX`` rows per class."""
+    return filter_and_clean(complaints(spark, sf)).withColumn("row_id", F.col("complaint_id"))
+
+
 def _metrics(pred, truth, label):
     j = pred.join(truth.select("row_id", F.col(label).alias("y_true")), "row_id")
     m = mt.classification_metrics(j)
@@ -60,7 +66,7 @@ def q_train_issue_group(spark, sf):
 @register("predict_batch")
 def q_predict_batch(spark, sf):
     df, clf = _fit_lr(spark, sf)
-    p = clf.predict(df.where("split = 'test'"))
+    p = clf.predict(_all_rows(spark, sf))
     return p.select("row_id", "y_pred", round6("confidence").alias("confidence"),
                     F.size("proba").alias("n_classes"))
 
@@ -99,7 +105,7 @@ def q_model_roundtrip(spark, sf):
     path = scratch_path(spark, "model")
     clf.save(path)
     back = ml.TextClassifier.load(spark, path, "row_id", "narrative_clean")
-    test = df.where("split = 'test'")
+    test = _all_rows(spark, sf)
     a = clf.predict(test).select("row_id", F.col("y_pred").alias("a"), F.col("confidence").alias("ca"))
     b = back.predict(test).select("row_id", F.col("y_pred").alias("b"), F.col("confidence").alias("cb"))
     j = a.join(b, "row_id")
@@ -111,7 +117,7 @@ def q_model_roundtrip(spark, sf):
 @register("token_attribution")
 def q_token_attribution(spark, sf):
     df, clf = _fit_lr(spark, sf)
-    test = df.where("split = 'test'")
+    test = _all_rows(spark, sf)
     att = ml.token_attribution(clf, test, clf.predict(test))
     return att.select("row_id", "pos", "token", round6("weight").alias("weight"))
 
@@ -121,7 +127,7 @@ def q_triage_batch(spark, sf):
     df, clf = _fit_lr(spark, sf)
     nb = ml.train_tfidf_nb(df.where("split = 'train'"), "product_encoded", "row_id")
     names = _product_names(df)
-    test = df.where("split = 'test'").select("row_id", "narrative", "narrative_clean")
+    test = _all_rows(spark, sf).select("row_id", "narrative", "narrative_clean")
     return triage_batch(test, {"baseline": clf, "naive_bayes": nb}, names, "row_id")
 
 

@@ -200,7 +200,7 @@ def q_top_words(spark, sf):
     return pf.top_words(_prep(spark, sf), "product", "narrative", 30)
 
 
-@register("top_words_chart", _words_sql(CHART_STOPWORDS, 150, 3000))
+@register("top_words_chart", _words_sql(CHART_STOPWORDS, 150))
 def q_top_words_chart(spark, sf):
     return pf.top_words(_prep(spark, sf), "product", "narrative", **pf.CHART_WORDS)
 

@@ -49,7 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # only reached in local tests: the cluster names a shared folder
+        # a machine-local folder serves local sessions only
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="narrata-ckpt-", dir="/tmp")
         try:
             spark.conf.set("spark.checkpoint.dir", configured)

@@ -56,7 +56,7 @@ def run_triage_stream(spark: SparkSession, source_dir: str, out_path: str, check
     """Process everything available now, then stop (``availableNow``).
 
     With ``summaries_path`` each micro-batch also gets TextRank summaries
-    written by ``foreachBatch`` (append; idempotent per batch id)."""
+    written by ``foreachBatch`` (one folder a batch id, overwritten on replay)."""
     src = open_source(spark, source_dir, glob=glob)
     q = (triage_rows(src, id_col, text).writeStream.format("parquet")
          .option("path", out_path).option("checkpointLocation", f"{checkpoint}/triage")
@@ -67,8 +67,8 @@ def run_triage_stream(spark: SparkSession, source_dir: str, out_path: str, check
 
         def write_batch(batch: DataFrame, batch_id: int) -> None:
             out = summarize(batch.select(id_col, text), id_col, text)
-            out.withColumn("batch_id", F.lit(batch_id)).write.mode("append") \
-               .parquet(summaries_path)
+            # a replayed batch overwrites its own folder
+            out.write.mode("overwrite").parquet(f"{summaries_path}/batch_id={batch_id}")
         q2 = (open_source(spark, source_dir, glob=glob).writeStream
               .option("checkpointLocation", f"{checkpoint}/summaries")
               .foreachBatch(write_batch).trigger(availableNow=True).start())

@@ -89,3 +89,38 @@ def test_has_min_words_equals_count(spark):
     for r in got:
         wc = r["wc"] or 0
         assert r["a"] == (wc >= 20) and r["b"] == (wc >= 3)
+
+
+def test_strip_accents_full_range(spark):
+    import unicodedata
+
+    from narrata.functions.text import strip_accents
+
+    def plain(s):
+        return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+
+    texts = ["ạ", "é", "ﬁn", "hipotéca ½", "Å™", "ẛ̣", "plain", "", "Ａ㈱"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["s"] for r in df.select("i", strip_accents("t").alias("s")).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts]
+
+
+def test_clean_text_long_runs_are_linear(spark):
+    import random
+    import re
+    import time
+
+    from pyspark.sql import functions as F
+
+    from narrata.functions.text import CLEAN_STEPS, clean_text
+
+    mail = next(p for p, _ in CLEAN_STEPS if "@" in p)
+    r = random.Random(3)
+    rows = ["".join(r.choice(["a", "@", ".", " ", "\n", "b.c"]) for _ in range(r.randrange(1, 25))) for _ in range(4000)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string") \
+        .select("i", "t", F.regexp_replace("t", mail, "").alias("s")).collect()
+    assert all(x["s"] == re.sub(r"\S+@\S+\.\S+", "", x["t"]) for x in got)
+    long = spark.createDataFrame([("a" * 200_000,), ("a@" * 100_000,)], "t string")
+    start = time.time()
+    long.select(F.length(clean_text("t"))).collect()
+    assert time.time() - start < 10
