@@ -175,11 +175,11 @@ class GrayIndex:
         return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def fields(distance: int) -> list[tuple[int, int]]:
-    """(shift, width) of ``distance + 1`` fields that cover 64 bits."""
+def fields(distance: int, bits: int = 64) -> list[tuple[int, int]]:
+    """(shift, width) of ``distance + 1`` fields that cover ``bits`` bits."""
     if distance < 1:
         raise ValueError("distance 0 links equal fingerprints only: group by fp instead")
-    cuts = [round(64 * k / (distance + 1)) for k in range(distance + 2)]
+    cuts = [round(bits * k / (distance + 1)) for k in range(distance + 2)]
     return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
@@ -201,9 +201,15 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     else:
         hot = F.broadcast(big)  # at most (distance + 1) * 2**13 rows
         rest = dealt.join(hot, ["k", "v"], "left_anti").withColumn("w", F.lit(-1).cast("long"))
-        again = dealt.join(hot, ["k", "v"], "left_semi").select("k", "v", "fp", F.explode(F.array(*[
-            F.when(F.col("k") != k, _field(F.col("fp"), s, w) * 8 + k) for k, (s, w) in enumerate(cut)])).alias("w"))
-        keyed = rest.select("k", "v", "fp", "w").unionByName(again.filter("w is not null"))
+        # the bits outside field k, cut into distance + 1 fields again
+        rest_of = F.lit(None)
+        for k, (s, w) in enumerate(cut):
+            fp = F.col("fp")
+            turned = F.shiftrightunsigned(fp, s + w).bitwiseOR(F.shiftleft(fp, 64 - s - w)) if s + w < 64 else fp
+            rest_of = F.when(F.col("k") == k, F.array(*[
+                _field(turned, a, b) * 64 + j for j, (a, b) in enumerate(fields(distance, 64 - w))])).otherwise(rest_of)
+        again = dealt.join(hot, ["k", "v"], "left_semi").select("k", "v", "fp", F.explode(rest_of).alias("w"))
+        keyed = rest.select("k", "v", "fp", "w").unionByName(again)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         """Groups arrive in order; each is indexed when its last row is seen."""

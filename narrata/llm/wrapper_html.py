@@ -390,21 +390,20 @@ def _fold(wrappers: list[list]) -> list:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (url, html, any more) with ``text``."""
-    keep = [f for f in pages.schema.fields if f.name not in ("text", "html")]
+    keep = [f for f in pages.schema.fields if f.name not in ("text", "html", "_host", "_paths")]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "text string"])
 
     def regions(batches):
         for b in batches:
-            yield {"host": b.column("host"), "paths": [plan(json.loads(w)) for w in b.column("wrapper").to_pylist()]}
+            yield {"host": b.column("host"), "_paths": [plan(json.loads(w)) for w in b.column("wrapper").to_pylist()]}
 
-    plans = materialise(map_arrow(infer(pages), "host string, paths array<string>", regions), "wrappers")
-    placed = join_keyed(pages.select(*[f.name for f in keep], "html", host_of().alias("host")) if "host" not in pages.columns
-                        else pages.drop("host").withColumn("host", host_of()), plans, ["host"])
+    plans = materialise(map_arrow(infer(pages), "host string, _paths array<string>", regions), "wrappers")
+    placed = join_keyed(pages.withColumn("_host", host_of()), plans.withColumnRenamed("host", "_host"), ["_host"])
 
     def read(batches):
         for b in batches:
             yield {**{f.name: b.column(f.name) for f in keep},
                    "text": [main_text(parse(t or ""), p or []) for t, p in
-                            zip(b.column("html").to_pylist(), b.column("paths").to_pylist(), strict=True)]}
+                            zip(b.column("html").to_pylist(), b.column("_paths").to_pylist(), strict=True)]}
 
     return map_arrow(placed, ddl, read)
