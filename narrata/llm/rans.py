@@ -45,7 +45,7 @@ LANES = 1024
 STEPS = 256
 BLOCK_IDS = 1 << 20
 FILE_IDS = 8 << 20
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 500_000
 _LOW = np.uint64(1 << 31)
 _MAGIC = b"RNS1"
 _HEAD = struct.Struct("<4s6IQ")
@@ -187,46 +187,64 @@ class Chunked:
     """The library's encoder with a cache of text chunks.
 
     A single space before a non-space always begins a pre-token, so a text
-    without other spaces is cut there and its chunks are encoded (once per
-    distinct chunk) by the library; other texts, and texts that name a special
-    token, are encoded by it whole."""
+    without other spaces falls into chunks that are encoded independently. The
+    chunks a batch lacks are joined, one space before each, and encoded by the
+    library as one text; its ids are cut again where a token begins with the
+    space, which only a chunk's first token does. Texts with other spaces or
+    with a special token's string are encoded by the library as they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import re
-
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.odd = re.compile(r" (?:[\s\x1c-\x1f\x85]|$)|^ |" + "|".join(
-            re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()))
-        self.head: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-
-    def _fill(self, cache: dict[str, bytes], chunks: list[str], lead: str) -> None:
-        new = [c for c in dict.fromkeys(chunks) if c not in cache]
-        if len(cache) + len(new) > CACHE_CHUNKS:
-            cache.clear()
-            new = list(dict.fromkeys(chunks))
-        got = self.library.encode_batch_fast([lead + c for c in new], add_special_tokens=False)
-        for c, e in zip(new, got, strict=True):
-            cache[c] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids of the whole text as little-endian 32-bit integers."""
-        if self.odd.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = text.split(" ")
-        first = chunks[0]
-        if first not in self.head:
-            self._fill(self.head, [first], "")
-        tail = chunks[1:]
-        try:
-            return self.head[first] + b"".join(map(self.rest.__getitem__, tail))
-        except KeyError:
-            self._fill(self.rest, tail, " ")
-            return self.head[first] + b"".join(map(self.rest.__getitem__, tail))
+        vocab = self.library.get_vocab()
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # the space's byte symbol
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        if any(" " in t for t in self.special):
+            raise ValueError("a special token holds a space")
+        self.cache: dict[str, bytes | None] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _fill(self, new: set[str]) -> None:
+        chunks = []
+        for c in new:
+            if not c or c[0].isspace() or "<" in c and any(t in c for t in self.special):
+                self.cache[c] = None  # a text with such a chunk is not cut
+            else:
+                chunks.append(c)
+        if not chunks:
+            return
+        text = " " + " ".join(chunks)
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.flatnonzero(self.begins[ids])
+        if len(cut) != len(chunks):
+            raise ValueError("a chunk does not begin with one space")
+        raw = ids.tobytes()
+        ends = [*(4 * cut[1:]).tolist(), len(raw)]
+        self.cache.update((c, raw[s:e]) for c, s, e in zip(chunks, (4 * cut).tolist(), ends, strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian 32-bit integers. A text's first
+        chunk, which no space precedes, is encoded with the library each time."""
+        parts = [t.split(" ") for t in texts]
+        wanted = set().union(*[p[1:] for p in parts])
+        new = {c for c in wanted if c not in self.cache}
+        if len(self.cache) + len(new) > CACHE_CHUNKS:
+            self.cache.clear()
+            new = wanted
+        self._fill(new)
+        get, out = self.cache.__getitem__, []
+        for t, p in zip(texts, parts, strict=True):
+            try:
+                out.append(self._whole(p[0]) + b"".join(map(get, p[1:])))
+            except TypeError:  # a chunk without ids of its own
+                out.append(self._whole(t))
+        return out
 
 
 _LOADED: dict[str, Chunked] = {}
@@ -241,7 +259,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
         _LOADED[path] = enc
         for b in batches:
             yield {"doc_id": b.column("doc_id"),
-                   "ids": [enc.encode(t or "") + end for t in b.column("text").to_pylist()]}
+                   "ids": [e + end for e in enc.encode([t or "" for t in b.column("text").to_pylist()])]}
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, ids binary", run)
 
