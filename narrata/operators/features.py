@@ -28,13 +28,6 @@ def vocab_build(df: DataFrame, text: str, max_vocab: int = MAX_VOCAB,
     return top.select("token", (F.row_number().over(w) + 1).cast("int").alias("id"), "freq")
 
 
-def with_special_tokens(vocab: DataFrame) -> DataFrame:
-    spark = vocab.sparkSession
-    special = spark.createDataFrame([("<PAD>", PAD_IDX, None), ("<UNK>", UNK_IDX, None)],
-                                    "token string, id int, freq bigint")
-    return special.unionByName(vocab)
-
-
 def encode_sequences(df: DataFrame, id_col: str, text: str, vocab: DataFrame,
                      max_len: int = MAX_LEN) -> DataFrame:
     """(id, ids, mask): first ``max_len`` tokens mapped to ids (UNK = 1),
@@ -42,15 +35,15 @@ def encode_sequences(df: DataFrame, id_col: str, text: str, vocab: DataFrame,
 
     Tokens are exploded with their position, looked up with a broadcast
     join against the bounded vocabulary, and re-collected per document
-    (at most ``max_len`` entries each) in position order."""
-    toks = df.select(id_col, F.posexplode(F.slice(tokenize(text), 1, max_len)).alias("pos", "token"))
+    (at most ``max_len`` entries each) in position order: one exchange. The
+    outer explode keeps documents with no token, which get all padding."""
+    toks = df.select(id_col, F.posexplode_outer(F.slice(tokenize(text), 1, max_len)).alias("pos", "token"))
     v = F.broadcast(vocab.select("token", F.col("id").alias("_tid")))
-    looked = toks.join(v, "token", "left").withColumn("_tid", F.coalesce("_tid", F.lit(UNK_IDX)))
-    seqs = looked.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "_tid"))).alias("_s"))
-    ids = F.transform("_s", lambda x: x["_tid"])
-    docs = df.select(id_col).distinct()  # documents with no token get all padding
-    out = docs.join(seqs, id_col, "left").withColumn(
-        "_ids", F.coalesce(ids, F.array().cast("array<int>")))
+    entry = F.when(F.col("pos").isNotNull(),
+                   F.struct("pos", F.coalesce("_tid", F.lit(UNK_IDX)).alias("_tid")))
+    out = (toks.join(v, "token", "left").groupBy(id_col)
+               .agg(F.array_sort(F.collect_list(entry)).alias("_s"))
+               .withColumn("_ids", F.transform("_s", lambda x: x["_tid"])))
     padded = F.concat("_ids", F.array_repeat(F.lit(PAD_IDX), F.lit(max_len) - F.size("_ids")))
     return out.select(id_col, padded.alias("ids")).withColumn(
         "mask", F.transform("ids", lambda x: x != PAD_IDX))
@@ -70,10 +63,15 @@ def ngram_terms(tokens: Column, n_max: int = 2) -> Column:
 
 
 def term_frequencies(df: DataFrame, id_col: str, text: str, n_max: int = 2) -> DataFrame:
-    """(id, term, tf) after accent stripping, lower-casing, tokenising."""
+    """(id, term, tf) after accent stripping, lower-casing, tokenising.
+
+    The one exchange moves each document's tokens to its id's partition. The
+    n-grams are formed and counted there, and what follows per document (the
+    norm) needs no other exchange; n-grams themselves never cross the network,
+    and vocabulary and weights reuse the same exchange."""
     # tokens become a column first: n-gram lambdas then index an array
     # instead of re-running the tokenizer for every element
-    toks = df.select(id_col, tokenize(strip_accents(text)).alias("_tok"))
+    toks = df.select(id_col, tokenize(strip_accents(text)).alias("_tok")).repartition(F.col(id_col))
     terms = ngram_terms(F.col("_tok"), n_max)
     return (toks.select(id_col, F.explode(terms).alias("term"))
               .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))

@@ -2,8 +2,8 @@
 and additive-attention pooling over a long table of vectors.
 
 Array work uses higher-order functions (``transform``/``aggregate``) that
-run inside whole-stage codegen; pooling over groups is a chain of partial
-aggregations on a long table, so no group's vectors are ever collected.
+run inside whole-stage codegen; pooling over groups is one partial
+aggregation on a long table, so no group's vectors are ever collected.
 """
 
 from __future__ import annotations
@@ -73,30 +73,70 @@ def normalize_weights(weights, k: int | None = None) -> Column:
     return F.slice(out, 1, k) if k else out
 
 
-def attention_pool(df: DataFrame, group: str, vec: str, id_col: str,
-                   v_weights: list[float] | None = None, dims: int | None = None) -> DataFrame:
-    """Additive attention pooling per group, with W = I and b = 0 given.
-
-    score(h) = sum_i v_i * tanh(h_i); weights = softmax of scores within the
-    group; pooled_i = sum_h weight(h) * h_i. Long table: one row per
-    (vector, dimension); group max and exp-sum come from aggregations and a
-    join on the group key, never from collecting a group.
-    Returns (group, dim, value).
-    """
-    long = df.select(F.col(id_col).alias("_vid"), group,
-                     F.posexplode(vec).alias("dim", "x"))
-    long = long.withColumn("x", F.col("x").cast("double"))
-    if dims:
-        long = long.where(F.col("dim") < dims)
-    vsign = (F.when(F.col("dim") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-             if v_weights is None
-             else F.element_at(F.array(*[F.lit(float(v)) for v in v_weights]), F.col("dim") + 1))
-    scores = long.groupBy("_vid", group).agg(F.sum(vsign * F.tanh("x")).alias("s"))
-    gmax = scores.groupBy(group).agg(F.max("s").alias("_m"))
-    # one row per group on the right: broadcast, so a hot group is never a
-    # single shuffle partition
-    ex = scores.join(F.broadcast(gmax), group).withColumn("e", F.exp(F.col("s") - F.col("_m")))
-    gsum = ex.groupBy(group).agg(F.sum("e").alias("_z"))
-    w = ex.join(F.broadcast(gsum), group).select("_vid", (F.col("e") / F.col("_z")).alias("w"))
-    pooled = long.join(w, "_vid").groupBy(group, "dim").agg(F.sum(F.col("w") * F.col("x")).alias("value"))
-    return pooled.select(group, F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))
+#: exp(-2 * bound) stays a normal double up to this bound
+_MAX_SHIFT = 300.0
+
+
+def attention_score(vec, v: list[float], W: list[list[float]] | None = None,
+                    b: list[float] | None = None) -> Column:
+    """v . tanh(W h + b) of one vector, inside the row (W = I, b = 0 if absent)."""
+    h = F.transform(_c(vec), lambda x: x.cast("double"))
+
+    def row(r, bias):
+        return F.aggregate(F.zip_with(F.array(*[F.lit(float(w)) for w in r]), h, lambda w, x: w * x),
+                           F.lit(float(bias)), lambda acc, x: acc + x)
+    if W is not None:
+        h = F.array(*[row(r, b[i] if b else 0.0) for i, r in enumerate(W)])
+    elif b is not None:
+        h = F.zip_with(h, F.array(*[F.lit(float(x)) for x in b]), lambda x, y: x + y)
+    vs = F.array(*[F.lit(float(x)) for x in v])
+    return F.aggregate(F.zip_with(vs, h, lambda c, x: c * F.tanh(x)), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _scored(df: DataFrame, group: str, vec: str, v: list[float], W, b, mask) -> DataFrame:
+    """Rows with ``_e`` = exp(score - shift), zero where ``mask`` is not true.
+
+    Softmax does not depend on the shift. tanh bounds every score by
+    sum(|v|), so that constant serves as the shift and no group maximum is
+    needed; beyond ``_MAX_SHIFT`` the group's own maximum is joined instead."""
+    s = attention_score(vec, v, W, b)
+    live = F.lit(True) if mask is None else F.coalesce(_c(mask), F.lit(False))
+    bound = sum(abs(float(x)) for x in v)
+    if bound <= _MAX_SHIFT:
+        return df.withColumn("_e", F.when(live, F.exp(s - F.lit(bound))).otherwise(F.lit(0.0)))
+    scored = df.withColumn("_s", F.when(live, s))
+    top = scored.groupBy(F.col(group).alias("_g")).agg(F.max("_s").alias("_m"))
+    return (scored.join(top, scored[group].eqNullSafe(top["_g"]))
+                  .withColumn("_e", F.coalesce(F.exp(F.col("_s") - F.col("_m")), F.lit(0.0)))
+                  .drop("_s", "_m", "_g"))
+
+
+def attention_pool(df: DataFrame, group: str, vec: str, v: list[float],
+                   W: list[list[float]] | None = None, b: list[float] | None = None,
+                   mask: str | Column | None = None) -> DataFrame:
+    """Additive attention pooling per group: (group, dim, value).
+
+    score(h) = v . tanh(W h + b); weights = softmax of the scores within the
+    group; pooled_i = sum_h weight(h) * h_i. Scores are computed inside the
+    row; numerator and denominator are two sums of one aggregation on
+    (group, dim), partial in the scan stage, so one scan and one exchange of
+    (groups x dims) partial rows do all, and a hot group is no hot task.
+    Masked vectors weigh nothing; a group of only masked vectors is pooled with
+    equal weights, as a softmax over equal fill values gives."""
+    long = _scored(df, group, vec, v, W, b, mask).select(
+        group, "_e", F.posexplode(vec).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    z = F.sum("_e")
+    value = F.when(z > 0, F.sum(F.col("_e") * F.col("x")) / z).otherwise(F.avg("x"))
+    return long.groupBy(group, "dim").agg(F.round(value, 6).alias("value")) \
+               .select(group, F.col("dim").cast("int").alias("dim"), "value")
+
+
+def attention_weights(df: DataFrame, group: str, vec: str, v: list[float],
+                      W: list[list[float]] | None = None, b: list[float] | None = None,
+                      mask: str | Column | None = None) -> DataFrame:
+    """``df`` with ``weight``, each vector's share in its group's pooling."""
+    scored = _scored(df, group, vec, v, W, b, mask)
+    total = scored.groupBy(F.col(group).alias("_g")).agg(F.sum("_e").alias("_z"), F.count(F.lit(1)).alias("_c"))
+    weight = F.when(F.col("_z") > 0, F.col("_e") / F.col("_z")).otherwise(1.0 / F.col("_c"))
+    return (scored.join(total, scored[group].eqNullSafe(total["_g"]))
+                  .select(*df.columns, weight.alias("weight")))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata.keys import DRAW_BITS
+from narrata.session import broadcast_bounded
 
 
 def _null_safe_on(left: DataFrame, right: DataFrame, cols):
@@ -45,15 +46,27 @@ def group_histogram(df: DataFrame, by: list[str], key: str, bits: int) -> DataFr
 
 def exact_row_number(df: DataFrame, by: list[str], key: str, tiebreak: list[str],
                      out: str = "_rn", count_out: str = "_n", bits: int = 12,
-                     hist: DataFrame | None = None) -> DataFrame:
+                     hist: DataFrame | None = None, cap: int | None = None) -> DataFrame:
     """Add ``out`` = row number in ``by`` ordered by (key, tiebreak...) and
     ``count_out`` = group size. ``key`` must be a bigint draw in [0, 2^32).
 
     The input is read twice (histogram, ranking): materialise it first when
     it is expensive to recompute. A histogram already built with
-    :func:`group_histogram` may be passed in (and shared by the caller)."""
+    :func:`group_histogram` may be passed in (and shared by the caller).
+
+    With ``cap`` only rows ranked up to about ``cap`` are wanted: the histogram
+    names the last bucket of each group that holds such a row, and rows of later
+    buckets are dropped in the scan stage, before the exchange. Every row of rank
+    <= ``cap`` is returned, with its exact rank (and at most one bucket more)."""
     keyed = df.withColumn("_bkt", F.shiftright(F.col(key), DRAW_BITS - bits))
     hist = hist if hist is not None else group_histogram(df, by, key, bits)
+    if cap is not None:
+        last = (hist.where(F.col("_before") < cap)
+                    .groupBy(*[F.col(c).alias(f"_l_{c}") for c in by]).agg(F.max("_bkt").alias("_last")))
+        on = reduce(lambda a, b: a & b, [keyed[c].eqNullSafe(F.col(f"_l_{c}")) for c in by])
+        keyed = (keyed.join(broadcast_bounded(last), on, "inner")  # one row per group
+                      .where(F.col("_bkt") <= F.col("_last"))
+                      .drop("_last", *[f"_l_{c}" for c in by]))
     w = Window.partitionBy(*by, "_bkt").orderBy(F.col(key), *[F.col(c) for c in tiebreak])
     ranked = keyed.withColumn("_rb", F.row_number().over(w))
     h = hist.select(*[F.col(c).alias(f"_h_{c}") for c in by], F.col("_bkt").alias("_h_bkt"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from narrata.fixed_values import MAX_PER_CLASS, MIN_PER_CLASS, RANDOM_SEED, EXCERPT_WORDS
 from narrata.functions.text import words
-from narrata.keys import draw
+from narrata.keys import DRAW_BITS, draw
 from narrata.operators.ranking import exact_row_number, group_histogram
 
 
@@ -43,14 +43,16 @@ def balance_classes(df: DataFrame, label: str = "product",
     row. Cap: the ``max`` rows of lowest ``md5(id|seed)``. Floor: draw ``j``
     picks the row ranked ``md5(label|j|seed) mod n + 1``.
 
-    Scale: ranks come from :func:`exact_row_number`, so a class holding a
-    third of all rows is ranked by thousands of tasks, not one. The
+    Scale: a histogram pass reads only label and id and gives the last key
+    bucket that each class needs; rows beyond it never reach the exchange, so
+    about ``max_per_class`` rows of a class are shuffled with their text,
+    whatever its size. Their ranks come from :func:`exact_row_number`. The
     oversampling join touches only classes smaller than ``min`` (bounded).
     """
     keyed = df.withColumn("_k", draw(F.col(id_col), seed))
     hist = group_histogram(keyed, [label], "_k", bits)
     ranked = exact_row_number(keyed, [label], "_k", [id_col], out="_r", count_out="_n",
-                              bits=bits, hist=hist)
+                              bits=bits, hist=hist, cap=max(max_per_class, min_per_class))
     # draw table for the classes below the floor, from the class sizes only
     # (at most min_per_class rows per such class): (label, _r = pick, draw)
     sizes = hist.groupBy(label).agg(F.first("_n").alias("_n"))
@@ -68,15 +70,21 @@ def balance_classes(df: DataFrame, label: str = "product",
              .select(*df.columns, "draw"))
 
 
-def shuffle_rows(df: DataFrame, seed: int = RANDOM_SEED, id_cols=("complaint_id", "draw")) -> DataFrame:
-    """Global seeded order (a range shuffle); only when order is wanted."""
-    return df.orderBy(draw(*[F.col(c) for c in id_cols], seed, "order"), *id_cols)
-
-
-def sample_k(df: DataFrame, k: int, seed: int = RANDOM_SEED, id_col: str = "id") -> DataFrame:
-    """Seeded sample of at most ``k`` rows (top-k by md5 key: bounded)."""
-    return (df.withColumn("_k", draw(F.col(id_col), seed))
-              .orderBy("_k", id_col).limit(k).drop("_k"))
+def sample_k(df: DataFrame, k: int, seed: int = RANDOM_SEED, id_col: str = "id",
+             bits: int = 12) -> DataFrame:
+    """Seeded sample of at most ``k`` rows: the ``k`` lowest md5 keys.
+
+    A histogram over ``2^bits`` key buckets (ids only) names the buckets that
+    hold them; other rows are dropped in the scan stage, so about ``k`` rows in
+    all, not ``k`` from every partition, reach the task that cuts at ``k``."""
+    keyed = df.withColumn("_k", draw(F.col(id_col), seed)) \
+              .withColumn("_bkt", F.shiftright("_k", DRAW_BITS - bits))
+    before = F.sum("count").over(Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1))
+    needed = (keyed.groupBy("_bkt").count().withColumn("_before", F.coalesce(before, F.lit(0)))
+                   .where(F.col("_before") < k).select("_bkt"))
+    # at most 2^bits rows
+    return (keyed.join(F.broadcast(needed), "_bkt", "left_semi")
+                 .orderBy("_k", id_col).limit(k).select(*df.columns))
 
 
 def first_per_class(df: DataFrame, label: str, order: str, n: int = 1) -> DataFrame:

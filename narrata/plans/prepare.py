@@ -52,7 +52,7 @@ def prepare_pipeline(raw: DataFrame, max_per_class: int = MAX_PER_CLASS,
     Balancing, encoding and the exact split each read their input more than
     once (a histogram pass and a ranking pass, encoder tables). With
     ``materialize`` the cleaned rows and the balanced, encoded rows are
-    written once as reliable checkpoints in the shared checkpoint folder, so
+    written once as Parquet in the shared checkpoint folder, so
     the expensive scan, regex and dedup stages run once and a lost executor
     does not replay the whole lineage."""
     df = filter_and_clean(raw)
@@ -90,7 +90,7 @@ def class_refresh(full: DataFrame, new_rows: DataFrame, product: str = "Credit r
     from narrata.operators.filters import drop_class
     from narrata.operators.sampling import sample_k
     kept = drop_class(full, product, "product")
-    sample = sample_k(new_rows, max_per_class, seed, "complaint_id")
+    sample = sample_k(cut_lineage(new_rows), max_per_class, seed, "complaint_id")
     combined = cut_lineage(kept.unionByName(sample.select(*kept.columns)))
     df = balance_classes(combined, "product", max_per_class, min_per_class, seed)
     df = cut_lineage(encode_labels(df, ("product", "issue_group")))

@@ -298,6 +298,9 @@ def q_token_weights_norm(spark, sf):
         "vec_id", (F.col("pos") + 1).alias("pos"), round6("w").alias("w"))
 
 
+_ATTENTION_V = [1.0, -1.0] * 32  # over the 64 dimensions of an embedding
+
+
 @register("attention_pool", """WITH l AS (
   SELECT vec_id, label, unnest(generate_series(0, len(embedding) - 1)) AS dim,
          CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
@@ -308,7 +311,7 @@ w AS (SELECT vec_id, e / sum(e) OVER (PARTITION BY label) AS w FROM e)
 SELECT label, CAST(dim AS INTEGER) AS dim, round(sum(w * x), 6) AS value
 FROM l JOIN w USING (vec_id) GROUP BY label, dim""")
 def q_attention_pool(spark, sf):
-    return attention_pool(read_table(spark, sf, "embeddings"), "label", "embedding", "vec_id")
+    return attention_pool(read_table(spark, sf, "embeddings"), "label", "embedding", _ATTENTION_V)
 
 
 @register("metrics_store", _M + ",\n" + o.per_class_ctes("models", model=True) + """

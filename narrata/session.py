@@ -10,7 +10,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -18,8 +19,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # per-class top-k (row_number <= k) is pre-limited before the shuffle
-    # up to this k; the 15000 class cap needs it above the default 1000
+    # per-class top-k windows (row_number <= k) are pre-limited before the
+    # shuffle up to this k
     "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -61,10 +62,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss) in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    Like a reliable checkpoint it survives executor loss; unlike one it keeps
+    column pruning, filter pushdown and size statistics for what follows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_bounded(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast, refused at run time beyond ``limit`` rows.
+
+    At most ``limit + 1`` rows are ever gathered to count them, so a table that
+    is larger than its caller believes fails with a message, not out of memory."""
+    counted = df.limit(limit + 1).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy()))
+    ok = F.when(F.col("_all") <= limit, F.lit(True)).otherwise(
+        F.raise_error(F.lit(f"a table to broadcast has more than {limit} rows")).cast("boolean"))
+    return F.broadcast(counted.where(ok).drop("_all"))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Balancing, exact ranking and splitting properties (F-edge, scaled)."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from narrata.keys import draw
 from narrata.operators.ranking import exact_row_number
-from narrata.operators.sampling import balance_classes, dedup_first
+from narrata.operators.sampling import balance_classes, dedup_first, sample_k
 from narrata.operators.split import stratified_split
+from narrata.session import broadcast_bounded
 
 # class sizes around a floor of 10 and a cap of 15 (scaled 999/1000/1001/15000/15001)
 SIZES = {"a": 9, "b": 10, "c": 11, "d": 15, "e": 16, "f": 1}
@@ -96,3 +98,40 @@ def test_dedup_plans_partial_limit_before_exchange(spark):
     plan = dedup_first(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2  # partial (map side) and final
     assert dedup_first(df).count() == 3
+
+
+def test_capped_rank_returns_every_wanted_row(spark):
+    df = spark.range(0, 5000).select(
+        F.col("id"), F.when(F.col("id") % 10 < 7, F.lit("hot")).when(F.col("id") % 10 == 8, None)
+        .otherwise((F.col("id") % 5).cast("string")).alias("g")).withColumn("k", draw(F.col("id"), 7))
+    capped = exact_row_number(df, ["g"], "k", ["id"], out="r", count_out="n", bits=6, cap=100)
+    full = exact_row_number(df, ["g"], "k", ["id"], out="r", count_out="n", bits=6)
+    want = sorted(map(str, full.where("r <= 100").collect()))
+    assert sorted(map(str, capped.where("r <= 100").collect())) == want
+    assert capped.where("g = 'hot'").count() < 300  # the cap plus at most one bucket of 3500 rows
+
+
+def test_balance_drops_rows_before_the_class_exchange(spark, tmp_path):
+    rows = spark.range(20000).select(F.col("id").alias("complaint_id"), F.lit("hot").alias("product"),
+                                     F.concat(F.lit("text "), F.col("id")).alias("narrative"))
+    rows.write.parquet(str(tmp_path / "in"))
+    out = balance_classes(spark.read.parquet(str(tmp_path / "in")), "product", 100, 10, 42)
+    assert out.count() == 100
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    window = plan.index("row_number()")
+    assert "_last" in plan[window:]  # the cut lies below the ranking window
+
+
+def test_sample_k_equals_global_order(spark):
+    df = spark.range(3000).withColumn("t", F.lit("x"))
+    want = sorted(r[0] for r in df.orderBy(draw(F.col("id"), 42), "id").limit(50).collect())
+    assert sorted(r[0] for r in sample_k(df, 50, 42).collect()) == want
+    assert sample_k(df, 5000, 42).count() == 3000
+    assert sample_k(df.limit(0), 5, 42).count() == 0
+
+
+def test_bounded_broadcast_refuses_large_tables(spark):
+    small = spark.range(5)
+    assert broadcast_bounded(small, 5).count() == 5
+    with pytest.raises(Exception, match="more than 4 rows"):
+        broadcast_bounded(small, 4).collect()
