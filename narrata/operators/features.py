@@ -101,7 +101,7 @@ def tfidf_vocabulary(tf: DataFrame, n_docs: DataFrame, min_df: int = 5, max_df:
 
 def tfidf_terms(df: DataFrame, id_col: str, text: str, min_df: int = 5, max_df: float = 0.95,
                 max_features: int = 50000, n_max: int = 2, vocab: DataFrame | None = None) -> DataFrame:
-    """(id, term, idx, weight): sublinear tf x smoothed idf, L2-normalised
+    """(id, term, idx, tf, weight): sublinear tf x smoothed idf, L2-normalised
     per document. ``vocab`` (from :func:`tfidf_vocabulary`) may be given to
     transform new documents with a fitted vocabulary."""
     tf = term_frequencies(df, id_col, text, n_max)
@@ -111,4 +111,4 @@ def tfidf_terms(df: DataFrame, id_col: str, text: str, min_df: int = 5, max_df:
     raw = (1 + F.log(F.col("tf"))) * F.col("idf")
     j = j.withColumn("_w", raw)
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
-    return j.select(id_col, "term", "idx", (F.col("_w") / norm).alias("weight"))
+    return j.select(id_col, "term", "idx", "tf", (F.col("_w") / norm).alias("weight"))

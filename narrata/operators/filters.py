@@ -48,33 +48,15 @@ def gate_min_words(df: DataFrame, min_words: int = GATE_MIN_WORDS,
     return df.withColumn("accepted", has_min_words(col, min_words))
 
 
-def split_gate(df: DataFrame, min_words: int = GATE_MIN_WORDS, col: str = TEXT):
-    """(accepted, rejected) pair of the gate, both lazy."""
-    g = gate_min_words(df, min_words, col)
-    return g.where("accepted").drop("accepted"), g.where("NOT accepted").drop("accepted")
-
-
 def drop_class(df: DataFrame, label: str, col: str = "product") -> DataFrame:
     """Rows whose class differs from ``label`` (nulls are kept out, as ``!=``)."""
     return df.where(F.col(col) != F.lit(label))
 
 
-def keep_class(df: DataFrame, label: str, col: str = "product") -> DataFrame:
-    return df.where(F.col(col) == F.lit(label))
-
-
 def fill_text(df: DataFrame, cols=(TEXT,)) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in cols})
 
 
-def upper_bound(df: DataFrame, col: str, bound: float) -> DataFrame:
-    return df.where(F.col(col) < bound)
-
-
-def clip_upper(col: str, bound: float):
-    return F.least(F.col(col), F.lit(bound))
-
-
 def null_profile(df: DataFrame) -> DataFrame:
     """Missing-value count per column as long rows (column, n_null)."""
     cols = df.columns

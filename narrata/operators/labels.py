@@ -42,21 +42,6 @@ def add_issue_groups(df: DataFrame, mapping: dict | None = None,
                                          F.lit(default)))
 
 
-def normalize_with_table(df: DataFrame, table: DataFrame, col: str,
-                         raw: str = "raw", label: str = "label",
-                         keep_unmapped: bool = False) -> DataFrame:
-    """Same lookup against a user table (raw, label) of any size.
-
-    The table is deduplicated on ``raw`` first; no broadcast hint is given,
-    AQE chooses broadcast or shuffle from the measured size.
-    """
-    t = table.select(F.col(raw).alias("_raw"), F.col(label).alias("_label")) \
-             .dropDuplicates(["_raw"])
-    how = "left" if keep_unmapped else "inner"
-    return (df.join(t, F.col(col) == F.col("_raw"), how)
-              .withColumn(col, F.col("_label")).drop("_raw", "_label"))
-
-
 def label_encoder(df: DataFrame, col: str, code: str | None = None) -> DataFrame:
     """Table (label, code): 0-based codes in sorted label order.
 
@@ -87,12 +72,6 @@ def decode_labels(df: DataFrame, encoder: DataFrame, code_col: str,
     return df.join(F.broadcast(e), F.col(code_col) == F.col("_code"), "left").drop("_code")
 
 
-def decode_by_array(code_col: str, names: list[str]) -> Column:
-    """Code -> name through a literal array (names known at plan time)."""
-    return F.element_at(F.array(*[F.lit(n) for n in names]),
-                        F.col(code_col).cast("int") + 1)
-
-
 def priority_reindex(df: DataFrame, col: str = "priority",
                      order: list[str] | None = None) -> DataFrame:
     """Counts in a fixed category order with zeros, plus share in percent."""

@@ -22,17 +22,14 @@ def _by(model: str | None):
 
 def confusion_counts(pred: DataFrame, t: str = "y_true", p: str = "y_pred",
                      model: str | None = None) -> DataFrame:
+    """(model?, t, p, n): at most C x C rows a model. Rows ``(t, p, n)`` given as
+    ``pred`` are such counts already and are returned as they are."""
+    if {"t", "p", "n"} <= set(pred.columns):
+        return pred.select(*_by(model), "t", "p", "n")
     return pred.groupBy(*_by(model), F.col(t).alias("t"), F.col(p).alias("p")) \
                .agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_set(counts: DataFrame, model: str | None = None) -> DataFrame:
-    """(model?, cls): union of observed true and predicted codes."""
-    by = _by(model)
-    return (counts.select(*by, F.col("t").alias("cls"))
-            .union(counts.select(*by, F.col("p").alias("cls"))).distinct())
-
-
 def confusion_matrix(pred: DataFrame, t: str = "y_true", p: str = "y_pred",
                      model: str | None = None) -> DataFrame:
     """Dense long matrix (model?, t, p, n) over the class set, zeros filled.
@@ -70,16 +67,17 @@ def per_class(pred: DataFrame, t: str = "y_true", p: str = "y_pred",
                 model: str | None = None) -> DataFrame:
     """(model?, cls, tp, support, predicted, precision, recall, f1).
 
-    One scan: each prediction contributes a (true class) record and a
-    (predicted class) record, summed per class with partial aggregation."""
+    One scan: predictions are counted by (true, predicted) class with partial
+    aggregation; each count then adds to its true and its predicted class."""
     by = _by(model)
+    zero = F.lit(0).cast("bigint")
 
     def rec(cls, sup, prd, tp):
-        return F.struct(cls.cast("int").alias("cls"), F.lit(sup).alias("s"),
-                        F.lit(prd).alias("q"), tp.cast("int").alias("tp"))
-    e = pred.select(*by, F.explode(F.array(
-        rec(F.col(t), 1, 0, F.col(t) == F.col(p)),
-        rec(F.col(p), 0, 1, F.lit(False)))).alias("e"))
+        return F.struct(cls.cast("int").alias("cls"), sup.alias("s"), prd.alias("q"), tp.alias("tp"))
+    n = F.col("n")
+    e = confusion_counts(pred, t, p, model).select(*by, F.explode(F.array(
+        rec(F.col("t"), n, zero, F.when(F.col("t") == F.col("p"), n).otherwise(zero)),
+        rec(F.col("p"), zero, n, zero))).alias("e"))
     j = e.groupBy(*by, F.col("e.cls").alias("cls")).agg(
         F.sum("e.tp").alias("tp"), F.sum("e.s").alias("support"), F.sum("e.q").alias("predicted"))
     return j.select(*by, F.col("cls").cast("int").alias("cls"),

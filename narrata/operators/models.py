@@ -17,16 +17,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, NaiveBayes, NaiveBayesModel
-from pyspark.ml.feature import Word2Vec
+from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from narrata.fixed_values import RANDOM_SEED
+from narrata.fixed_values import MAX_VOCAB, RANDOM_SEED
 from narrata.functions.text import strip_accents, tokenize
 from narrata.operators.features import (document_count, term_frequencies, tfidf_terms,
-                                        tfidf_vocabulary)
+                                        tfidf_vocabulary, vocab_build)
 from narrata.operators.pooling import argmax
 
 
@@ -66,7 +66,8 @@ class TextClassifier:
 
     def features(self, df: DataFrame) -> DataFrame:
         long = tfidf_terms(df, self.id_col, self.text, vocab=self.vocab)
-        return to_vectors(long, self.id_col, "weight", self.n_features)
+        value = "tf" if isinstance(self.model, NaiveBayesModel) else "weight"
+        return to_vectors(long, self.id_col, value, self.n_features)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """(id, y_pred, confidence, proba) for every input row (rows with no
@@ -96,16 +97,16 @@ class TextClassifier:
 
 
 def _training_matrix(train: DataFrame, label: str, id_col: str, text: str, max_features: int,
-                     min_df: int, max_df: float):
+                     min_df: int, max_df: float, value: str = "weight"):
     """(vocab, n_features, data, total weight): features built once and
-    written as a reliable checkpoint, so the optimiser's passes and any
+    written as Parquet in the shared folder, so the optimiser's passes and any
     retry read vectors instead of re-tokenising the texts."""
     from narrata.session import cut_lineage
     tf = term_frequencies(train, id_col, text)
     vocab = cut_lineage(tfidf_vocabulary(tf, document_count(train), min_df, max_df, max_features))
     n_features = vocab.count()  # bounded by max_features; sizes the vectors
     long = tfidf_terms(train, id_col, text, vocab=vocab)
-    feats = to_vectors(long, id_col, "weight", n_features)
+    feats = to_vectors(long, id_col, value, n_features)
     labels = balanced_weights(train.select(id_col, F.col(label).cast("double").alias("label")), "label")
     total_w = labels.agg(F.sum("weight")).first()[0]
     empty = _sparse(F.lit(n_features), F.array().cast("array<int>"), F.array().cast("array<double>"))
@@ -128,20 +129,39 @@ def train_tfidf_lr(train: DataFrame, label: str, id_col: str = "complaint_id",
 def train_tfidf_nb(train: DataFrame, label: str, id_col: str = "complaint_id",
                    text: str = "narrative_clean", smoothing: float = 1.0,
                    max_features: int = 50000, min_df: int = 5, max_df: float = 0.95) -> TextClassifier:
-    """Multinomial naive Bayes on the TF-IDF weights of the fitted vocabulary."""
+    """Multinomial naive Bayes on term counts over the fitted vocabulary."""
     vocab, n_features, data, _ = _training_matrix(train, label, id_col, text, max_features,
-                                                  min_df, max_df)
+                                                  min_df, max_df, value="tf")
     model = NaiveBayes(modelType="multinomial", smoothing=smoothing, weightCol="weight").fit(data)
     return TextClassifier(vocab, n_features, model, id_col, text)
 
 
+def save_labels(names: list[str], spark: SparkSession, path: str) -> None:
+    """The label encoder of a model: one row per class."""
+    spark.createDataFrame(list(enumerate(names)), "code int, label string").coalesce(1) \
+         .write.mode("overwrite").parquet(f"{path}/labels")
+
+
+def load_labels(spark: SparkSession, path: str) -> list[str]:
+    rows = spark.read.schema("code int, label string").parquet(f"{path}/labels").orderBy("code").collect()
+    return [r["label"] for r in rows]  # one row per class
+
+
 @dataclass
 class EmbeddingClassifier:
-    w2v: object
+    w2v: Word2VecModel
     model: LogisticRegressionModel
     id_col: str
     text: str
 
+    def save(self, path: str) -> None:
+        self.w2v.write().overwrite().save(f"{path}/w2v")
+        self.model.write().overwrite().save(f"{path}/model")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, id_col: str, text: str) -> "EmbeddingClassifier":
+        return cls(Word2VecModel.load(f"{path}/w2v"), LogisticRegressionModel.load(f"{path}/model"), id_col, text)
+
     def predict(self, df: DataFrame) -> DataFrame:
         x = df.select(self.id_col, tokenize(self.text).alias("tokens"))
         scored = self.model.transform(self.w2v.transform(x))
@@ -152,11 +172,22 @@ class EmbeddingClassifier:
 
 def train_word2vec_lr(train: DataFrame, label: str, id_col: str = "complaint_id",
                       text: str = "narrative_clean", dims: int = 128, min_count: int = 3,
-                      max_iter: int = 100, seed: int = RANDOM_SEED) -> EmbeddingClassifier:
+                      max_iter: int = 100, seed: int = RANDOM_SEED, epochs: int = 15,
+                      max_vocab: int = MAX_VOCAB) -> EmbeddingClassifier:
+    """Word2Vec means and logistic regression. The driver holds the word table,
+    so tokens are first limited to the ``max_vocab`` most frequent words."""
+    from narrata.session import cut_lineage
     x = train.select(id_col, tokenize(text).alias("tokens"), F.col(label).cast("double").alias("label"))
+    vocab = vocab_build(train, text, max_vocab, min_count)
+    toks = x.select(id_col, "label", F.posexplode_outer("tokens").alias("pos", "token"))
+    known = toks.join(F.broadcast(vocab.select("token", "id")), "token", "left")  # at most max_vocab rows
+    entry = F.when(F.col("id").isNotNull(), F.struct("pos", "token"))
+    x = cut_lineage(known.groupBy(F.col(id_col), "label")
+                    .agg(F.array_sort(F.collect_list(entry)).alias("_t"))
+                    .select(id_col, "label", F.transform("_t", lambda t: t["token"]).alias("tokens")))
     # numPartitions defaults to 1 (one training task): use the cluster
     w2v = Word2Vec(vectorSize=dims, minCount=min_count, seed=seed, inputCol="tokens",
-                   outputCol="features", maxIter=1,
+                   outputCol="features", maxIter=epochs,
                    numPartitions=train.sparkSession.sparkContext.defaultParallelism).fit(x)
     data = balanced_weights(w2v.transform(x), "label")
     total_w = data.agg(F.sum("weight")).first()[0]

@@ -18,7 +18,7 @@ from narrata.plans.catalog import register
 from narrata.plans.prepare import filter_and_clean, prepare_pipeline
 from narrata.plans.queries_core import SEED, T_MAX, T_MIN
 from narrata.plans.score import triage_batch
-from narrata.session import read_table, scratch_path
+from narrata.session import cut_lineage, read_table, scratch_path
 from narrata.sources.fixtures import complaints
 
 MAX_ITER = 1000  # the optimiser stops earlier by its tolerance
@@ -26,8 +26,8 @@ MAX_ITER = 1000  # the optimiser stops earlier by its tolerance
 
 def _splits(spark, sf):
     df = prepare_pipeline(complaints(spark, sf), T_MAX, T_MIN, SEED)
-    df = df.withColumn("row_id", F.col("complaint_id") * 100000 + F.col("draw"))
-    return df
+    # written once: training and evaluation read the splits many times
+    return cut_lineage(df.withColumn("row_id", F.col("complaint_id") * 100000 + F.col("draw")), "splits")
 
 
 def _all_rows(spark, sf):
@@ -43,7 +43,7 @@ def _metrics(pred, truth, label):
 
 
 def _fit_lr(spark, sf, label="product_encoded"):
-    df = _splits(spark, sf).cache()
+    df = _splits(spark, sf)
     train = df.where("split = 'train'")
     clf = ml.train_tfidf_lr(train, label, "row_id", "narrative_clean", max_iter=MAX_ITER)
     return df, clf
@@ -73,7 +73,7 @@ def q_predict_batch(spark, sf):
 
 @register("train_word2vec")
 def q_train_word2vec(spark, sf):
-    df = _splits(spark, sf).cache()
+    df = _splits(spark, sf)
     clf = ml.train_word2vec_lr(df.where("split = 'train'"), "product_encoded", "row_id",
                                max_iter=MAX_ITER)
     test = df.where("split = 'test'")
@@ -82,21 +82,42 @@ def q_train_word2vec(spark, sf):
 
 @register("train_nb")
 def q_train_nb(spark, sf):
-    df = _splits(spark, sf).cache()
+    df = _splits(spark, sf)
     clf = ml.train_tfidf_nb(df.where("split = 'train'"), "product_encoded", "row_id")
     test = df.where("split = 'test'")
     return _metrics(clf.predict(test), test, "product_encoded")
 
 
-def _product_names(df):
-    rows = df.select("product", "product_encoded").distinct().orderBy("product_encoded").collect()
-    return [r["product"] for r in rows]  # one row per class
+def _names(df, col="product"):
+    rows = df.select(col, f"{col}_encoded").distinct().orderBy(f"{col}_encoded").collect()
+    return [r[col] for r in rows]  # one row per class
+
+
+def _fit_all(df):
+    """The three product models of one training split."""
+    train = df.where("split = 'train'")
+    return {"baseline": ml.train_tfidf_lr(train, "product_encoded", "row_id", "narrative_clean", max_iter=MAX_ITER),
+            "naive_bayes": ml.train_tfidf_nb(train, "product_encoded", "row_id"),
+            "word2vec": ml.train_word2vec_lr(train, "product_encoded", "row_id", max_iter=MAX_ITER)}
+
+
+@register("train_compare")
+def q_train_compare(spark, sf):
+    """Train every model, predict the test split, compare: one row a model."""
+    df = _splits(spark, sf)
+    test = df.where("split = 'test'")
+    truth = test.select("row_id", F.col("product_encoded").alias("y_true"))
+    pred = None
+    for name, clf in _fit_all(df).items():
+        p = clf.predict(test).select("row_id", "y_pred", F.lit(name).alias("model"))
+        pred = p if pred is None else pred.unionByName(p)
+    return mt.compare_models(pred.join(truth, "row_id"))
 
 
 @register("top_features")
 def q_top_features(spark, sf):
     df, clf = _fit_lr(spark, sf)
-    return ml.top_features(clf, _product_names(df), 20)
+    return ml.top_features(clf, _names(df), 20)
 
 
 @register("model_roundtrip")
@@ -104,10 +125,13 @@ def q_model_roundtrip(spark, sf):
     df, clf = _fit_lr(spark, sf)
     path = scratch_path(spark, "model")
     clf.save(path)
+    ml.save_labels(_names(df), spark, path)
     back = ml.TextClassifier.load(spark, path, "row_id", "narrative_clean")
+    labels = F.array(*[F.lit(x) for x in ml.load_labels(spark, path)])
+    names = F.array(*[F.lit(x) for x in _names(df)])
     test = _all_rows(spark, sf)
-    a = clf.predict(test).select("row_id", F.col("y_pred").alias("a"), F.col("confidence").alias("ca"))
-    b = back.predict(test).select("row_id", F.col("y_pred").alias("b"), F.col("confidence").alias("cb"))
+    a = clf.predict(test).select("row_id", F.element_at(names, F.col("y_pred") + 1).alias("a"), F.col("confidence").alias("ca"))
+    b = back.predict(test).select("row_id", F.element_at(labels, F.col("y_pred") + 1).alias("b"), F.col("confidence").alias("cb"))
     j = a.join(b, "row_id")
     return j.agg(F.count(F.lit(1)).alias("n"),
                  F.sum((F.col("a") == F.col("b")).cast("int")).alias("same_class"),
@@ -124,11 +148,12 @@ def q_token_attribution(spark, sf):
 
 @register("triage_batch")
 def q_triage_batch(spark, sf):
-    df, clf = _fit_lr(spark, sf)
-    nb = ml.train_tfidf_nb(df.where("split = 'train'"), "product_encoded", "row_id")
-    names = _product_names(df)
-    test = _all_rows(spark, sf).select("row_id", "narrative", "narrative_clean")
-    return triage_batch(test, {"baseline": clf, "naive_bayes": nb}, names, "row_id")
+    df = _splits(spark, sf)
+    issue = ml.train_tfidf_lr(df.where("split = 'train'"), "issue_group_encoded", "row_id", "narrative_clean",
+                              max_iter=MAX_ITER)
+    rows = _all_rows(spark, sf).select("row_id", "narrative", "narrative_clean")
+    return triage_batch(cut_lineage(rows, "triage"), _fit_all(df), _names(df), "row_id",
+                        issue_model=issue, issue_names=_names(df, "issue_group"))
 
 
 # --------------------------------------------------------------------------

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from narrata.fixed_values import CHART_STOPWORDS, EDA_STOPWORDS, PRIORITY_ORDER
 from narrata.functions.text import word_count
 from narrata.operators import profile as pf
@@ -14,7 +16,7 @@ from narrata.plans.prepare import filter_and_clean, prepare_pipeline
 from narrata.plans.queries_core import _BAL, _PIPE, SEED, T_MAX, T_MIN
 from narrata.session import read_table
 from narrata.sources.fixtures import complaints
-from narrata.sources.stats import dataset_stats_long
+from narrata.sources.stats import DIST_COLS, dataset_stats_long, dataset_stats_row
 
 _F = f"WITH {o.filtered_ctes()}"
 _RAW_WC = o.wc_sql("narrative")
@@ -215,3 +217,19 @@ UNION ALL SELECT 'issue_group_distribution', issue_group, count(*) FROM spl GROU
 UNION ALL SELECT 'priority_distribution', priority, count(*) FROM spl GROUP BY priority""")
 def q_dataset_stats(spark, sf):
     return dataset_stats_long(prepare_pipeline(complaints(spark, sf), T_MAX, T_MIN, SEED))
+
+
+@register("dataset_stats_doc", _PIPE + """
+SELECT count(*) AS total_filtered, count(*) FILTER (split = 'train') AS train_size,
+       count(*) FILTER (split = 'val') AS val_size, count(*) FILTER (split = 'test') AS test_size,
+       count(DISTINCT product) AS num_product_classes, count(DISTINCT issue_group) AS num_issue_groups,
+""" + ",\n".join(f"""(SELECT string_agg({col} || '=' || n, '|' ORDER BY {col})
+   FROM (SELECT {col}, count(*) AS n FROM spl GROUP BY {col})) AS {stat}""" for stat, col in DIST_COLS) + """
+FROM spl""")
+def q_dataset_stats_doc(spark, sf):
+    """The one-row document; its maps are printed in key order."""
+    doc = dataset_stats_row(prepare_pipeline(complaints(spark, sf), T_MAX, T_MIN, SEED))
+    for stat, _ in DIST_COLS:
+        doc = doc.withColumn(stat, F.array_join(F.transform(
+            F.map_entries(stat), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), "|"))
+    return doc

@@ -7,7 +7,7 @@ uses a random function, so both sides see identical rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.fixed_values import ISSUE_GROUP_MAP, PRODUCT_LABEL_MAP
@@ -113,27 +113,32 @@ PRED_LABELS = [f"label_{i}" for i in range(N_PRED_CLASSES)]
 MODEL_SCALES = [("m1", 4), ("m2", 8), ("m3", 12)]
 
 
-def pred_logits(emb: DataFrame, scale: float = 8, bump: float = 3,
+def pred_logits(emb: DataFrame, scale: float | Column = 8, bump: float = 3,
                 n: int = N_PRED_CLASSES) -> DataFrame:
     """(id, y_true, logits): logit i = e[i]*scale (+bump on the true class
     unless id % 4 = 0), first ``n`` dimensions."""
+    factor = scale if isinstance(scale, Column) else F.lit(float(scale))
     logits = F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda i: F.element_at("embedding", i + 1).cast("double") * F.lit(float(scale))
+        lambda i: F.element_at("embedding", i + 1).cast("double") * factor
         + F.when((i == F.col("label")) & (F.col("vec_id") % 4 != 0), F.lit(float(bump)))
            .otherwise(F.lit(0.0)))
+    rest = [c for c in emb.columns if c == "model"]
     return emb.select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("y_true"),
-                      logits.alias("logits"))
+                      logits.alias("logits"), *rest)
+
+
+def _scored(emb: DataFrame, scale) -> DataFrame:
+    from narrata.operators.pooling import argmax, softmax
+    p = pred_logits(emb, scale).withColumn("proba", softmax("logits"))
+    return p.withColumn("y_pred", argmax("proba")).withColumn("confidence", F.array_max("proba"))
 
 
 def predictions(spark: SparkSession, sf_dir: str, scale: float = 8) -> DataFrame:
     """F-pred: (id, y_true, y_pred, confidence, proba, text)."""
-    from narrata.operators.pooling import argmax, softmax
-    emb = read_table(spark, sf_dir, "embeddings")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     n_docs = docs.agg(F.count(F.lit(1)).alias("_nd"))
-    p = pred_logits(emb, scale).withColumn("proba", softmax("logits"))
-    p = p.withColumn("y_pred", argmax("proba")).withColumn("confidence", F.array_max("proba"))
+    p = _scored(read_table(spark, sf_dir, "embeddings"), scale)
     # text of document (id mod #documents); the one-row count is broadcast
     # (a shuffle join on a constant key would send every row to one task)
     p = p.withColumn("_one", F.lit(1)).join(F.broadcast(n_docs.withColumn("_one", F.lit(1))), "_one")
@@ -143,12 +148,12 @@ def predictions(spark: SparkSession, sf_dir: str, scale: float = 8) -> DataFrame
 
 
 def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-models: F-pred under three logit scales, column ``model``."""
-    out = None
-    for name, scale in MODEL_SCALES:
-        p = predictions(spark, sf_dir, scale).withColumn("model", F.lit(name))
-        out = p if out is None else out.unionByName(p)
-    return out
+    """F-models: F-pred without its text under three logit scales, column
+    ``model``; each row is read once and scored under every scale."""
+    models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(float(k)).alias("scale")) for m, k in MODEL_SCALES])
+    emb = read_table(spark, sf_dir, "embeddings").withColumn("_m", F.explode(models)) \
+        .select("*", "_m.model", "_m.scale")
+    return _scored(emb, F.col("scale")).select("id", "y_true", "y_pred", "confidence", "proba", "model")
 
 
 def big_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

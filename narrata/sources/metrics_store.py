@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from narrata.operators import metrics as mt
-from narrata.session import scratch_path
+from narrata.session import cut_lineage, scratch_path
 
 METRICS_SCHEMA = T.StructType([
     T.StructField("model", T.StringType()),
@@ -23,6 +23,9 @@ METRICS_SCHEMA = T.StructType([
 
 
 def metrics_documents(pred: DataFrame, names: list[str], model: str = "model") -> DataFrame:
+    """One document per model, all of it from one pass over the predictions:
+    their (true, predicted) counts are written once and read by every part."""
+    pred = cut_lineage(mt.confusion_counts(pred, model=model), "confusion")
     pc = mt.with_names(mt.per_class(pred, model=model), names)
     summary = mt.summarize(pc, model)
     f1map = pc.groupBy(model).agg(F.map_from_entries(F.array_sort(

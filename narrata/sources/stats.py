@@ -1,8 +1,9 @@
 """Dataset statistics (sizes and distributions) as rows and as one JSON row.
 
 All statistics come from one compact aggregate ``(split, product,
-issue_group, priority) -> n`` (a few hundred rows at most), so the prepared
-data is scanned once whatever the number of statistics.
+issue_group, priority) -> n`` (a few hundred rows at most), written once to
+the shared folder, so the prepared data is scanned once whatever the number of
+statistics.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from narrata.session import cut_lineage
+
 DIST_COLS = [("product_distribution", "product"),
              ("issue_group_distribution", "issue_group"),
              ("priority_distribution", "priority")]
@@ -22,7 +25,7 @@ def _compact(df: DataFrame) -> DataFrame:
 
 def dataset_stats_long(df: DataFrame) -> DataFrame:
     """Rows (stat, key, value): sizes, class counts and distributions."""
-    c = _compact(df)
+    c = cut_lineage(_compact(df), "stats")
     nul = F.lit(None).cast("string")
     parts = [
         c.agg(F.lit("total_filtered").alias("stat"), nul.alias("key"), F.sum("n").alias("value")),
@@ -44,21 +47,18 @@ def dataset_stats_long(df: DataFrame) -> DataFrame:
 
 def dataset_stats_row(df: DataFrame) -> DataFrame:
     """One row: scalar sizes plus three ``map<string,bigint>`` distributions."""
-    long = dataset_stats_long(df)
-    scalars = long.where(F.col("key").isNull())
-    maps = long.where(F.col("key").isNotNull())
-    s = scalars.groupBy().pivot("stat").agg(F.first("value"))
-    m = (maps.groupBy("stat").agg(F.map_from_entries(F.array_sort(
-            F.collect_list(F.struct("key", "value")))).alias("dist"))
-         .groupBy().pivot("stat", [d for d, _ in DIST_COLS]).agg(F.first("dist")))
-    return _one_row(s, m)
-
-
-def _one_row(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Combine two one-row frames side by side (equi-join on a constant,
-    the one-row side broadcast)."""
-    return a.withColumn("_one", F.lit(1)).join(F.broadcast(b.withColumn("_one", F.lit(1))),
-                                               "_one").drop("_one")
+    c = cut_lineage(_compact(df), "stats")
+    size = [F.coalesce(F.sum(F.when(F.col("split") == s, F.col("n"))), F.lit(0)).alias(f"{s}_size")
+            for s in ("train", "val", "test")]
+    scalars = c.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_filtered"), *size,
+                    F.countDistinct("product").alias("num_product_classes"),
+                    F.countDistinct("issue_group").alias("num_issue_groups"))
+    out = scalars
+    for stat, col in DIST_COLS:
+        dist = (c.where(F.col(col).isNotNull()).groupBy(col).agg(F.sum("n").alias("value"))
+                 .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(col, "value")))).alias(stat)))
+        out = out.crossJoin(F.broadcast(dist))  # one row each, from global aggregates
+    return out
 
 
 def write_dataset_stats(df: DataFrame, path: str) -> None:

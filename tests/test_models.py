@@ -48,3 +48,40 @@ def test_naive_bayes_separates(spark):
     clf = ml.train_tfidf_nb(df, "y", "row_id", "narrative_clean", min_df=2)
     p = clf.predict(df).join(df, "row_id")
     assert p.where(F.col("y_pred") != F.col("y")).count() == 0
+
+
+def test_every_model_restores(spark):
+    df = _corpus(spark)
+    nb = ml.train_tfidf_nb(df, "y", "row_id", "narrative_clean", min_df=2)
+    w2v = ml.train_word2vec_lr(df, "y", "row_id", dims=8, min_count=1, max_iter=20, epochs=2)
+    for clf in (nb, w2v):
+        path = tempfile.mkdtemp(prefix="narrata-model-", dir="/tmp")
+        clf.save(path)
+        ml.save_labels(["a", "b"], spark, path)
+        back = type(clf).load(spark, path, "row_id", "narrative_clean")
+        assert clf.predict(df).select("row_id", "y_pred").exceptAll(back.predict(df).select("row_id", "y_pred")).count() == 0
+        assert ml.load_labels(spark, path) == ["a", "b"]
+
+
+def test_naive_bayes_fits_counts(spark):
+    df = _corpus(spark)
+    nb = ml.train_tfidf_nb(df, "y", "row_id", "narrative_clean", min_df=2)
+    sizes = [sum(r["features"].values) for r in nb.features(df).collect()]
+    assert sizes == [15.0] * 60  # eight words and seven pairs a text
+
+
+def test_triage_uses_the_issue_model_and_reports_absent_models(spark):
+    from narrata.plans.score import triage_batch
+    import json
+    df = _corpus(spark).withColumn("narrative", F.col("narrative_clean"))
+    clf = ml.train_tfidf_nb(df, "y", "row_id", "narrative_clean", min_df=2)
+    rows = triage_batch(df, {"nb": clf, "deep": None}, ["home", "card"], "row_id",
+                        issue_model=clf, issue_names=["g0", "g1"]).collect()
+    assert len(rows) == 60
+    for r in rows:
+        assert r["nb_prediction"] == ["home", "card"][r["row_id"] % 2]
+        assert r["issue_group"] == f"g{r['row_id'] % 2}" and r["most_confident_model"] == "nb"
+        got = json.loads(r["results"])
+        assert got["deep"]["error"] and got["nb"]["prediction"] == r["nb_prediction"]
+    ruled = triage_batch(df, {"nb": None}, ["home", "card"], "row_id").collect()
+    assert len(ruled) == 60 and {r["issue_confidence"] for r in ruled} == {0.6}
