@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from narrata.fixed_values import (ISSUE_GROUP_MAP, OTHER_GROUP, PRIORITY_ORDER,
                                   PRODUCT_LABEL_MAP)
+from narrata.session import bounded, broadcast_bounded
 
 
 def map_literal(mapping: dict) -> Column:
@@ -46,10 +47,11 @@ def label_encoder(df: DataFrame, col: str, code: str | None = None) -> DataFrame
     """Table (label, code): 0-based codes in sorted label order.
 
     Ranking runs on the distinct labels only, so the single-partition
-    ``dense_rank`` sees one row per class, never the data.
+    ``dense_rank`` sees one row per class, never the data; a column of more
+    labels than :func:`narrata.session.bounded` allows is refused.
     """
     code = code or f"{col}_encoded"
-    labels = df.select(col).where(F.col(col).isNotNull()).distinct()
+    labels = bounded(df.select(col).where(F.col(col).isNotNull()).distinct())
     return labels.select(col, (F.dense_rank().over(Window.orderBy(col)) - 1)
                          .cast("int").alias(code))
 
@@ -69,7 +71,7 @@ def decode_labels(df: DataFrame, encoder: DataFrame, code_col: str,
     """Code -> label name through an encoder table (one row per class,
     broadcast)."""
     e = encoder.select(F.col(enc_code).alias("_code"), F.col(enc_label).alias(out))
-    return df.join(F.broadcast(e), F.col(code_col) == F.col("_code"), "left").drop("_code")
+    return df.join(broadcast_bounded(e), F.col(code_col) == F.col("_code"), "left").drop("_code")
 
 
 def priority_reindex(df: DataFrame, col: str = "priority",

@@ -28,6 +28,7 @@ from narrata.functions.text import strip_accents, tokenize
 from narrata.operators.features import (document_count, term_frequencies, tfidf_terms,
                                         tfidf_vocabulary, vocab_build)
 from narrata.operators.pooling import argmax
+from narrata.session import broadcast_bounded
 
 
 @F.udf(VectorUDT())
@@ -52,7 +53,7 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
                            .alias("weight"))
     # one row per class: broadcast (a shuffle join on the class key would
     # send each class, however large, to one task)
-    return df.join(F.broadcast(counts), label)
+    return df.join(broadcast_bounded(counts), label)
 
 
 @dataclass

@@ -72,15 +72,20 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_bounded(df: DataFrame, limit: int = 200_000) -> DataFrame:
-    """``df`` marked for broadcast, refused at run time beyond ``limit`` rows.
+def bounded(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """``df``, refused at run time beyond ``limit`` rows.
 
     At most ``limit + 1`` rows are ever gathered to count them, so a table that
     is larger than its caller believes fails with a message, not out of memory."""
     counted = df.limit(limit + 1).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy()))
     ok = F.when(F.col("_all") <= limit, F.lit(True)).otherwise(
-        F.raise_error(F.lit(f"a table to broadcast has more than {limit} rows")).cast("boolean"))
-    return F.broadcast(counted.where(ok).drop("_all"))
+        F.raise_error(F.lit(f"a table taken as small has more than {limit} rows")).cast("boolean"))
+    return counted.where(ok).drop("_all")
+
+
+def broadcast_bounded(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """A :func:`bounded` table, marked for broadcast."""
+    return F.broadcast(bounded(df, limit))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
