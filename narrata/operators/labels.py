@@ -3,9 +3,8 @@
 Fixed maps (tens of entries, known at plan time) are inlined as literal
 ``map`` expressions: a lookup is then a codegen'd hash probe inside the scan
 stage, with no join and no exchange at all. Label encoders have one row per
-label and are broadcast (a shuffle join on a low-cardinality key would put
-a whole class in one task); user lookup tables of any size are joined
-without a hint and AQE picks the strategy from their measured size.
+label and are broadcast behind a checked row limit (a shuffle join on a
+low-cardinality key would put a whole class in one task).
 """
 
 from __future__ import annotations
