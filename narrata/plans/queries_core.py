@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from narrata.fixed_values import MIN_WORD_COUNT, OTHER_GROUP
+from narrata.fixed_values import MAX_PER_CLASS, MIN_PER_CLASS, MIN_WORD_COUNT, OTHER_GROUP
 from narrata.functions.priority import (issue_rule_confidence, issue_rule_group,
                                         keyword_hits, score_priority)
 from narrata.functions.text import (clean_text, excerpt, prefix_fallback, strip_accents,
@@ -22,7 +22,7 @@ from narrata.session import read_table
 from narrata.sources import complaints as src
 from narrata.sources.fixtures import complaints
 
-# scaled-down balance parameters for the small test tables (FIXTURES.md §3)
+# scaled-down balance parameters of ``balance_classes`` alone (FIXTURES.md §3)
 T_MAX, T_MIN, SEED = 100, 40, 42
 
 
@@ -205,11 +205,11 @@ def q_text_excerpt(spark, sf):
 # balancing, encoding, splitting
 # --------------------------------------------------------------------------
 
-_BAL = o.balanced_ctes(T_MAX, T_MIN, SEED)
+_BAL = o.balanced_ctes(MAX_PER_CLASS, MIN_PER_CLASS, SEED)
 
 
 @register("balance_classes", f"""WITH {o.filtered_ctes()},
-{_BAL}
+{o.balanced_ctes(T_MAX, T_MIN, SEED)}
 SELECT complaint_id, draw, product FROM bal""")
 def q_balance(spark, sf):
     return balance_classes(_prep(spark, sf), "product", T_MAX, T_MIN, SEED) \
@@ -221,7 +221,7 @@ def q_balance(spark, sf):
 {o.encoded_ctes()}
 SELECT complaint_id, draw, product, product_encoded, issue_group, issue_group_encoded FROM enc""")
 def q_encode(spark, sf):
-    bal = balance_classes(_prep(spark, sf), "product", T_MAX, T_MIN, SEED)
+    bal = balance_classes(_prep(spark, sf), "product", MAX_PER_CLASS, MIN_PER_CLASS, SEED)
     return encode_labels(bal).select("complaint_id", "draw", "product", "product_encoded",
                                      "issue_group", "issue_group_encoded")
 
@@ -235,7 +235,7 @@ _PIPE = f"""WITH {o.filtered_ctes()},
 @register("stratified_split", _PIPE + """
 SELECT complaint_id, draw, product_encoded, split FROM spl""")
 def q_split(spark, sf):
-    return prepare_pipeline(complaints(spark, sf), T_MAX, T_MIN, SEED) \
+    return prepare_pipeline(complaints(spark, sf), MAX_PER_CLASS, MIN_PER_CLASS, SEED) \
         .select("complaint_id", "draw", "product_encoded", "split")
 
 
@@ -243,7 +243,7 @@ def q_split(spark, sf):
 SELECT complaint_id, draw, product, issue_group, priority, word_count,
        product_encoded, issue_group_encoded, split FROM spl""")
 def q_prepare(spark, sf):
-    return prepare_pipeline(complaints(spark, sf), T_MAX, T_MIN, SEED).select(
+    return prepare_pipeline(complaints(spark, sf), MAX_PER_CLASS, MIN_PER_CLASS, SEED).select(
         "complaint_id", "draw", "product", "issue_group", "priority", "word_count",
         "product_encoded", "issue_group_encoded", "split")
 
@@ -252,7 +252,7 @@ def q_prepare(spark, sf):
 SELECT t.complaint_id, t.draw FROM spl t
 WHERE t.split = 'test' AND t.narrative IN (SELECT narrative FROM spl WHERE split = 'train')""")
 def q_leakage(spark, sf):
-    df = prepare_pipeline(complaints(spark, sf), T_MAX, T_MIN, SEED)
+    df = prepare_pipeline(complaints(spark, sf), MAX_PER_CLASS, MIN_PER_CLASS, SEED)
     return split_leakage(df).select("complaint_id", "draw")
 
 

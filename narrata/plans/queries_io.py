@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from narrata.fixed_values import PRODUCT_LABEL_MAP
+from narrata.fixed_values import MAX_PER_CLASS, MIN_PER_CLASS, PRODUCT_LABEL_MAP
 from narrata.operators.labels import lookup
 from narrata.plans import oracle as o
 from narrata.plans.catalog import register
 from narrata.plans.prepare import class_refresh, clean_new_batch, filter_and_clean, prepare_pipeline
-from narrata.plans.queries_core import _PIPE, SEED, T_MAX, T_MIN
+from narrata.plans.queries_core import _PIPE, SEED
 from narrata.session import scratch_path
 from narrata.sources import complaints as src
 from narrata.sources.fixtures import complaints
@@ -55,7 +55,7 @@ def q_union_batches(spark, sf):
 @register("read_split", _PIPE + """
 SELECT complaint_id, draw, product, split FROM spl WHERE split = 'train'""")
 def q_read_split(spark, sf):
-    df = prepare_pipeline(complaints(spark, sf), T_MAX, T_MIN, SEED)
+    df = prepare_pipeline(complaints(spark, sf), MAX_PER_CLASS, MIN_PER_CLASS, SEED)
     path = scratch_path(spark, "splits")
     src.write_splits(df.select("complaint_id", "draw", "product", "narrative", "split"), path)
     return src.read_split(spark, path, "train").select("complaint_id", "draw", "product", "split")
@@ -73,9 +73,9 @@ n2 AS (SELECT n1.*, {o.clean_sql('n1.narrative')} AS narrative_clean,
               {o.wc_sql(o.clean_sql('n1.narrative'))} AS word_count,
               coalesce(im.grp, 'Other') AS issue_group, {o.priority_sql('n1.narrative')} AS priority
        FROM n1 LEFT JOIN im ON n1.issue = im.raw),
-smp AS (SELECT * FROM n2 ORDER BY {k}, complaint_id LIMIT {T_MAX}),
+smp AS (SELECT * FROM n2 ORDER BY {k}, complaint_id LIMIT {MAX_PER_CLASS}),
 comb AS (SELECT * FROM prep WHERE product <> '{REFRESH}' UNION ALL BY NAME SELECT * FROM smp),
-{o.balanced_ctes(T_MAX, T_MIN, SEED, src='comb')},
+{o.balanced_ctes(MAX_PER_CLASS, MIN_PER_CLASS, SEED, src='comb')},
 {o.encoded_ctes()},
 {o.split_ctes(SEED)}
 SELECT complaint_id, draw, product, issue_group, priority, product_encoded, split FROM spl"""
@@ -85,7 +85,7 @@ SELECT complaint_id, draw, product, issue_group, priority, product_encoded, spli
 def q_class_refresh(spark, sf):
     full = filter_and_clean(complaints(spark, sf))
     new = _api_rows(spark, sf).withColumn("complaint_id", F.expr("try_cast(complaint_id AS BIGINT)"))
-    out = class_refresh(full, clean_new_batch(new), REFRESH, T_MAX, T_MIN, SEED)
+    out = class_refresh(full, clean_new_batch(new), REFRESH, MAX_PER_CLASS, MIN_PER_CLASS, SEED)
     return out.select("complaint_id", "draw", "product", "issue_group", "priority",
                       "product_encoded", "split")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from narrata.fixed_values import MAX_PER_CLASS, MIN_PER_CLASS
 from narrata.functions.text import round6
 from narrata.operators import metrics as mt
 from narrata.operators import models as ml
@@ -16,7 +17,7 @@ from narrata.operators.summarize import summarize, summarize_groups
 from narrata.plans import oracle as o
 from narrata.plans.catalog import register
 from narrata.plans.prepare import filter_and_clean, prepare_pipeline
-from narrata.plans.queries_core import SEED, T_MAX, T_MIN
+from narrata.plans.queries_core import SEED
 from narrata.plans.score import triage_batch
 from narrata.session import cut_lineage, read_table, scratch_path
 from narrata.sources.fixtures import complaints
@@ -25,14 +26,14 @@ MAX_ITER = 1000  # the optimiser stops earlier by its tolerance
 
 
 def _splits(spark, sf):
-    df = prepare_pipeline(complaints(spark, sf), T_MAX, T_MIN, SEED)
+    df = prepare_pipeline(complaints(spark, sf), MAX_PER_CLASS, MIN_PER_CLASS, SEED)
     # written once: training and evaluation read the splits many times
     return cut_lineage(df.withColumn("row_id", F.col("complaint_id") * 100000 + F.col("draw")), "splits")
 
 
 def _all_rows(spark, sf):
     """Every prepared complaint: what the scoring queries score. Only the fit
-    uses the balanced sample, at most ``T_MAX`` rows per class."""
+    uses the balanced sample, at most ``MAX_PER_CLASS`` rows per class."""
     return filter_and_clean(complaints(spark, sf)).withColumn("row_id", F.col("complaint_id"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from narrata.fixed_values import CHART_STOPWORDS, EDA_STOPWORDS, PRIORITY_ORDER
+from narrata.fixed_values import (CHART_STOPWORDS, EDA_STOPWORDS, MAX_PER_CLASS, MIN_PER_CLASS,
+                                  PRIORITY_ORDER)
 from narrata.functions.text import word_count
 from narrata.operators import profile as pf
 from narrata.operators.labels import priority_reindex
@@ -13,7 +14,7 @@ from narrata.operators.sampling import balance_classes
 from narrata.plans import oracle as o
 from narrata.plans.catalog import register
 from narrata.plans.prepare import filter_and_clean, prepare_pipeline
-from narrata.plans.queries_core import _BAL, _PIPE, SEED, T_MAX, T_MIN
+from narrata.plans.queries_core import _BAL, _PIPE, SEED
 from narrata.session import read_table
 from narrata.sources.fixtures import complaints
 from narrata.sources.stats import DIST_COLS, dataset_stats_long, dataset_stats_row
@@ -137,13 +138,13 @@ def q_priority_reindex(spark, sf):
 SELECT split, product, n, round(n / sum(n) OVER (PARTITION BY split), 6) AS share
 FROM (SELECT split, product, count(*) AS n FROM spl GROUP BY split, product)""")
 def q_split_distribution(spark, sf):
-    return pf.split_distribution(prepare_pipeline(complaints(spark, sf), T_MAX, T_MIN, SEED))
+    return pf.split_distribution(prepare_pipeline(complaints(spark, sf), MAX_PER_CLASS, MIN_PER_CLASS, SEED))
 
 
 @register("split_totals", _PIPE + """
 SELECT split, product, count(*) AS n FROM spl GROUP BY ROLLUP (split, product)""")
 def q_split_totals(spark, sf):
-    return pf.split_totals(prepare_pipeline(complaints(spark, sf), T_MAX, T_MIN, SEED))
+    return pf.split_totals(prepare_pipeline(complaints(spark, sf), MAX_PER_CLASS, MIN_PER_CLASS, SEED))
 
 
 @register("balance_compare", _F + f""",
@@ -155,7 +156,7 @@ SELECT coalesce(b.product, a.product) AS product, coalesce(n_before, 0) AS n_bef
 FROM b FULL JOIN a ON b.product = a.product""")
 def q_balance_compare(spark, sf):
     prep = _prep(spark, sf)
-    return pf.balance_compare(prep, balance_classes(prep, "product", T_MAX, T_MIN, SEED))
+    return pf.balance_compare(prep, balance_classes(prep, "product", MAX_PER_CLASS, MIN_PER_CLASS, SEED))
 
 
 @register("class_weights", _PIPE + """,
@@ -166,7 +167,7 @@ SELECT CAST(k.product_encoded AS INTEGER) AS product_encoded, coalesce(c.n, 0) A
        CASE WHEN c.n > 0 THEN big_n / ((mx + 1) * c.n) END AS weight
 FROM k LEFT JOIN c USING (product_encoded)""")
 def q_class_weights(spark, sf):
-    df = prepare_pipeline(complaints(spark, sf), T_MAX, T_MIN, SEED).where("split = 'train'")
+    df = prepare_pipeline(complaints(spark, sf), MAX_PER_CLASS, MIN_PER_CLASS, SEED).where("split = 'train'")
     return pf.class_weights(df, "product_encoded")
 
 
@@ -216,7 +217,7 @@ UNION ALL SELECT 'product_distribution', product, count(*) FROM spl GROUP BY pro
 UNION ALL SELECT 'issue_group_distribution', issue_group, count(*) FROM spl GROUP BY issue_group
 UNION ALL SELECT 'priority_distribution', priority, count(*) FROM spl GROUP BY priority""")
 def q_dataset_stats(spark, sf):
-    return dataset_stats_long(prepare_pipeline(complaints(spark, sf), T_MAX, T_MIN, SEED))
+    return dataset_stats_long(prepare_pipeline(complaints(spark, sf), MAX_PER_CLASS, MIN_PER_CLASS, SEED))
 
 
 @register("dataset_stats_doc", _PIPE + """
@@ -228,7 +229,7 @@ SELECT count(*) AS total_filtered, count(*) FILTER (split = 'train') AS train_si
 FROM spl""")
 def q_dataset_stats_doc(spark, sf):
     """The one-row document; its maps are printed in key order."""
-    doc = dataset_stats_row(prepare_pipeline(complaints(spark, sf), T_MAX, T_MIN, SEED))
+    doc = dataset_stats_row(prepare_pipeline(complaints(spark, sf), MAX_PER_CLASS, MIN_PER_CLASS, SEED))
     for stat, _ in DIST_COLS:
         doc = doc.withColumn(stat, F.array_join(F.transform(
             F.map_entries(stat), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), "|"))

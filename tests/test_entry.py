@@ -31,3 +31,13 @@ def test_only_model_queries_lack_an_oracle():
     assert set(catalog.QUERIES) - set(catalog.ORACLE) == {
         "train_product", "train_issue_group", "predict_batch", "train_word2vec", "train_nb",
         "train_compare", "top_features", "model_roundtrip", "token_attribution", "triage_batch"}
+
+
+def test_pipeline_queries_use_the_full_class_bounds(spark):
+    """Nine classes under 1000 rows each are raised to 1000; 100/40 is for balance_classes alone."""
+    sf = "/root/testdata/sf0.01"
+    n = {(r["split"], r["product"]): r["n"] for r in E.queries()["split_totals"](spark, sf).collect()}
+    assert n[None, None] == 9000
+    assert E.queries()["balance_classes"](spark, sf).groupBy("product").count().agg({"count": "max"}).first()[0] == 100
+    for name in ("prepare_pipeline", "encode_labels", "dataset_stats_doc", "read_split", "class_refresh"):
+        assert "_r <= 15000" in E.oracle_sql()[name] and "_r <= 100)" not in E.oracle_sql()[name]
