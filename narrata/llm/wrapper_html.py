@@ -12,9 +12,12 @@ Every page takes part: a task folds its pages into one partial wrapper a host
 (pages of a known shape only add to the slots' figures), partial wrappers of a
 host meet in ``SALTS`` tasks first and in one then, so a host of a third of all
 pages sends one small row a task. The wrapper tells where the host's main
-region is (article or main element, a content container, or else the region of
-its varying text) and which groups of it are furniture; a page is read by
-aligning its own stream with those places.
+region is: the article or main elements or content containers that hold varying
+text, or else the region of its varying text. A page is read by aligning its own
+stream with those places. Text that stands at the same place on at least
+``CONSTANT`` and more than half of the host's distinct pages is template text
+and is left out, unless a page has no other text. Menus, adverts, footers and the
+like are furniture by tag or name, since their text may vary too.
 
 Blocks: one a block tag, inline tags do not break; character references are
 decoded, white space becomes one space, blocks are joined by a line feed.
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import html
 import json
+from hashlib import blake2b
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,6 +43,7 @@ from pyspark.sql import functions as F
 from narrata.llm.common import arrow_spec, join_keyed, map_arrow, materialise
 
 SALTS = 32
+CONSTANT = 3  # pages on which the same must stand before it counts as the host's
 HOSTS = 400  # partial wrappers a task holds before it emits them
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*)(?:((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)|([^<>]*))>|<!--|<[!?][^>]*>""")
@@ -260,12 +265,13 @@ def furniture(label: str, inside: bool) -> bool:
 
 def plan(w: list) -> list[str]:
     """Label paths of the host's main region, by the whole wrapper."""
-    found: dict[str, list[tuple[str, float]]] = {"article": [], "main": [], "named": [], "all": []}
+    found: dict[str, list[tuple[str, float, float]]] = {"article": [], "main": [], "named": [], "all": []}
 
-    def chars(x: list, varying: bool = False) -> float:
+    def chars(x: list, least: int = 0) -> float:
+        """Without slots whose text is the same on ``least`` pages or more."""
         if x[0] == "#":
-            return x[2] if x[3] is None or not varying else 0
-        return 0 if furniture(x[0], True) else sum(chars(y, varying) for y in x[4])
+            return 0 if least and x[3] is not None and x[1] >= least else x[2]
+        return 0 if furniture(x[0], True) else sum(chars(y, least) for y in x[4])
 
     def walk(x: list, path: str) -> None:
         for y in x[4]:
@@ -273,41 +279,68 @@ def plan(w: list) -> list[str]:
                 continue
             here = f"{path}>{y[0]}"
             tag, *words = y[0].split(".")
+            place = (here, chars(y), chars(y, CONSTANT))
             if tag == "article":
-                found["article"].append((here, chars(y)))
+                found["article"].append(place)
                 continue
             if tag == "main" or "main" in words:
-                found["main"].append((here, chars(y)))
+                found["main"].append(place)
             elif any(p in _MAIN for v in words for p in _SPLIT.split(v)):
-                found["named"].append((here, chars(y)))
-            found["all"].append((here, chars(y, True)))
+                found["named"].append(place)
+            found["all"].append((here, chars(y, 1), 0))
             walk(y, here)
 
+    def named(by: int) -> list[str]:
+        for kind in ("article", "main", "named"):
+            top = max((p[by] for p in found[kind]), default=0)
+            chosen = list(dict.fromkeys(p[0] for p in found[kind] if p[by] > 0 and (
+                p[by] >= 0.1 * top or kind == "article")))
+            if chosen:
+                return [p for p in chosen if not any(p.startswith(q + ">") for q in chosen)]
+        return []
+
     walk(w, "")
-    for kind in ("article", "main", "named"):
-        live = [(p, c) for p, c in found[kind] if c > 0]
-        if live:
-            top = max(c for _, c in live)
-            chosen = list(dict.fromkeys(p for p, c in live if c >= 0.1 * top or kind == "article"))
-            return [p for p in chosen if not any(p.startswith(q + ">") for q in chosen)]
-    # no named place: the deepest region that holds most of the varying text
-    total = max((c for _, c in found["all"]), default=0)
-    deep = [p for p, c in found["all"] if c >= 0.7 * total > 0]
-    return [max(deep, key=lambda p: p.count(">"))] if deep else []
-
-
-def main_text(root: Group, paths: list[str]) -> str:
-    """Blocks of the groups that align with the region's places; of the whole
-    page without furniture if none does."""
+    if chosen := named(2):
+        return chosen
+    # no named place with varying text: the deepest region that holds most of it
+    total = max((c for _, c, _ in found["all"]), default=0)
+    deep = [p for p, c, _ in found["all"] if c >= 0.7 * total > 0]
+    return [max(deep, key=lambda p: p.count(">"))] if deep else named(1)
+
+
+def block_key(path: str, text: str) -> int:
+    """64-bit key of a block at its place."""
+    return int.from_bytes(blake2b(f"{path}\n{text}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) or 1
+
+
+def block_keys(root: Group) -> list[int]:
+    """Keys of the page's distinct blocks, in order."""
+    keys: dict[int, None] = {}
+
+    def walk(g: Group, path: str) -> None:
+        for x in g.items:
+            if isinstance(x, Group):
+                walk(x, f"{path}>{x.label}")
+            elif t := " ".join(x.split()):
+                keys[block_key(path, t)] = None
+
+    walk(root, "")
+    return list(keys)
+
+
+def main_text(root: Group, paths: list[str], constant: frozenset[int] = frozenset()) -> str:
+    """Blocks of the groups that align with the region's places, of the whole
+    page without furniture if none does; without ``constant`` blocks (keys)
+    unless there are no others."""
     wanted = set(paths)
-    regions: list[Group] = []
+    regions: list[tuple[Group, str]] = []
 
     def seek(g: Group, path: str) -> None:
         for x in g.items:
             if isinstance(x, Group) and not furniture(x.label, False):
                 here = f"{path}>{x.label}"
                 if here in wanted:
-                    regions.append(x)
+                    regions.append((x, here))
                 else:
                     seek(x, here)
 
@@ -316,19 +349,22 @@ def main_text(root: Group, paths: list[str]) -> str:
         wanted = set(own)
         seek(root, "")
     blocks: list[str] = []
+    varying: list[str] = []
 
-    def read(g: Group) -> None:
+    def read(g: Group, path: str) -> None:
         for x in g.items:
             if isinstance(x, str):
                 t = " ".join(x.split())
                 if t:
                     blocks.append(t)
+                    if not constant or block_key(path, t) not in constant:
+                        varying.append(t)
             elif not furniture(x.label, True):
-                read(x)
+                read(x, f"{path}>{x.label}")
 
-    for g in regions or [root]:
-        read(g)
-    return "\n".join(blocks)
+    for g, path in regions or [(root, "")]:
+        read(g, path)
+    return "\n".join(varying or blocks)
 
 
 # ------------------------------------------------------------------- Spark
@@ -388,22 +424,44 @@ def _fold(wrappers: list[list]) -> list:
     return out
 
 
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, keys): the blocks that at least ``CONSTANT`` and more than half of
+    the host's distinct pages have; exact, from counts over all pages."""
+
+    def keyed(batches):
+        for b in batches:
+            keys = [block_keys(parse(t or "")) for t in b.column("html").to_pylist()]
+            # key 0 counts the pages
+            yield {"host": b.column("host"), "page": [block_key("", json.dumps(k)) for k in keys],
+                   "keys": [[0, *k] for k in keys]}
+
+    own = map_arrow(pages.select(host_of().alias("host"), "html"), "host string, page long, keys array<long>", keyed)
+    distinct = own.groupBy("host", "page").agg(F.first("keys").alias("keys"))
+    counts = materialise(distinct.select("host", F.explode("keys").alias("key")).groupBy("host", "key")
+                         .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CONSTANT), "blocks")
+    total = counts.filter("key = 0").select("host", F.col("n").alias("total"))
+    return join_keyed(counts.filter("key <> 0"), total, ["host"]).filter("2 * n > total") \
+        .groupBy("host").agg(F.collect_list("key").alias("_constant"))  # at most two pages' worth of blocks a host
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (url, html, any more) with ``text``."""
-    keep = [f for f in pages.schema.fields if f.name not in ("text", "html", "_host", "_paths")]
+    keep = [f for f in pages.schema.fields if f.name not in ("text", "html", "_host", "_paths", "_constant")]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "text string"])
 
     def regions(batches):
         for b in batches:
-            yield {"host": b.column("host"), "_paths": [plan(json.loads(w)) for w in b.column("wrapper").to_pylist()]}
+            wrappers = [json.loads(w) for w in b.column("wrapper").to_pylist()]
+            yield {"host": b.column("host"), "_paths": [plan(w) for w in wrappers]}
 
-    plans = materialise(map_arrow(infer(pages), "host string, _paths array<string>", regions), "wrappers")
+    plans = map_arrow(infer(pages), "host string, _paths array<string>", regions)
+    plans = materialise(plans.join(templates(pages), "host", "left"), "wrappers")  # one row a host
     placed = join_keyed(pages.withColumn("_host", host_of()), plans.withColumnRenamed("host", "_host"), ["_host"])
 
     def read(batches):
         for b in batches:
             yield {**{f.name: b.column(f.name) for f in keep},
-                   "text": [main_text(parse(t or ""), p or []) for t, p in
-                            zip(b.column("html").to_pylist(), b.column("_paths").to_pylist(), strict=True)]}
+                   "text": [main_text(parse(t or ""), p or [], frozenset(c or ())) for t, p, c in
+                            zip(*(b.column(x).to_pylist() for x in ("html", "_paths", "_constant")), strict=True)]}
 
     return map_arrow(placed, ddl, read)

@@ -356,3 +356,17 @@ def test_registered_digests(spark):
     for d in docs:
         ids = np.frombuffer(bpe.encode(d.text), "<i4").tolist()
         assert got[d.doc_id].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def _read(spark, pages):
+    table = spark.createDataFrame([(k, f"http://h.example/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    return [x.text for x in wrapper_html.extract(table).orderBy("page_id").collect()]
+
+
+def test_html_template_text_inside_the_region(spark):
+    """Text that a host's pages share is template text wherever it stands."""
+    page = lambda k: f"<body><article><p>Story {k}<p>more {k}<div class=x1>Read us daily</div><p>end {k}<p>Call 555</article>"
+    pages = [page(k) for k in range(6)]
+    want = [f"Story {k}\nmore {k}\nend {k}" for k in range(6)]
+    assert _read(spark, pages + pages[:1] * 9) == want + want[:1] * 9  # copies of a page are one page
+    assert _read(spark, [page(0)] * 5) == ["Story 0\nmore 0\nRead us daily\nend 0\nCall 555"] * 5
