@@ -17,7 +17,9 @@ text, or else the region of its varying text. A page is read by aligning its own
 stream with those places. Text that stands at the same place on at least
 ``CONSTANT`` and more than half of the host's distinct pages is template text
 and is left out, unless a page has no other text. Menus, adverts, footers and the
-like are furniture by tag or name, since their text may vary too.
+like are furniture by tag or name, since their text may vary too; inside the main
+region a heading or section is so only by a class or role that the wrapper has on
+as many pages (hosts of fewer pages: by the name alone), never by its id.
 
 Blocks: one a block tag, inline tags do not break; character references are
 decoded, white space becomes one space, blocks are joined by a line feed.
@@ -63,6 +65,7 @@ _WORDS = frozenset("ad ads advert advertisement adverts advertising banner bread
                    "share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget complementary "
                    "contentinfo search alert modal overlay".split())
 _MAIN = frozenset("article content entry main post story text body".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -78,7 +81,8 @@ class Group:
 
 
 def _label(tag: str, attrs: str) -> str:
-    """Tag with the words of class, id and role; ``!`` if hidden."""
+    """Tag with the words of class, id (after ``#``; none of headings) and role;
+    ``!`` if hidden."""
     if not attrs or "=" not in attrs and "hidden" not in attrs:
         return tag
     words, hidden = [], False
@@ -88,8 +92,8 @@ def _label(tag: str, attrs: str) -> str:
             hidden |= "display:none" in value.replace(" ", "")
         elif name == "hidden":
             hidden = True
-        else:
-            words += [w for w in re.sub("[0-9]+", "", value).split() if w]
+        elif name != "id" or tag not in _HEADINGS:
+            words += ["#" * (name == "id") + w for w in re.sub("[0-9]+", "", value).split() if w]
     return tag + "".join("." + w for w in dict.fromkeys(words)) + "!" * hidden
 
 
@@ -259,8 +263,35 @@ def furniture(label: str, inside: bool) -> bool:
     tag, *words = label.rstrip("!").split(".")
     if label.endswith("!") or tag in _FURNITURE and not (inside and tag == "header"):
         return True
-    return tag not in ("html", "body", "main") and any(
-        p in _WORDS for w in words for p in _SPLIT.split(w)) and not (inside and tag in ("p", "h1"))
+    if tag in ("html", "body", "main") or inside and tag in ("p", "h1"):
+        return False
+    if inside and _headed(label):
+        words = [w for w in words if not w.startswith("#")]
+    return any(p in _WORDS for w in words for p in _SPLIT.split(w))
+
+
+def _headed(label: str) -> bool:
+    """A heading or a section, whose names are often made from its title."""
+    tag, *words = label.rstrip("!").split(".")
+    return tag in _HEADINGS or tag == "section" or "section" in words
+
+
+def unsupported(w: list) -> list[str]:
+    """Label paths of headings and sections with a furniture name that too few
+    of the host's pages have; none if the host itself has too few."""
+    most: dict[str, int] = {}
+
+    def walk(x: list, path: str) -> None:
+        for y in x[4]:
+            if y[0] != "#":
+                here = f"{path}>{y[0]}"
+                if _headed(y[0]) and not y[0].endswith("!") and furniture(y[0], True):
+                    most[here] = max(most.get(here, 0), y[1])
+                walk(y, here)
+
+    if w[1] >= CONSTANT:
+        walk(w, "")
+    return [p for p, n in most.items() if n < CONSTANT or 2 * n <= w[1]]
 
 
 def plan(w: list) -> list[str]:
@@ -283,7 +314,7 @@ def plan(w: list) -> list[str]:
             if tag == "article":
                 found["article"].append(place)
                 continue
-            if tag == "main" or "main" in words:
+            if tag == "main" or "main" in words or "#main" in words:
                 found["main"].append(place)
             elif any(p in _MAIN for v in words for p in _SPLIT.split(v)):
                 found["named"].append(place)
@@ -292,9 +323,7 @@ def plan(w: list) -> list[str]:
 
     def named(by: int) -> list[str]:
         for kind in ("article", "main", "named"):
-            top = max((p[by] for p in found[kind]), default=0)
-            chosen = list(dict.fromkeys(p[0] for p in found[kind] if p[by] > 0 and (
-                p[by] >= 0.1 * top or kind == "article")))
+            chosen = list(dict.fromkeys(p[0] for p in found[kind] if p[by] > 0))
             if chosen:
                 return [p for p in chosen if not any(p.startswith(q + ">") for q in chosen)]
         return []
@@ -328,10 +357,11 @@ def block_keys(root: Group) -> list[int]:
     return list(keys)
 
 
-def main_text(root: Group, paths: list[str], constant: frozenset[int] = frozenset()) -> str:
+def main_text(root: Group, paths: list[str], constant: frozenset[int] = frozenset(),
+              keep: frozenset[str] = frozenset()) -> str:
     """Blocks of the groups that align with the region's places, of the whole
     page without furniture if none does; without ``constant`` blocks (keys)
-    unless there are no others."""
+    unless there are no others. Groups at the ``keep`` paths are no furniture."""
     wanted = set(paths)
     regions: list[tuple[Group, str]] = []
 
@@ -359,7 +389,7 @@ def main_text(root: Group, paths: list[str], constant: frozenset[int] = frozense
                     blocks.append(t)
                     if not constant or block_key(path, t) not in constant:
                         varying.append(t)
-            elif not furniture(x.label, True):
+            elif not furniture(x.label, True) or f"{path}>{x.label}" in keep:
                 read(x, f"{path}>{x.label}")
 
     for g, path in regions or [(root, "")]:
@@ -446,22 +476,22 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (url, html, any more) with ``text``."""
-    keep = [f for f in pages.schema.fields if f.name not in ("text", "html", "_host", "_paths", "_constant")]
+    keep = [f for f in pages.schema.fields if f.name not in ("text", "html", "_host", "_paths", "_keep", "_constant")]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "text string"])
 
     def regions(batches):
         for b in batches:
             wrappers = [json.loads(w) for w in b.column("wrapper").to_pylist()]
-            yield {"host": b.column("host"), "_paths": [plan(w) for w in wrappers]}
+            yield {"host": b.column("host"), "_paths": [plan(w) for w in wrappers], "_keep": [unsupported(w) for w in wrappers]}
 
-    plans = map_arrow(infer(pages), "host string, _paths array<string>", regions)
+    plans = map_arrow(infer(pages), "host string, _paths array<string>, _keep array<string>", regions)
     plans = materialise(plans.join(templates(pages), "host", "left"), "wrappers")  # one row a host
     placed = join_keyed(pages.withColumn("_host", host_of()), plans.withColumnRenamed("host", "_host"), ["_host"])
 
     def read(batches):
         for b in batches:
             yield {**{f.name: b.column(f.name) for f in keep},
-                   "text": [main_text(parse(t or ""), p or [], frozenset(c or ())) for t, p, c in
-                            zip(*(b.column(x).to_pylist() for x in ("html", "_paths", "_constant")), strict=True)]}
+                   "text": [main_text(parse(t or ""), p or [], frozenset(c or ()), frozenset(k or ())) for t, p, c, k in
+                            zip(*(b.column(x).to_pylist() for x in ("html", "_paths", "_constant", "_keep")), strict=True)]}
 
     return map_arrow(placed, ddl, read)

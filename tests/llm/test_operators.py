@@ -370,3 +370,15 @@ def test_html_template_text_inside_the_region(spark):
     want = [f"Story {k}\nmore {k}\nend {k}" for k in range(6)]
     assert _read(spark, pages + pages[:1] * 9) == want + want[:1] * 9  # copies of a page are one page
     assert _read(spark, [page(0)] * 5) == ["Story 0\nmore 0\nRead us daily\nend 0\nCall 555"] * 5
+
+
+def test_html_names_drop_no_content(spark):
+    """Heading and section names, and containers beside a large one."""
+    def page(k):
+        own = f"<section id='related-work' class=related><p>Others {k}</p></section><h2 id=search class=search>Search {k}</h2>" if k == 2 else ""
+        return (f"<body><div class='entry-summary'><p>Lead {k}</p></div><div class='entry-content'><p>{f'long {k} ' * 60}</p>{own}"
+                f"<section class=share><p>Send {k}</p></section><div class=ads>ad {k}</div></div>")
+    own = ["Others 2", "Search 2"]
+    got = _read(spark, [page(k) for k in range(6)])
+    assert got == ["\n".join([f"Lead {k}", (f"long {k} " * 60).strip(), *(own if k == 2 else [])]) for k in range(6)]
+    assert _read(spark, ["<body><article><p>A<section id='related-work'><p>B</section><h2 id=search>C</h2>"]) == ["A\nB\nC"]
