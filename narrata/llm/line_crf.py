@@ -58,7 +58,7 @@ def line_features(line: bytes, words: list[bytes], seen: bool) -> list[float]:
                + line.count(b"&&") + line.count(b"%%") + line.count(b"**")) / n
     return [1.0, min(1.0, share(_SYMBOLS) * size / n), min(1.0, doubled),
             upper / (upper + lower) if upper else 0.0,
-            sum(map(eq, words, words[1:])) / n, 1.0 - len(set(words)) / n if n < 400 else 0.0,
+            sum(map(eq, words, words[1:])) / n, 1.0 - len(set(words)) / n,
             1.0 / n, share(_DIGITS), float(seen), min(1.0, 10 * share(_CODE)),
             min(1.0, size / n / 40), float(line.rstrip()[-1:] not in b".!?:\"'")]
 

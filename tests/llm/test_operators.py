@@ -382,3 +382,12 @@ def test_html_names_drop_no_content(spark):
     got = _read(spark, [page(k) for k in range(6)])
     assert got == ["\n".join([f"Lead {k}", (f"long {k} " * 60).strip(), *(own if k == 2 else [])]) for k in range(6)]
     assert _read(spark, ["<body><article><p>A<section id='related-work'><p>B</section><h2 id=search>C</h2>"]) == ["A\nB\nC"]
+
+
+def test_line_crf_repeats_at_any_length():
+    """A long line of few words in changing order shows its repeats like its short pieces."""
+    r = random.Random(3)
+    at = line_crf.FEATURES.index("repeats")
+    words = [r.choice([b"a", b"b", b"c", b"d", b"e", b"f", b"g", b"h"]) for _ in range(1200)]
+    got = [line_crf.line_features(b" ".join(words[:n]), words[:n], False)[at] for n in (390, 399, 400, 1200)]
+    assert got == [1 - 8 / n for n in (390, 399, 400, 1200)]
