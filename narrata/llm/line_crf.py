@@ -5,8 +5,7 @@ the share of words on content lines decides whether the document stays. Base
 rules (minimum words, repeated three-word windows) reject before that.
 
 Training: a bounded, documented sample (``MAX_DOCS`` labelled documents of each
-quality, chosen by a hash, up to ``MAX_LINES`` lines each) gives document
-labels; lines of good documents are content, lines of bad ones start as
+quality, chosen by a hash, all lines of each) gives document labels; lines of good documents are content, lines of bad ones start as
 boilerplate and are re-decoded once, since bad documents also hold good lines.
 The weights maximise the penalised conditional likelihood (forward-backward,
 full-batch ascent). Without labels of both classes the prior weights stand.
@@ -31,7 +30,6 @@ from pyspark.sql import functions as F
 from narrata.llm.common import map_arrow, text_bytes
 
 MAX_DOCS = 1000
-MAX_LINES = 32
 MIN_CONTENT = 0.5
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
@@ -187,14 +185,38 @@ class Crf:
         return g_w / docs, g_s / docs, g_t / docs
 
 
-def _fit(model: Crf, x, y, on, rounds: int = 80, rate: float = 0.1, penalty: float = 0.002) -> Crf:
+def _buckets(xs: list[np.ndarray], marks: list[np.ndarray]) -> list[tuple]:
+    """Padded (x, y, on) of sequences whose lengths lie within a factor of two."""
+    by: dict[int, list[int]] = {}
+    for k, f in enumerate(xs):
+        by.setdefault(len(f).bit_length(), []).append(k)
+    out = []
+    for _, ks in sorted(by.items()):
+        lines = max(len(xs[k]) for k in ks)
+        x = np.zeros((len(ks), lines, len(FEATURES)))
+        y, on = np.zeros((len(ks), lines), np.int64), np.zeros((len(ks), lines), bool)
+        for d, k in enumerate(ks):
+            x[d, :len(xs[k])], y[d, :len(xs[k])], on[d, :len(xs[k])] = xs[k], marks[k], True
+            y[d, len(xs[k]):] = marks[k][-1]
+        out.append((x, y, on))
+    return out
+
+
+def _gradient(model: Crf, buckets: list[tuple]) -> list[np.ndarray]:
+    """Gradient of the mean log-likelihood over the documents of all buckets."""
+    total = sum(len(y) for _, y, _ in buckets)
+    parts = [[g * (len(y) / total) for g in model.gradient(x, y, on)] for x, y, on in buckets]
+    return [sum(p) for p in zip(*parts, strict=True)]
+
+
+def _fit(model: Crf, buckets: list[tuple], rounds: int = 80, rate: float = 0.1, penalty: float = 0.002) -> Crf:
     """Adam ascent; the penalty pulls towards the prior."""
     prior = Crf.prior()
     params = [model.weights.copy(), model.start.copy(), model.trans.copy()]
     centre = [prior.weights, prior.start, prior.trans]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for k in range(1, rounds + 1):
-        for i, g in enumerate(Crf(*params).gradient(x, y, on)):
+        for i, g in enumerate(_gradient(Crf(*params), buckets)):
             g = g - penalty * (params[i] - centre[i])
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
@@ -213,11 +235,10 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Crf:
         picked = part if picked is None else picked.unionByName(part)
     chosen = docs.select(F.col("doc_id").cast("long"), text_bytes()) \
         .join(F.broadcast(picked), "doc_id")  # at most 2 * max_docs rows
-    cap = MAX_LINES
 
     def features(batches):
         for b in batches:
-            got = [scan(t).features[:cap] for t in b.column("text").to_pylist()]
+            got = [scan(t).features for t in b.column("text").to_pylist()]
             yield {"doc_id": b.column("doc_id"), "q": b.column("q"),
                    "x": [f.astype("<f8").tobytes() for f in got]}
 
@@ -229,19 +250,14 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Crf:
     q = np.array([rows[k]["q"] for k in use])
     if not len(use) or len(set(q.tolist())) < 2:
         return Crf.prior()
-    lines = max(len(xs[k]) for k in use)
-    x = np.zeros((len(use), lines, len(FEATURES)))
-    on = np.zeros((len(use), lines), bool)
-    for d, k in enumerate(use):
-        x[d, :len(xs[k])], on[d, :len(xs[k])] = xs[k], True
-    y = np.repeat((q == 0)[:, None], lines, axis=1).astype(np.int64)
-    model = _fit(Crf.prior(), x, y, on)
+    xs = [xs[k] for k in use]
+    marks = [np.full(len(f), c == 0, np.int64) for f, c in zip(xs, q, strict=True)]
+    model = _fit(Crf.prior(), _buckets(xs, marks))
     for d in np.flatnonzero(q == 0):  # good lines inside bad documents
-        n = int(on[d].sum())
-        got = model.viterbi(x[d, :n])
+        got = model.viterbi(xs[d])
         if got.any():
-            y[d, :n] = got
-    return _fit(model, x, y, on, rounds=40)
+            marks[d] = got.astype(np.int64)
+    return _fit(model, _buckets(xs, marks), rounds=40)
 
 
 def judge(docs: DataFrame, model: Crf, min_content: float = MIN_CONTENT) -> DataFrame:

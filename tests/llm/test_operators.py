@@ -391,3 +391,19 @@ def test_line_crf_repeats_at_any_length():
     words = [r.choice([b"a", b"b", b"c", b"d", b"e", b"f", b"g", b"h"]) for _ in range(1200)]
     got = [line_crf.line_features(b" ".join(words[:n]), words[:n], False)[at] for n in (390, 399, 400, 1200)]
     assert got == [1 - 8 / n for n in (390, 399, 400, 1200)]
+
+
+def test_line_crf_trains_on_whole_texts(spark):
+    """Lines after the 32nd change the model, and buckets do not change the gradient."""
+    plain = "\n".join(f"a plain line of words {k}." for k in range(40))
+    bad = "\n".join("#### $$$$ BUY !!!!" for _ in range(40))
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(8)], LABELS)
+    table = lambda tail: spark.createDataFrame([(k, plain + ("" if k % 2 else "\n" + tail)) for k in range(8)], "doc_id long, text string")
+    a, b = (line_crf.train(table(t), labels).weights for t in (bad, plain))
+    assert not np.allclose(a, b)
+    r = np.random.default_rng(4)
+    xs = [r.normal(size=(n, len(line_crf.FEATURES))) for n in (1, 2, 3, 9, 40)]
+    marks = [r.integers(0, 2, len(x)) for x in xs]
+    model, each = line_crf.Crf.prior(), [line_crf._buckets([x], [y])[0] for x, y in zip(xs, marks, strict=True)]
+    for g, *one in zip(line_crf._gradient(model, line_crf._buckets(xs, marks)), *(model.gradient(*e) for e in each), strict=True):
+        assert np.allclose(g, np.mean(one, axis=0))
