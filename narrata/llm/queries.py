@@ -13,6 +13,7 @@ from narrata.llm import (
     gam,
     interpolated_lm,
     line_crf,
+    merkle,
     pii_bootstrap,
     prefix_bpe,
     rans,
@@ -106,3 +107,19 @@ def op3_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_wrapper_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = documents(spark, sf_dir, "pages")
     return wrapper_html.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(*merkle.FIELDS)
+    # the stand-in for tampered data: half of the rows lose their line feeds
+    tampered = F.replace("text", F.lit("\n"), F.lit(""))
+    handed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0,
+                    merkle.leaf_digest(*merkle.FIELDS[:-1], tampered)).otherwise(merkle.leaf_digest(*merkle.FIELDS))
+    made = merkle.manifest(docs.withColumn("handed", handed)) \
+        .withColumn("folded_root", merkle.fold(F.col("handed")))
+    return made.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), "folded_root",
+                       (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+ORACLE["op13_merkle_manifest"] = merkle.oracle()
