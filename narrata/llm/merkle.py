@@ -30,13 +30,14 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
+from functools import partial
 from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrata.llm.common import join_keyed, map_arrow, materialise, pack, unpack
+from narrata.llm.common import BATCH_ROWS, join_keyed, map_arrow, materialise, pack, unpack
 
 FAN = 3
 #: levels that one block spans: 3 ** 8 = 6561 nodes
@@ -121,65 +122,73 @@ def sweep_down(nodes: dict[tuple[int, int], str], n: int, levels: int,
     return proofs
 
 
-def _runs(batches: Iterable[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[list[dict]]:
+def _runs(batches: Iterable[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[pa.Table]:
     """Rows of sorted batches, gathered while their key stays the same: one
     block of at most FAN ** DEPTH nodes and the message for it."""
-    run: list[dict] = []
+    run: list[pa.RecordBatch] = []
     at = None
     for b in batches:
-        for row in b.to_pylist():
-            k = tuple(row[c] for c in key)
-            if run and k != at:
-                yield run
+        keys = list(zip(*(b.column(c).to_pylist() for c in key), strict=True))
+        lo = 0
+        while lo < len(keys):
+            hi = lo
+            while hi < len(keys) and keys[hi] == keys[lo]:
+                hi += 1
+            if run and keys[lo] != at:
+                yield pa.Table.from_batches(run).combine_chunks()
                 run = []
-            at = k
-            run.append(row)
+            at = keys[lo]
+            run.append(b.slice(lo, hi - lo))
+            lo = hi
     if run:
-        yield run
+        yield pa.Table.from_batches(run).combine_chunks()
 
 
-def _levels(n: int, total: int) -> int:
-    """Levels that a block of ``n`` of its group's ``total`` nodes spans: up to
-    the group's top, or DEPTH if there are more nodes than one block holds."""
-    return len(_shape(total)) - 1 if total <= FAN ** DEPTH else DEPTH
+def _levels(total: int, depth: int) -> int:
+    """Levels that a block of a group with ``total`` nodes spans: up to the
+    group's top, or ``depth`` if there are more nodes than one block holds."""
+    return len(_shape(total)) - 1 if total <= FAN ** depth else depth
 
 
-def _up(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+def _up(batches: Iterable[pa.RecordBatch], depth: int) -> Iterator[dict]:
     out: dict[str, list] = {"g": [], "pos": [], "digest": [], "n": []}
     for run in _runs(batches, ("g", "block")):
-        total, digests = run[0]["n"], [r["digest"] for r in run]
-        levels = _levels(len(digests), total)
-        out["g"].append(run[0]["g"])
-        out["pos"].append(run[0]["block"])
+        total, digests = run["n"][0].as_py(), run["digest"].to_pylist()
+        levels = _levels(total, depth)
+        out["g"].append(run["g"][0].as_py())
+        out["pos"].append(run["block"][0].as_py())
         out["digest"].append(sweep_up(digests, levels)[levels, 0])
-        out["n"].append(-(-total // FAN ** DEPTH))
+        out["n"].append(-(-total // FAN ** depth))
         if len(out["g"]) >= 4096:
             yield out
             out = {k: [] for k in out}
     yield out
 
 
-def _down(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+def _down(batches: Iterable[pa.RecordBatch], depth: int) -> Iterator[dict]:
     for run in _runs(batches, ("g", "block")):
-        top, nodes_in = run[0]["suffix"], run[1:]  # the message for the block sorts first
-        digests = [r["digest"] for r in nodes_in]
-        levels = _levels(len(digests), nodes_in[0]["n"])
+        top, nodes_in = run["suffix"][0].as_py(), run.slice(1)  # the message for the block sorts first
+        digests = nodes_in["digest"].to_pylist()
+        levels = _levels(nodes_in["n"][0].as_py(), depth)
         suffix = ([s["before"] for s in top], [s["after"] for s in top])
         proofs = sweep_down(sweep_up(digests, levels), len(digests), levels, suffix)
-        for lo in range(0, len(proofs), 1024):
-            part = proofs[lo:lo + 1024]
+        for lo in range(0, len(proofs), BATCH_ROWS):
+            part = proofs[lo:lo + BATCH_ROWS]
             ends = [0]
             for before, _ in part:
                 ends.append(ends[-1] + len(before))
             steps = pa.StructArray.from_arrays(
                 [pa.array([s for b, _ in part for s in b], pa.string()),
                  pa.array([s for _, a in part for s in a], pa.string())], ["before", "after"])
-            here = nodes_in[lo:lo + 1024]
-            yield {"g": [r["g"] for r in here], "pos": [r["pos"] for r in here],
-                   "digest": [r["digest"] for r in here],
+            here = nodes_in.slice(lo, len(part)).combine_chunks()
+            yield {**{c: _one(here[c]) for c in ("g", "pos", "digest", "row")},
                    "suffix": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), steps)}
 
 
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks)
+
+
 # ---- rounds, in Spark --------------------------------------------------------
 
 def _numbered(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
@@ -198,8 +207,10 @@ def _numbered(rows: DataFrame, group: list[str], order: list[str], name: str) ->
     return placed.withColumn("pos", (F.col("_before") + F.col("_inside") - 1).cast("long")).drop("_before", "_inside", "_part")
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("pos") / F.lit(FAN ** DEPTH)).cast("long"))
+def _blocks(nodes: DataFrame, depth: int) -> DataFrame:
+    size = F.lit(FAN ** depth).cast("long")
+    return nodes.withColumn("block", (F.col("pos") - F.pmod(F.col("pos"), size)) / size) \
+        .withColumn("block", F.col("block").cast("long"))
 
 
 def _swept(rows: DataFrame, *order: str) -> DataFrame:
@@ -207,34 +218,41 @@ def _swept(rows: DataFrame, *order: str) -> DataFrame:
     return rows.repartition("g", "block").sortWithinPartitions("g", "block", *order)
 
 
-def forest(leaves: DataFrame) -> list[DataFrame]:
+def forest(leaves: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
     """The rounds of the forward sweep. ``leaves``: g long, pos, digest, n. The
     last table holds one node per group: its root."""
     rounds = [leaves]
     rest = leaves.agg(F.max("n")).first()[0] or 0
     while True:
-        tops = map_arrow(_swept(_blocks(rounds[-1]).select("g", "block", "pos", "digest", "n"), "pos"),
-                         "g long, pos long, digest string, n long", _up)
+        nodes = _blocks(rounds[-1], depth).select("g", "block", "pos", "digest", "n")
+        tops = map_arrow(_swept(nodes, "pos"),
+                         "g long, pos long, digest string, n long", partial(_up, depth=depth))
         rounds.append(materialise(tops, "merkle-tops"))
-        if rest <= FAN ** DEPTH:
+        if rest <= FAN ** depth:
             return rounds
-        rest = -(-rest // FAN ** DEPTH)
+        rest = -(-rest // FAN ** depth)
 
 
-def proofs(rounds: list[DataFrame], suffixes: DataFrame) -> DataFrame:
-    """g, pos, digest, suffix (whole proof) of every leaf of the first round.
-    ``suffixes``: g, pos (0), suffix of each group's root."""
+def proofs(rounds: list[DataFrame], suffixes: DataFrame, row: Column | None = None, depth: int = DEPTH) -> DataFrame:
+    """g, pos, digest, suffix (whole proof) and ``row`` (a column of theirs that
+    is carried along) of every leaf of the first round. ``suffixes``: g, pos
+    (0), suffix of each group's root."""
     got = suffixes
-    for nodes in reversed(rounds[:-1]):
+    for k in range(len(rounds) - 2, -1, -1):
+        carried = (F.lit(None).cast("int") if k or row is None else row).alias("row")
+        rows = _blocks(rounds[k], depth).select("g", "block", "pos", "digest", "n",
+                                                F.lit(None).cast(PROOF).alias("suffix"), carried)
+        kind = rows.schema["row"].dataType.simpleString()
         message = got.select("g", F.col("pos").alias("block"), F.lit(-1).cast("long").alias("pos"),
-                             F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("n"), "suffix")
-        rows = _blocks(nodes).select("g", "block", "pos", "digest", "n", F.lit(None).cast(PROOF).alias("suffix"))
-        got = map_arrow(_swept(rows.unionByName(message), "pos"),
-                        f"g long, pos long, digest string, suffix {PROOF}", _down)
+                             F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("n"), "suffix",
+                             F.lit(None).cast(kind).alias("row"))
+        got = map_arrow(_swept(rows.union(message), "pos"),
+                        f"g long, pos long, digest string, row {kind}, suffix {PROOF}", partial(_down, depth=depth))
     return got
 
 
-def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "source", key: str = "doc_id") -> DataFrame:
+def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "source", key: str = "doc_id",
+             depth: int = DEPTH) -> DataFrame:
     """``docs`` without its ``fields`` other than ``group`` and ``key``, with
     ``leaf``, ``position`` in its group, ``subroot``, ``root`` and ``proof``: per
     level from the leaf up, the sibling digests before and after the node."""
@@ -248,19 +266,21 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "so
     groups = materialise(_numbered(firsts, ["_all"], ["_group"], "merkle-groups")
                          .select("_group", F.col("pos").alias("g")), "merkle-group-ids")
     placed = join_keyed(placed, groups, ["_group"], how="inner")
-    rounds = forest(placed.select("g", "pos", F.col("leaf").alias("digest"), "n"))
+    placed = placed.withColumn("digest", F.col("leaf"))
+    rounds = forest(placed, depth)
     subroots = rounds[-1]
     n_groups = groups.count()
     upper = forest(subroots.select(F.lit(0).cast("long").alias("g"), F.col("g").alias("pos"), "digest",
-                                   F.lit(n_groups).cast("long").alias("n")))
+                                   F.lit(n_groups).cast("long").alias("n")), depth)
     root = upper[-1].select(F.col("digest").alias("root"))  # one row
     none = upper[-1].select("g", "pos", F.array().cast(PROOF).alias("suffix"))
-    of_groups = materialise(proofs(upper, none).withColumnRenamed("digest", "subroot"), "merkle-group-proofs")
+    of_groups = materialise(proofs(upper, none, depth=depth).withColumnRenamed("digest", "subroot"), "merkle-group-proofs")
     tops = of_groups.select(F.col("pos").alias("g"), F.lit(0).cast("long").alias("pos"), "suffix")
-    of_leaves = proofs(rounds, tops).select(F.col("g"), F.col("pos"), F.col("suffix").alias("proof"))
-    sides = join_keyed(placed, of_groups.select(F.col("pos").alias("g"), "subroot"), ["g"], how="inner")
-    done = sides.join(of_leaves, ["g", "pos"], "inner").crossJoin(F.broadcast(root))  # one row
-    done = done.withColumnRenamed("pos", "position").withColumnsRenamed({"_group": group, "_key": key})
+    rounds[0] = join_keyed(placed, of_groups.select(F.col("pos").alias("g"), "subroot"), ["g"], how="inner")
+    found = proofs(rounds, tops, F.struct("_group", "_key", "subroot", "others"), depth)
+    done = found.select(F.col("row._group").alias(group), F.col("row._key").alias(key), F.col("row.others").alias("others"),
+                        F.col("digest").alias("leaf"), F.col("pos").alias("position"), F.col("row.subroot").alias("subroot"),
+                        F.col("suffix").alias("proof")).crossJoin(F.broadcast(root))  # one row
     return unpack(done, [*[c for c in kept.columns if c != "leaf"], "leaf", "position", "subroot", "root", "proof"])
 
 
@@ -302,15 +322,13 @@ def oracle(levels: int = 20) -> str:
     for k in range(levels):
         climb("u", k, "g")
     # climb with the proof and the folded digest, level by level
-    prev = "a0"
     ctes.append("p0 as (select doc_id, source, leaf, handed as f, '' as proof, pos from a0)")
     for k in range(levels):
         ctes.append(f"""p{k + 1} as materialized (select p.doc_id, p.source, p.leaf,
   case when s.real then sha256(s.b || p.f || s.a) else p.f end as f, p.proof || s.b || s.a as proof, p.pos // 3 as pos
   from p{k} p join ts{k} s on p.source is not distinct from s.source and p.pos = s.pos)""")
-    prev = f"p{levels}"
     ctes.append(f"""q0 as materialized (select p.doc_id, p.leaf, u.d as subroot, p.f, p.proof, u.pos
-  from {prev} p join u0 u on p.source is not distinct from u.source)""")
+  from p{levels} p join u0 u on p.source is not distinct from u.source)""")
     for k in range(levels):
         ctes.append(f"""q{k + 1} as materialized (select q.doc_id, q.leaf, q.subroot,
   case when s.real then sha256(s.b || q.f || s.a) else q.f end as f, q.proof || s.b || s.a as proof, q.pos // 3 as pos
