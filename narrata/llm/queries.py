@@ -17,11 +17,12 @@ from narrata.llm import (
     pii_bootstrap,
     prefix_bpe,
     rans,
+    runs,
     simhash,
     stable_ann,
     wrapper_html,
 )
-from narrata.llm.common import documents
+from narrata.llm.common import documents, words
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -123,3 +124,34 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op13_merkle_manifest"] = merkle.oracle()
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """The stand-in for repetitive texts: in every tenth document, by the hash of
+    its id, the words from some place on repeat the first few of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10).cast("long"), F.size("_words").cast("long")
+    times = F.lit(3) + g % 8
+    tail = F.slice("_words", (F.col("_a") + 1).cast("int"), F.col("_p").cast("int"))
+    again = F.slice(F.flatten(F.array_repeat(tail, times.cast("int"))), F.lit(1), (n - F.col("_a")).cast("int"))
+    # words are cut for the chosen documents only
+    cut = docs.withColumn("_words", F.when(h % 10 == 0, words()).otherwise(F.array().cast("array<string>"))) \
+        .withColumn("_a", F.when(n > 0, g % n).otherwise(0)) \
+        .withColumn("_p", 1 + F.floor((n - F.col("_a")) / times))
+    text = F.when(n > 0, F.array_join(F.concat(F.slice("_words", F.lit(1), F.col("_a").cast("int")), again), " ")).otherwise(F.col("text"))
+    return cut.select("doc_id", text.alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(with_periodic_tails(documents(spark, sf_dir)), min_length=12, with_text=False)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.withColumn("_longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("_longest.start")).alias("start"), F.col("_longest.length").alias("length"),
+        (-F.col("_longest.period")).alias("period"),
+        F.floor(1000 * F.col("_longest.length") / -F.col("_longest.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"))
