@@ -13,6 +13,7 @@ from narrata.llm import (
     gam,
     interpolated_lm,
     line_crf,
+    link_trust,
     merkle,
     pii_bootstrap,
     prefix_bpe,
@@ -155,3 +156,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(1000 * F.col("_longest.length") / -F.col("_longest.period")).cast("long").alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"))
+
+
+@query
+def op11_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judge(documents(spark, sf_dir, "pages")).drop("url")
+
+
+ORACLE["op11_link_trust"] = link_trust.oracle()
