@@ -12,7 +12,8 @@ links of a host to itself say nothing and go), weighted by linking pages; and
 one link each way between a host and its parent domain of two labels or more.
 A host's weights are shares of what leaves it. Seeds weigh by the share of a
 host's urls that rules allow or block. Mass that reaches a host without links
-is not dealt again, which scales all ranks alike; ranks are scaled to sum 1.
+is not dealt again, which scales all ranks alike; the ranks of the hosts that
+have urls are scaled to sum 1.
 
 Built-in functions only. Pages are reduced to (host, host, count) before any
 exchange but one; ranks are joined by broadcast if the checked number of hosts
@@ -109,8 +110,8 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS,
               salts: int = SALTS) -> DataFrame:
-    """kind (0 trust, 1 distrust), host, rank (sum 1 by kind). ``links``: src, dst,
-    n; ``seeds``: kind, host, seed (sum 1 by kind)."""
+    """kind (0 trust, 1 distrust), host, rank. ``links``: src, dst, n; ``seeds``:
+    kind, host, seed (sum 1 by kind)."""
     ways = links.select(F.lit(0).alias("kind"), "src", "dst", "n") \
         .union(links.select(F.lit(1), F.col("dst"), F.col("src"), "n"))
     leaving = ways.groupBy("kind", "src").agg(F.sum("n").alias("all"))
@@ -130,8 +131,7 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
             .groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if i % EVERY == 0 or i == rounds:
             ranks = materialise(ranks, "host-ranks")
-    totals = ranks.groupBy("kind").agg(F.sum("rank").alias("total"))  # two rows
-    return ranks.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("rank") / F.col("total")).alias("rank"))
+    return ranks
 
 
 def judge(pages: DataFrame, rules=RULES, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
@@ -154,9 +154,10 @@ def judge(pages: DataFrame, rules=RULES, share: float = SHARE, rounds: int = ROU
         both.filter(f"{c} > 0").select(F.lit(k).alias("kind"), "host", (F.col(c) / F.col(f"all_{c}")).alias("seed"))
         for k, c in enumerate("ab")]), "host-seeds")
     links = materialise(host_links(ruled.select("host", "html")), "host-graph")
-    nodes = links.select(F.col("src").alias("host")).union(links.select("dst")).union(shares.select("host")).distinct()
-    n_hosts = nodes.count()
-    ranks = propagate(links, seeds, rounds=rounds)
+    n_hosts = shares.count()
+    ranks = propagate(links, seeds, rounds=rounds).join(shares.select("host"), "host")
+    totals = ranks.groupBy("kind").agg(F.sum("rank").alias("total"))  # two rows
+    ranks = ranks.join(F.broadcast(totals), "kind").withColumn("rank", F.col("rank") / F.col("total"))
     of = lambda k: F.round(F.coalesce(F.max(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)), 9)
     hosts = materialise(ranks.groupBy("host").agg(of(0).alias("trust"), of(1).alias("distrust")), "host-scores")
     rest = [c for c in kept.columns if c != "html"]
@@ -207,7 +208,7 @@ links as materialized (select src, dst, sum(n) as n from (select src, dst, n fro
   union all select child, parent, 1 from chain union all select parent, child, 1 from chain) group by all),
 ways as (select 0 as kind, src, dst, n from links union all select 1, dst, src, n from links),
 edges as materialized (select kind, src, dst, n / sum(n) over (partition by kind, src) as w from ways),
-nodes as (select count(*) as n from (select src from links union select dst from links union select host from shares)),
+nodes as (select count(*) as n from shares),
 walk as (select 0 as round, kind, host, seed as rank from seeds
   union all
   select round + 1, kind, host, sum(rank) from (
@@ -216,7 +217,8 @@ walk as (select 0 as round, kind, host, seed as rank from seeds
     union all
     select r.round, s.kind, s.host, (1 - {damping}::double) * s.seed
     from (select distinct round, kind from walk where round < {rounds}) r join seeds s on s.kind = r.kind) group by round, kind, host),
-ranks as (select kind, host, rank / sum(rank) over (partition by kind) as rank from walk where round = {rounds}),
+ranks as (select kind, host, rank / sum(rank) over (partition by kind) as rank
+  from walk where round = {rounds} and host in (select host from shares)),
 scores as materialized (select host, round(coalesce(max(case when kind = 0 then rank end), 0), 9) as trust,
   round(coalesce(max(case when kind = 1 then rank end), 0), 9) as distrust from ranks group by host)
 select p.page_id, p.host, p.path, p.rule, coalesce(s.trust, 0) as trust, coalesce(s.distrust, 0) as distrust,
