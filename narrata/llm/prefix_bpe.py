@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -33,7 +34,8 @@ from tokenizers import Tokenizer
 
 from narrata.llm.common import map_arrow
 
-CACHE_WORDS = 250_000
+#: entries of the chunk cache and of the word cache of a task
+CACHE_WORDS = 600_000
 _CONTROL = "\x1c\x1d\x1e\x1f"  # str.split() cuts there, the tokenizer does not
 _SPACE = re.compile(r"(?:(?![\x1c-\x1f])\s)+")
 _END = "\x00"  # never produced by the byte alphabet
@@ -96,7 +98,8 @@ class PrefixBPE:
             body = s.removesuffix(self.suffix) + _END if self.suffix and s.endswith(self.suffix) else s
             self.automaton.add_word(body, (i, len(body)))
         self.automaton.make_automaton()
-        self.seams: dict[tuple[int, int], bool] = {}
+        self.size = size
+        self.seams: dict[int, bool] = {}  # by a * size + b
         self.right: dict[int, list[int]] = {}
         self.left: dict[int, list[int]] = {}
         self.cache: dict[str, bytes] = {}
@@ -118,7 +121,7 @@ class PrefixBPE:
         replay, in merge order, how the pieces at the seam grow; the seam is
         lost if the pieces facing each other merge before either grows. Of two
         equal merges the left one comes first."""
-        key = (a, b)
+        key = a * self.size + b
         known = self.seams.get(key)
         if known is not None:
             return known
@@ -138,7 +141,7 @@ class PrefixBPE:
                 i += 1
             else:
                 j += 1
-        if len(self.seams) > 4 * CACHE_WORDS:
+        if len(self.seams) > 2 * CACHE_WORDS:
             self.seams.clear()
         self.seams[key] = result
         return result
@@ -149,7 +152,7 @@ class PrefixBPE:
         s = piece + _END if self.suffix else piece
         last = [-1] * (len(s) + 1)
         step = [0] * (len(s) + 1)
-        seams, tolerates = self.seams, self.tolerates
+        known, tolerates, width = self.seams.get, self.tolerates, self.size
         for at, (token, size) in self.automaton.iter(s):
             end = at + 1
             if last[end] >= 0:
@@ -159,7 +162,7 @@ class PrefixBPE:
                 prev = last[before]
                 if prev < 0:
                     continue
-                ok = seams.get((prev, token))
+                ok = known(prev * width + token)
                 if ok is None:
                     ok = tolerates(prev, token)
                 if not ok:
@@ -189,7 +192,7 @@ class PrefixBPE:
             if ids is None:
                 if len(words) >= CACHE_WORDS:
                     words.clear()
-                ids = words[p] = np.array(self.word(p), dtype="<i4").tobytes()
+                ids = words[p] = array("i", self.word(p)).tobytes()
             out += ids
         if len(self.cache) >= CACHE_WORDS:
             self.cache.clear()
@@ -206,12 +209,15 @@ class PrefixBPE:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        get, miss = self.cache.get, self._chunk
-        out = []
         odd = any(c in text for c in _CONTROL)
-        for c in (_SPACE.split(text) if odd else text.split()):
-            b = get(c)
-            out.append(miss(c) if b is None else b)
+        chunks = _SPACE.split(text) if odd else text.split()
+        out = list(map(self.cache.get, chunks))
+        if None in out:
+            get, miss = self.cache.get, self._chunk
+            for k, b in enumerate(out):
+                if b is None:  # a chunk may recur in the text
+                    b = get(chunks[k])
+                    out[k] = miss(chunks[k]) if b is None else b
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
