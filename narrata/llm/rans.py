@@ -45,7 +45,9 @@ LANES = 1024
 STEPS = 256
 BLOCK_IDS = 1 << 20
 FILE_IDS = 8 << 20
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 700_000
+#: stands for the ids of a chunk that cannot be encoded apart from its text
+WHOLE = "whole"
 _LOW = np.uint64(1 << 31)
 _MAGIC = b"RNS1"
 _HEAD = struct.Struct("<4s6IQ")
@@ -205,7 +207,7 @@ class Chunked:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         if any(" " in t for t in self.special):
             raise ValueError("a special token holds a space")
-        self.cache: dict[str, bytes | None] = {}
+        self.cache: dict[str, bytes | str] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -214,7 +216,7 @@ class Chunked:
         chunks = []
         for c in new:
             if not c or c[0].isspace() or "<" in c and any(t in c for t in self.special):
-                self.cache[c] = None  # a text with such a chunk is not cut
+                self.cache[c] = WHOLE  # a text with such a chunk is not cut
             else:
                 chunks.append(c)
         if not chunks:
@@ -231,19 +233,18 @@ class Chunked:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit integers. A text's first
         chunk, which no space precedes, is encoded with the library each time."""
-        parts = [t.split(" ") for t in texts]
-        wanted = set().union(*[p[1:] for p in parts])
-        new = {c for c in wanted if c not in self.cache}
-        if len(self.cache) + len(new) > CACHE_CHUNKS:
+        if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
-            new = wanted
-        self._fill(new)
+        parts = [t.split(" ") for t in texts]
+        found = [list(map(self.cache.get, p[1:])) for p in parts]
+        missing = [[k for k, b in enumerate(f) if b is None] if None in f else () for f in found]
+        self._fill({p[k + 1] for p, m in zip(parts, missing, strict=True) for k in m})
         get, out = self.cache.__getitem__, []
-        for t, p in zip(texts, parts, strict=True):
-            try:
-                out.append(self._whole(p[0]) + b"".join(map(get, p[1:])))
-            except TypeError:  # a chunk without ids of its own
-                out.append(self._whole(t))
+        for t, p, f, m in zip(texts, parts, found, missing, strict=True):
+            for k in m:
+                f[k] = get(p[k + 1])
+            # a chunk without ids of its own: the text is not cut
+            out.append(self._whole(t) if WHOLE in f else self._whole(p[0]) + b"".join(f))
         return out
 
 
