@@ -95,14 +95,20 @@ def parse_date(c) -> Column:
     ).cast("date")
 
 
+HANGUL = (0xAC00, 0xD7A4)  # syllables: leading, vowel and trailing parts, 21 * 28 a lead
+_LEADS = "".join(map(chr, range(0x1100, 0x1113)))
+_VOWELS = "".join(map(chr, range(0x1161, 0x1176)))
+_TRAILS = "".join(map(chr, range(0x11A8, 0x11C3)))
+
+
 @lru_cache(maxsize=1)
 def accent_table() -> tuple[str, str, dict[str, str]]:
     """Accent stripping for every code point, derived from NFKD without its
     combining marks: a 1:1 table (source, target; marks, which vanish, are the
     sources beyond the targets) and the multi-character forms (ligatures,
-    fractions ...). Hangul syllables are left whole."""
+    fractions ...). Hangul syllables follow a rule instead of a table."""
     src, dst, gone, longer = [], [], [], {}
-    for cp in (*range(0xA0, 0xAC00), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)):
+    for cp in (*range(0xA0, HANGUL[0]), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)):
         ch = chr(cp)
         if unicodedata.combining(ch):
             gone.append(ch)
@@ -119,16 +125,47 @@ def accent_table() -> tuple[str, str, dict[str, str]]:
     return "".join(src + gone), "".join(dst), longer
 
 
+def _char_class(chars) -> str:
+    """Regex class of exactly these characters, as ranges."""
+    cps = sorted(map(ord, chars))
+    runs = []
+    for cp in cps:
+        if runs and runs[-1][1] == cp - 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return "[" + "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in runs) + "]"
+
+
+def _hangul_parts(ch: Column) -> Column:
+    """The two or three parts of one Hangul syllable, by arithmetic."""
+    at = F.ascii(ch) - HANGUL[0]
+    trail = at % 28
+    return F.concat(F.substring(F.lit(_LEADS), F.floor(at / 588).cast("int") + 1, F.lit(1)),
+                    F.substring(F.lit(_VOWELS), F.floor((at % 588) / 28).cast("int") + 1, F.lit(1)),
+                    F.when(trail > 0, F.substring(F.lit(_TRAILS), trail, F.lit(1))).otherwise(F.lit("")))
+
+
 def strip_accents(c) -> Column:
-    """NFKD without combining marks. Multi-character forms are spelt out only in
-    texts that hold a character beyond Latin letters that has one."""
+    """NFKD without combining marks. The distinct characters that change are
+    looked up once a text and replaced where they stand; a text without any
+    costs one search, plain ASCII text the cheapest one."""
     src, dst, longer = accent_table()
     t = _c(c)
-    keys = F.array(*[F.lit(k) for k in longer])
-    table = F.map_from_arrays(keys, F.array(*[F.lit(v) for v in longer.values()]))
-    spelt = F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    rare = r"[^\x{0}-\x{9f}\x{c0}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}]"
-    return F.translate(F.when(t.rlike(rare), spelt).otherwise(t), src, dst)
+    # one literal that the optimizer folds into a map
+    table = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in longer.items())), F.lit("\x02"), F.lit("\x01"))
+    beyond = r"[^\x{0}-\x{9f}]"
+    # looked at first, so that the many ranges of the class are not tried on ASCII
+    changing = f"(?={beyond})" + _char_class([*src, *longer, *map(chr, range(*HANGUL))])
+
+    def form(ch: Column) -> Column:
+        return (F.when(ch.between(chr(HANGUL[0]), chr(HANGUL[1] - 1)), _hangul_parts(ch))
+                .otherwise(F.coalesce(F.try_element_at(table, F.when(ch.rlike(_char_class(longer)), ch)),
+                                      F.translate(ch, src, dst))))
+
+    found = F.array_distinct(F.regexp_extract_all(t, F.lit(changing), F.lit(0)))
+    spelt = F.aggregate(found, t, lambda acc, ch: F.replace(acc, ch, form(ch)))
+    return F.when(t.rlike(beyond), spelt).otherwise(t)
 
 
 def round6(c) -> Column:
