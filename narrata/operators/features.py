@@ -82,12 +82,14 @@ def document_count(df: DataFrame) -> DataFrame:
 
 
 def tfidf_vocabulary(tf: DataFrame, n_docs: DataFrame, min_df: int = 5, max_df: float = 0.95,
-                     max_features: int = 50000) -> DataFrame:
+                     max_features: int = 50000, copies: str | None = None) -> DataFrame:
     """(term, df, idf, idx): terms kept by document frequency, the
     ``max_features`` of highest corpus count (ties by term), smoothed idf
     ln((1+N)/(1+df)) + 1, and a 0-based column index in term order.
-    ``n_docs`` is a one-row frame with the document count ``_N``."""
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    ``n_docs`` is a one-row frame with the document count ``_N``; ``copies``
+    names the multiplicity of a row's document, if it stands for several."""
+    m = F.col(copies) if copies else F.lit(1)
+    stats = tf.groupBy("term").agg(F.sum(m).alias("df"), F.sum(F.col("tf") * m).alias("total"))
     # one-row N joined on a constant key (broadcast of a single row)
     stats = stats.withColumn("_one", F.lit(1)).join(
         F.broadcast(n_docs.withColumn("_one", F.lit(1))), "_one").drop("_one")

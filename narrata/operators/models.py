@@ -14,8 +14,10 @@ the vocabulary behind the indices is bounded by ``max_features``.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, NaiveBayes, NaiveBayesModel
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
@@ -25,10 +27,10 @@ from pyspark.sql import functions as F
 
 from narrata.fixed_values import MAX_VOCAB, RANDOM_SEED
 from narrata.functions.text import strip_accents, tokenize
-from narrata.operators.features import (document_count, term_frequencies, tfidf_terms,
-                                        tfidf_vocabulary, vocab_build)
+from narrata.operators.features import term_frequencies, tfidf_terms, tfidf_vocabulary, vocab_build
 from narrata.operators.pooling import argmax
-from narrata.session import broadcast_bounded
+from narrata.operators.row_scoring import TermIndex, feature_column
+from narrata.session import broadcast_bounded, cut_lineage
 
 
 @F.udf(VectorUDT())
@@ -45,15 +47,24 @@ def to_vectors(long: DataFrame, id_col: str, value: str, size: int, out: str = "
                                           F.transform("_e", lambda e: e["v"])).alias(out))
 
 
-def balanced_weights(df: DataFrame, label: str) -> DataFrame:
-    """Adds ``weight`` = N / (C n_c) from the label counts (small table)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+def balanced_weights(df: DataFrame, label: str, copies: str | None = None) -> DataFrame:
+    """Adds ``weight`` = N / (C n_c) from the label counts (small table), times
+    the row's multiplicity where ``copies`` names it."""
+    m = F.col(copies).cast("double") if copies else F.lit(1.0)
+    counts = df.groupBy(label).agg(F.sum(m).alias("_nc"))
     w = Window.partitionBy()
     counts = counts.select(label, (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc")))
-                           .alias("weight"))
+                           .alias("_class_weight"))
     # one row per class: broadcast (a shuffle join on the class key would
     # send each class, however large, to one task)
-    return df.join(broadcast_bounded(counts), label)
+    return df.join(broadcast_bounded(counts), label).withColumn("weight", F.col("_class_weight") * m).drop("_class_weight")
+
+
+def distinct_rows(df: DataFrame, key: str, keep: list[str]) -> DataFrame:
+    """One row per ``key`` with the ``keep`` columns and ``copies``, its number of
+    rows. Oversampled classes are few texts drawn many times: everything
+    downstream works on the texts, weighted."""
+    return df.groupBy(key).agg(*[F.any_value(c).alias(c) for c in keep], F.count(F.lit(1)).alias("copies"))
 
 
 @dataclass
@@ -97,44 +108,98 @@ class TextClassifier:
         return cls(vocab, model.numFeatures, model, id_col, text)
 
 
-def _training_matrix(train: DataFrame, label: str, id_col: str, text: str, max_features: int,
-                     min_df: int, max_df: float, value: str = "weight"):
-    """(vocab, n_features, data, total weight): features built once and
-    written as Parquet in the shared folder, so the optimiser's passes and any
-    retry read vectors instead of re-tokenising the texts."""
-    from narrata.session import cut_lineage
-    tf = term_frequencies(train, id_col, text)
-    vocab = cut_lineage(tfidf_vocabulary(tf, document_count(train), min_df, max_df, max_features))
-    n_features = vocab.count()  # bounded by max_features; sizes the vectors
-    long = tfidf_terms(train, id_col, text, vocab=vocab)
-    feats = to_vectors(long, id_col, value, n_features)
-    labels = balanced_weights(train.select(id_col, F.col(label).cast("double").alias("label")), "label")
-    total_w = labels.agg(F.sum("weight")).first()[0]
-    empty = _sparse(F.lit(n_features), F.array().cast("array<int>"), F.array().cast("array<double>"))
-    data = labels.join(feats, id_col, "left").withColumn("features", F.coalesce("features", empty))
-    return vocab, n_features, cut_lineage(data), total_w
+@dataclass
+class TermMatrix:
+    """Sparse features of a training table, built once for all classifiers:
+    ``rows`` holds id, labels, copies, ``counts`` and ``features`` vectors."""
+    vocab: DataFrame
+    n_features: int
+    rows: DataFrame
+    id_col: str
+    text: str
 
 
-def train_tfidf_lr(train: DataFrame, label: str, id_col: str = "complaint_id",
-                   text: str = "narrative_clean", C: float = 1.0, max_iter: int = 100,
-                   max_features: int = 50000, min_df: int = 5, max_df: float = 0.95) -> TextClassifier:
-    vocab, n_features, data, total_w = _training_matrix(train, label, id_col, text, max_features,
-                                                        min_df, max_df)
+def term_matrix(train: DataFrame, labels: list[str], id_col: str = "complaint_id", text: str = "narrative_clean",
+                max_features: int = 50000, min_df: int = 5, max_df: float = 0.95,
+                copies: str | None = None) -> TermMatrix:
+    """Vocabulary and vectors of ``train``, written as Parquet in the shared
+    folder: the optimisers' passes and any retry read vectors, not texts. A
+    row with ``copies`` = m counts as m equal rows in every statistic."""
+    m = F.col(copies).cast("long") if copies else F.lit(1).cast("long")
+    base = cut_lineage(train.select(id_col, *labels, m.alias("copies"), F.col(text)), "train-texts")
+    tf = term_frequencies(base, id_col, text)
+    if copies:
+        tf = tf.join(base.select(id_col, "copies"), id_col)
+    n_docs = base.agg(F.sum("copies").alias("_N"))
+    vocab = cut_lineage(tfidf_vocabulary(tf, n_docs, min_df, max_df, max_features, "copies" if copies else None), "vocab")
+    index = TermIndex.of_vocab(vocab)
+    n = len(index.terms)  # bounded by max_features; sizes the vectors
+    encoded = base.withColumn("_f", feature_column(train.sparkSession, index, text))
+    rows = encoded.select(id_col, *labels, "copies",
+                          _sparse(F.lit(n), "_f.idx", "_f.tf").alias("counts"),
+                          _sparse(F.lit(n), "_f.idx", "_f.weight").alias("features"))
+    return TermMatrix(vocab, n, cut_lineage(rows, "matrix"), id_col, text)
+
+
+def _labelled(matrix: TermMatrix, label: str) -> DataFrame:
+    return balanced_weights(matrix.rows.where(F.col(label).isNotNull())
+                            .withColumn("label", F.col(label).cast("double")), "label", "copies")
+
+
+#: rows of one optimiser task: every task sends a whole gradient each pass
+ROWS_PER_TASK = 2000
+#: stop of the optimiser: its last passes improve the loss by less than this share of its start
+TOLERANCE = 1e-3
+
+
+def _few_tasks(data: DataFrame, n_rows: int) -> DataFrame:
+    """``data`` in about one task per ``ROWS_PER_TASK`` rows. A pass costs each
+    task a gradient of classes x terms, so small tables take few tasks."""
+    return data.coalesce(max(1, -(-n_rows // ROWS_PER_TASK)))
+
+
+def fit_lr(matrix: TermMatrix, label: str, C: float = 1.0, max_iter: int = 100,
+           tol: float = TOLERANCE) -> TextClassifier:
+    data = _labelled(matrix, label)
+    total_w, n_rows = data.agg(F.sum("weight"), F.count(F.lit(1))).first()
+    data = _few_tasks(data, n_rows)
     lr = LogisticRegression(family="multinomial", weightCol="weight", maxIter=max_iter,
-                            regParam=1.0 / (C * total_w), elasticNetParam=0.0,
+                            tol=tol, regParam=1.0 / (C * total_w), elasticNetParam=0.0,
                             standardization=False, fitIntercept=True)
-    model = lr.fit(data)
-    return TextClassifier(vocab, n_features, model, id_col, text)
+    return TextClassifier(matrix.vocab, matrix.n_features, lr.fit(data.select("label", "weight", "features")),
+                          matrix.id_col, matrix.text)
 
 
-def train_tfidf_nb(train: DataFrame, label: str, id_col: str = "complaint_id",
-                   text: str = "narrative_clean", smoothing: float = 1.0,
-                   max_features: int = 50000, min_df: int = 5, max_df: float = 0.95) -> TextClassifier:
+def fit_nb(matrix: TermMatrix, label: str, smoothing: float = 1.0) -> TextClassifier:
     """Multinomial naive Bayes on term counts over the fitted vocabulary."""
-    vocab, n_features, data, _ = _training_matrix(train, label, id_col, text, max_features,
-                                                  min_df, max_df, value="tf")
+    data = _labelled(matrix, label).select("label", "weight", F.col("counts").alias("features"))
     model = NaiveBayes(modelType="multinomial", smoothing=smoothing, weightCol="weight").fit(data)
-    return TextClassifier(vocab, n_features, model, id_col, text)
+    return TextClassifier(matrix.vocab, matrix.n_features, model, matrix.id_col, matrix.text)
+
+
+def train_tfidf_lr(train: DataFrame, label: str, id_col: str = "complaint_id",
+                   text: str = "narrative_clean", C: float = 1.0, max_iter: int = 100,
+                   max_features: int = 50000, min_df: int = 5, max_df: float = 0.95,
+                   copies: str | None = None) -> TextClassifier:
+    matrix = term_matrix(train, [label], id_col, text, max_features, min_df, max_df, copies)
+    return fit_lr(matrix, label, C, max_iter)
+
+
+def train_tfidf_nb(train: DataFrame, label: str, id_col: str = "complaint_id",
+                   text: str = "narrative_clean", smoothing: float = 1.0,
+                   max_features: int = 50000, min_df: int = 5, max_df: float = 0.95,
+                   copies: str | None = None) -> TextClassifier:
+    matrix = term_matrix(train, [label], id_col, text, max_features, min_df, max_df, copies)
+    return fit_nb(matrix, label, smoothing)
+
+
+def fit_together(fits: dict) -> dict:
+    """Run independent fits (name -> function without arguments) at the same
+    time: their jobs share the cluster, and one fit's driver steps overlap with
+    the others' tasks. Results by name, in order."""
+    with ThreadPoolExecutor(max_workers=max(1, len(fits))) as pool:
+        running = {name: pool.submit(inheritable_thread_target(fn)) for name, fn in fits.items()}
+        return {name: f.result() for name, f in running.items()}
 
 
 def save_labels(names: list[str], spark: SparkSession, path: str) -> None:
@@ -150,6 +215,7 @@ def load_labels(spark: SparkSession, path: str) -> list[str]:
 
 @dataclass
 class EmbeddingClassifier:
+    """Fitted word vectors and a classifier on their means."""
     w2v: Word2VecModel
     model: LogisticRegressionModel
     id_col: str
@@ -163,6 +229,14 @@ class EmbeddingClassifier:
     def load(cls, spark: SparkSession, path: str, id_col: str, text: str) -> "EmbeddingClassifier":
         return cls(Word2VecModel.load(f"{path}/w2v"), LogisticRegressionModel.load(f"{path}/model"), id_col, text)
 
+    def add_scores(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` with a (y_pred, confidence, proba) struct column ``name``; every
+        step works inside the row, so there is no exchange."""
+        x = df.withColumn("tokens", tokenize(self.text))
+        proba = vector_to_array("probability")
+        return self.model.transform(self.w2v.transform(x)).select(*df.columns, F.struct(
+            argmax(proba).cast("int").alias("y_pred"), F.array_max(proba).alias("confidence"), proba.alias("proba")).alias(name))
+
     def predict(self, df: DataFrame) -> DataFrame:
         x = df.select(self.id_col, tokenize(self.text).alias("tokens"))
         scored = self.model.transform(self.w2v.transform(x))
@@ -174,27 +248,29 @@ class EmbeddingClassifier:
 def train_word2vec_lr(train: DataFrame, label: str, id_col: str = "complaint_id",
                       text: str = "narrative_clean", dims: int = 128, min_count: int = 3,
                       max_iter: int = 100, seed: int = RANDOM_SEED, epochs: int = 15,
-                      max_vocab: int = MAX_VOCAB) -> EmbeddingClassifier:
+                      max_vocab: int = MAX_VOCAB, copies: str | None = None) -> EmbeddingClassifier:
     """Word2Vec means and logistic regression. The driver holds the word table,
-    so tokens are first limited to the ``max_vocab`` most frequent words."""
-    from narrata.session import cut_lineage
-    x = train.select(id_col, tokenize(text).alias("tokens"), F.col(label).cast("double").alias("label"))
+    so tokens are first limited to the ``max_vocab`` most frequent words. Word
+    vectors are learned from each row once; ``copies`` weighs the regression."""
+    m = F.col(copies).cast("long") if copies else F.lit(1).cast("long")
+    x = train.select(id_col, tokenize(text).alias("tokens"), F.col(label).cast("double").alias("label"), m.alias("copies"))
     vocab = vocab_build(train, text, max_vocab, min_count)
-    toks = x.select(id_col, "label", F.posexplode_outer("tokens").alias("pos", "token"))
+    toks = x.select(id_col, "label", "copies", F.posexplode_outer("tokens").alias("pos", "token"))
     known = toks.join(F.broadcast(vocab.select("token", "id")), "token", "left")  # at most max_vocab rows
     entry = F.when(F.col("id").isNotNull(), F.struct("pos", "token"))
-    x = cut_lineage(known.groupBy(F.col(id_col), "label")
+    x = cut_lineage(known.groupBy(F.col(id_col), "label", "copies")
                     .agg(F.array_sort(F.collect_list(entry)).alias("_t"))
-                    .select(id_col, "label", F.transform("_t", lambda t: t["token"]).alias("tokens")))
+                    .select(id_col, "label", "copies", F.transform("_t", lambda t: t["token"]).alias("tokens")))
     # numPartitions defaults to 1 (one training task): use the cluster
+    tasks = train.sparkSession.sparkContext.defaultParallelism
     w2v = Word2Vec(vectorSize=dims, minCount=min_count, seed=seed, inputCol="tokens",
                    outputCol="features", maxIter=epochs,
-                   numPartitions=train.sparkSession.sparkContext.defaultParallelism).fit(x)
-    data = balanced_weights(w2v.transform(x), "label")
-    total_w = data.agg(F.sum("weight")).first()[0]
-    lr = LogisticRegression(family="multinomial", weightCol="weight", maxIter=max_iter,
+                   numPartitions=tasks).fit(x)
+    data = cut_lineage(balanced_weights(w2v.transform(x), "label", "copies").select("label", "weight", "features"))
+    total_w, n_rows = data.agg(F.sum("weight"), F.count(F.lit(1))).first()
+    lr = LogisticRegression(family="multinomial", weightCol="weight", maxIter=max_iter, tol=TOLERANCE,
                             regParam=1.0 / total_w, standardization=False)
-    return EmbeddingClassifier(w2v, lr.fit(data), id_col, text)
+    return EmbeddingClassifier(w2v, lr.fit(_few_tasks(data, n_rows)), id_col, text)
 
 
 def coefficient_table(clf: TextClassifier) -> DataFrame:
@@ -204,6 +280,8 @@ def coefficient_table(clf: TextClassifier) -> DataFrame:
     import numpy as np
     import pandas as pd
     coef = clf.model.coefficientMatrix.toArray()
+    if coef.size > 5_000_000:  # callers broadcast it
+        raise ValueError("a coefficient table of more than 5,000,000 rows")
     c, j = np.meshgrid(np.arange(coef.shape[0]), np.arange(coef.shape[1]), indexing="ij")
     pdf = pd.DataFrame({"cls": c.ravel().astype("int32"), "idx": j.ravel().astype("int32"),
                         "coef": coef.ravel().astype("float64")})

@@ -13,12 +13,15 @@ from narrata.fixed_values import MAX_PER_CLASS, MIN_PER_CLASS
 from narrata.functions.text import round6
 from narrata.operators import metrics as mt
 from narrata.operators import models as ml
+from narrata.operators.attention import train_attention
+from narrata.operators.history import training_history
+from narrata.operators.row_scoring import add_scores
 from narrata.operators.summarize import summarize, summarize_groups
 from narrata.plans import oracle as o
 from narrata.plans.catalog import register
 from narrata.plans.prepare import filter_and_clean, prepare_pipeline
 from narrata.plans.queries_core import SEED
-from narrata.plans.score import triage_batch
+from narrata.plans.score import score_rows, triage_batch
 from narrata.session import cut_lineage, read_table, scratch_path
 from narrata.sources.fixtures import complaints
 
@@ -26,9 +29,13 @@ MAX_ITER = 1000  # the optimiser stops earlier by its tolerance
 
 
 def _splits(spark, sf):
+    """Train and test rows of the balanced sample: each complaint once a split,
+    with ``copies``, the number of its draws (an oversampled class is a few
+    texts drawn many times). Written once: fits and evaluation read them often."""
     df = prepare_pipeline(complaints(spark, sf), MAX_PER_CLASS, MIN_PER_CLASS, SEED)
-    # written once: training and evaluation read the splits many times
-    return cut_lineage(df.withColumn("row_id", F.col("complaint_id") * 100000 + F.col("draw")), "splits")
+    keep = ["narrative", "narrative_clean", "product", "product_encoded", "issue_group", "issue_group_encoded"]
+    once = ml.distinct_rows(df.withColumn("_k", F.struct("split", "complaint_id")), "_k", keep)
+    return cut_lineage(once.select("_k.split", F.col("_k.complaint_id").alias("row_id"), *keep, "copies"), "splits")
 
 
 def _all_rows(spark, sf):
@@ -37,56 +44,86 @@ def _all_rows(spark, sf):
     return filter_and_clean(complaints(spark, sf)).withColumn("row_id", F.col("complaint_id"))
 
 
-def _metrics(pred, truth, label):
-    j = pred.join(truth.select("row_id", F.col(label).alias("y_true")), "row_id")
-    m = mt.classification_metrics(j)
+def _test_rows(df):
+    """The test split, one row a draw again."""
+    return df.where("split = 'test'").withColumn("_draw", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+
+
+def _metrics(df, clf, label):
+    """Metrics over the drawn test rows; a text is scored once."""
+    scored = add_scores(df.where("split = 'test'"), {"m": clf}, "narrative_clean") \
+        if isinstance(clf, ml.TextClassifier) else clf.add_scores(df.where("split = 'test'"), "m")
+    judged = scored.select(F.col("m.y_pred").alias("y_pred"), F.col(label).alias("y_true"), "copies", F.lit("test").alias("split"))
+    m = mt.classification_metrics(_test_rows(judged))
     return m.select(*[round6(c).alias(c) if c != "n" else F.col(c) for c in m.columns])
 
 
+def _matrix(df):
+    """One term matrix of the training texts for every classifier."""
+    return ml.term_matrix(df.where("split = 'train'"), ["product_encoded", "issue_group_encoded"], "row_id",
+                          "narrative_clean", copies="copies")
+
+
 def _fit_lr(spark, sf, label="product_encoded"):
     df = _splits(spark, sf)
-    train = df.where("split = 'train'")
-    clf = ml.train_tfidf_lr(train, label, "row_id", "narrative_clean", max_iter=MAX_ITER)
-    return df, clf
+    return df, ml.fit_lr(_matrix(df), label, max_iter=MAX_ITER)
+
+
+def _fit_word2vec(df):
+    return ml.train_word2vec_lr(df.where("split = 'train'"), "product_encoded", "row_id", max_iter=MAX_ITER,
+                                copies="copies")
 
 
 @register("train_product")
 def q_train_product(spark, sf):
     df, clf = _fit_lr(spark, sf)
-    test = df.where("split = 'test'")
-    return _metrics(clf.predict(test), test, "product_encoded")
+    return _metrics(df, clf, "product_encoded")
 
 
 @register("train_issue_group")
 def q_train_issue_group(spark, sf):
     df, clf = _fit_lr(spark, sf, "issue_group_encoded")
-    test = df.where("split = 'test'")
-    return _metrics(clf.predict(test), test, "issue_group_encoded")
+    return _metrics(df, clf, "issue_group_encoded")
 
 
 @register("predict_batch")
 def q_predict_batch(spark, sf):
-    df, clf = _fit_lr(spark, sf)
-    p = clf.predict(_all_rows(spark, sf))
-    return p.select("row_id", "y_pred", round6("confidence").alias("confidence"),
-                    F.size("proba").alias("n_classes"))
+    """Every prepared complaint scored inside its row: no exchange after the fit."""
+    _, clf = _fit_lr(spark, sf)
+    p = add_scores(_all_rows(spark, sf), {"m": clf}, "narrative_clean")
+    return p.select("row_id", F.col("m.y_pred").alias("y_pred"), round6("m.confidence").alias("confidence"),
+                    F.size("m.proba").alias("n_classes"))
 
 
 @register("train_word2vec")
 def q_train_word2vec(spark, sf):
     df = _splits(spark, sf)
-    clf = ml.train_word2vec_lr(df.where("split = 'train'"), "product_encoded", "row_id",
-                               max_iter=MAX_ITER)
-    test = df.where("split = 'test'")
-    return _metrics(clf.predict(test), test, "product_encoded")
+    return _metrics(df, _fit_word2vec(df), "product_encoded")
+
+
+def _fit_attention(df):
+    return train_attention(df.where("split = 'train'"), df.where("split = 'val'"), "product_encoded", copies="copies")
+
+
+@register("train_attention")
+def q_train_attention(spark, sf):
+    """The early-stopped training run of the attention classifier, epoch by epoch."""
+    rows = training_history(_fit_attention(_splits(spark, sf)).history_frame(spark))
+    floats = ["train_loss", "val_loss", "val_f1_macro", "val_accuracy", "best_so_far"]
+    return rows.select("run", "epoch", *[round6(c).alias(c) for c in floats], "improved", "since_best", "stop")
+
+
+@register("attention_metrics")
+def q_attention_metrics(spark, sf):
+    """Test metrics of the attention classifier's best epoch."""
+    df = _splits(spark, sf)
+    return _metrics(df, _fit_attention(df), "product_encoded")
 
 
 @register("train_nb")
 def q_train_nb(spark, sf):
     df = _splits(spark, sf)
-    clf = ml.train_tfidf_nb(df.where("split = 'train'"), "product_encoded", "row_id")
-    test = df.where("split = 'test'")
-    return _metrics(clf.predict(test), test, "product_encoded")
+    return _metrics(df, ml.fit_nb(_matrix(df), "product_encoded"), "product_encoded")
 
 
 def _names(df, col="product"):
@@ -94,25 +131,22 @@ def _names(df, col="product"):
     return [r[col] for r in rows]  # one row per class
 
 
-def _fit_all(df):
-    """The three product models of one training split."""
-    train = df.where("split = 'train'")
-    return {"baseline": ml.train_tfidf_lr(train, "product_encoded", "row_id", "narrative_clean", max_iter=MAX_ITER),
-            "naive_bayes": ml.train_tfidf_nb(train, "product_encoded", "row_id"),
-            "word2vec": ml.train_word2vec_lr(train, "product_encoded", "row_id", max_iter=MAX_ITER)}
+def _fit_all(df, matrix, **more):
+    """The three product models of one training split, and ``more`` fits."""
+    return ml.fit_together({"baseline": lambda: ml.fit_lr(matrix, "product_encoded", max_iter=MAX_ITER),
+                            "naive_bayes": lambda: ml.fit_nb(matrix, "product_encoded"),
+                            "word2vec": lambda: _fit_word2vec(df), **more})
 
 
 @register("train_compare")
 def q_train_compare(spark, sf):
-    """Train every model, predict the test split, compare: one row a model."""
+    """Train every model, predict the test split in one pass, compare: one row a model."""
     df = _splits(spark, sf)
-    test = df.where("split = 'test'")
-    truth = test.select("row_id", F.col("product_encoded").alias("y_true"))
-    pred = None
-    for name, clf in _fit_all(df).items():
-        p = clf.predict(test).select("row_id", "y_pred", F.lit(name).alias("model"))
-        pred = p if pred is None else pred.unionByName(p)
-    return mt.compare_models(pred.join(truth, "row_id"))
+    models = _fit_all(df, _matrix(df))
+    scored = score_rows(df.where("split = 'test'"), models, "narrative_clean")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"{n}.y_pred").alias("y_pred")) for n in models]))
+    return mt.compare_models(_test_rows(scored).select(each.alias("p"), F.col("product_encoded").alias("y_true"))
+                             .select("p.model", "p.y_pred", "y_true"))
 
 
 @register("top_features")
@@ -150,10 +184,11 @@ def q_token_attribution(spark, sf):
 @register("triage_batch")
 def q_triage_batch(spark, sf):
     df = _splits(spark, sf)
-    issue = ml.train_tfidf_lr(df.where("split = 'train'"), "issue_group_encoded", "row_id", "narrative_clean",
-                              max_iter=MAX_ITER)
+    matrix = _matrix(df)
+    models = _fit_all(df, matrix, issue=lambda: ml.fit_lr(matrix, "issue_group_encoded", max_iter=MAX_ITER))
+    issue = models.pop("issue")
     rows = _all_rows(spark, sf).select("row_id", "narrative", "narrative_clean")
-    return triage_batch(cut_lineage(rows, "triage"), _fit_all(df), _names(df), "row_id",
+    return triage_batch(cut_lineage(rows, "triage"), models, _names(df), "row_id",
                         issue_model=issue, issue_names=_names(df, "issue_group"))
 
 
