@@ -116,3 +116,14 @@ def q_csv_scan(spark, sf):
     src.write_complaints_csv(complaints(spark, sf), path)
     raw = src.read_complaints_csv(spark, path)
     return scan_filter(raw).select("complaint_id", "date_received", "product", "issue", "narrative")
+
+
+@register("csv_ranges", f"""WITH {o.filtered_ctes()}
+SELECT complaint_id, date_received, product, issue, narrative FROM dedup""")
+def q_csv_ranges(spark, sf):
+    """The same landing files read in byte ranges, columns by header name."""
+    from narrata.plans.prepare import scan_filter
+    path = scratch_path(spark, "landing-ranges")
+    src.write_complaints_csv(complaints(spark, sf), path)
+    raw = src.read_complaints_ranges(spark, path)
+    return scan_filter(raw).select("complaint_id", "date_received", "product", "issue", "narrative")

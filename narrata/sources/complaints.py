@@ -2,9 +2,10 @@
 
 CSV landing files are read with a fixed all-string schema (no inference,
 no per-read type drift), renamed to snake_case and projected onto the
-expected columns; absent columns become typed null literals. A zipped or
-multi-line CSV is not splittable, so it is landed once as Parquet and every
-later job reads the Parquet (partition pruning on ``split``).
+expected columns; absent columns become typed null literals. Quoted multi-line
+files are read in byte ranges by many tasks (``quoted_csv``); a zipped one is
+not splittable. Files are landed once as Parquet and every later job reads the
+Parquet (partition pruning on ``split``).
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from narrata.sources.quoted_csv import read_csv
+
 # raw CSV header -> column name
 RAW_COLUMNS = {
     "Complaint ID": "complaint_id",
@@ -41,10 +44,12 @@ def read_complaints_csv(spark: SparkSession, path: str) -> DataFrame:
     """Raw complaint CSV (header, quoted multi-line fields) -> raw frame.
 
     The header is read as data-independent strings; only the eight known
-    columns are kept (pruned by the CSV reader), ids become bigint.
+    columns are kept (pruned by the CSV reader), ids become bigint. Each file is
+    one task's, and all files must have the first one's header, else the read
+    fails; :func:`read_complaints_ranges` has neither limit.
     """
     raw = (spark.read.option("header", True).option("multiLine", True)
-           .option("escape", '"').option("mode", "PERMISSIVE")
+           .option("escape", '"').option("mode", "PERMISSIVE").option("enforceSchema", False)
            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
            .csv(path))
     renamed = raw.select(*[F.col(f"`{k}`").alias(v) for k, v in RAW_COLUMNS.items()
@@ -53,6 +58,14 @@ def read_complaints_csv(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("complaint_id", F.expr("try_cast(complaint_id AS BIGINT)"))
 
 
+def read_complaints_ranges(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """As :func:`read_complaints_csv`, by byte ranges over many tasks; columns
+    are found by each file's own header."""
+    raw = read_csv(spark, path, list(RAW_COLUMNS))
+    out = raw.select(*[F.col(f"`{k}`").alias(v) for k, v in RAW_COLUMNS.items()])
+    return out.withColumn("complaint_id", F.expr("try_cast(complaint_id AS BIGINT)"))
+
+
 def write_complaints_csv(df: DataFrame, path: str) -> None:
     """Complaint rows as a landing CSV with the raw header names (quoted,
     multi-line fields, whitespace kept)."""
