@@ -21,14 +21,19 @@ from narrata.operators.split import stratified_split
 from narrata.session import cut_lineage
 
 
-def scan_filter(raw: DataFrame, date_cutoff: str = DATE_CUTOFF,
+def filter_rows(raw: DataFrame, date_cutoff: str = DATE_CUTOFF,
                 min_words: int = MIN_WORD_COUNT) -> DataFrame:
-    """Date, non-blank, word-count and product filters, then first-wins dedup."""
+    """Date, non-blank, word-count and product filters, row by row."""
     df = filter_date_cutoff(raw, date_cutoff)
     df = filter_blank(df)
     df = filter_min_words(df, min_words)
-    df = product_normalize(df)
-    return dedup_first(df, "narrative", "complaint_id")
+    return product_normalize(df)
+
+
+def scan_filter(raw: DataFrame, date_cutoff: str = DATE_CUTOFF,
+                min_words: int = MIN_WORD_COUNT) -> DataFrame:
+    """The row filters, then first-wins dedup."""
+    return dedup_first(filter_rows(raw, date_cutoff, min_words), "narrative", "complaint_id")
 
 
 def preprocess_texts(df: DataFrame, col: str = "narrative") -> DataFrame:

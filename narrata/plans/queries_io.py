@@ -127,3 +127,34 @@ def q_csv_ranges(spark, sf):
     src.write_complaints_csv(complaints(spark, sf), path)
     raw = src.read_complaints_ranges(spark, path)
     return scan_filter(raw).select("complaint_id", "date_received", "product", "issue", "narrative")
+
+
+@register("dedup_stream", f"""WITH {o.filtered_ctes()}
+SELECT complaint_id, product FROM dedup""")
+def q_dedup_stream(spark, sf):
+    """The filtered complaints arrive as files in id order, one a batch; repeats
+    across batches are dropped by keyed state."""
+    from pyspark.sql import functions as F
+
+    from narrata.plans.prepare import filter_rows
+    from narrata.streaming.dedup_stream import run_dedup_stream
+    rows = filter_rows(complaints(spark, sf)).select("complaint_id", "product", "narrative")
+    landed, out = scratch_path(spark, "dedup-in"), scratch_path(spark, "dedup-out")
+    top = rows.agg(F.max("complaint_id")).first()[0] or 0
+    for k in range(4):  # arrival order: a quarter of the ids at a time
+        ids = F.col("complaint_id")
+        rows.where((ids > top * k // 4 - (k == 0)) & (ids <= top * (k + 1) // 4)).coalesce(1) \
+            .write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    run_dedup_stream(stream, out, scratch_path(spark, "dedup-ckpt"))
+    return spark.read.schema(rows.schema).parquet(out).select("complaint_id", "product")
+
+
+@register("stream_summaries")
+def q_stream_summaries(spark, sf):
+    """TextRank summaries of the accepted rows of a document stream."""
+    from narrata.streaming.triage_stream import run_triage_stream
+    out = scratch_path(spark, "stream-sum")
+    run_triage_stream(spark, sf, scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt"),
+                      glob="documents.parquet", summaries_path=out)
+    return spark.read.parquet(out).select("doc_id", "summary")

@@ -149,6 +149,22 @@ def q_train_compare(spark, sf):
                              .select("p.model", "p.y_pred", "y_true"))
 
 
+@register("score_stream")
+def q_score_stream(spark, sf):
+    """The prepared complaints replayed as a file stream, scored inside the row."""
+    df = _splits(spark, sf)
+    models = {"naive_bayes": ml.fit_nb(_matrix(df), "product_encoded")}
+    rows = _all_rows(spark, sf).select("row_id", "narrative_clean")
+    landed, out = scratch_path(spark, "score-in"), scratch_path(spark, "score-out")
+    rows.write.parquet(landed)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    scored = score_rows(stream, models, "narrative_clean").select(
+        "row_id", F.col("naive_bayes.y_pred").alias("y_pred"), round6("naive_bayes.confidence").alias("confidence"))
+    scored.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "score-ckpt")) \
+        .trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(scored.schema).parquet(out)
+
+
 @register("top_features")
 def q_top_features(spark, sf):
     df, clf = _fit_lr(spark, sf)

@@ -4,10 +4,9 @@ The stateless part of the triage (validity gate, cleaning, word count,
 keyword priority, rule-based issue group) is a plain projection, so it runs
 unchanged on a stream: ``readStream`` -> projection -> file sink, exactly
 once through the checkpoint. Work that needs a whole batch (the TextRank
-summaries, model scoring with a fitted vocabulary) runs in ``foreachBatch``
-on each micro-batch. The original has no watermark, window or state; none
-is needed here (``dropDuplicatesWithinWatermark`` is the hook if arriving
-repeats must be dropped).
+summaries of accepted rows) runs in ``foreachBatch`` on each micro-batch.
+Fitted models score inside the row (``plans.score.score_rows``), on a stream as
+on a table; arriving repeats are dropped by ``streaming.dedup_stream``.
 """
 
 from __future__ import annotations
@@ -66,7 +65,8 @@ def run_triage_stream(spark: SparkSession, source_dir: str, out_path: str, check
         from narrata.operators.summarize import summarize
 
         def write_batch(batch: DataFrame, batch_id: int) -> None:
-            out = summarize(batch.select(id_col, text), id_col, text)
+            accepted = batch.where(F.coalesce(word_count(text), F.lit(0)) >= GATE_MIN_WORDS)
+            out = summarize(accepted.select(id_col, text), id_col, text)
             # a replayed batch overwrites its own folder
             out.write.mode("overwrite").parquet(f"{summaries_path}/batch_id={batch_id}")
         q2 = (open_source(spark, source_dir, glob=glob).writeStream
