@@ -5,10 +5,14 @@ the share of words on content lines decides whether the document stays. Base
 rules (minimum words, repeated three-word windows) reject before that.
 
 Training: a bounded, documented sample (``MAX_DOCS`` labelled documents of each
-quality, chosen by a hash, all lines of each) gives document labels; lines of good documents are content, lines of bad ones start as
-boilerplate and are re-decoded once, since bad documents also hold good lines.
-The weights maximise the penalised conditional likelihood (forward-backward,
-full-batch ascent). Without labels of both classes the prior weights stand.
+quality, chosen by a hash, all lines of each) gives document labels, not line
+labels. Those are learned by hard expectation-maximisation: the lines of a
+document are decoded, first by the prior weights, under the constraint that its
+label puts on its content share (at least ``MIN_CONTENT`` of the words of a good
+document, less of a bad one); the weights then maximise the penalised conditional
+likelihood of the decoded sequences (forward-backward, full-batch ascent), for
+``ROUNDS`` rounds. A good document may thus hold boilerplate lines and a bad one
+content. Without labels of both classes the prior weights stand.
 
 Scoring is one pass without a shuffle. Defined results: a null or empty text
 has no words and fails the base rules; blank lines carry no words and are not
@@ -33,6 +37,7 @@ MAX_DOCS = 1000
 MIN_CONTENT = 0.5
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
+ROUNDS = 5
 FEATURES = ("bias", "symbols", "doubled", "upper", "stutter", "repeats", "short", "digits",
             "seen", "code", "long_words", "open_end")
 _SYMBOLS, _DIGITS, _CODE = b"#*$%&|<>", b"0123456789", b"{}=;/\\_[]"
@@ -224,6 +229,30 @@ def _fit(model: Crf, buckets: list[tuple], rounds: int = 80, rate: float = 0.1,
     return Crf(*params)
 
 
+def constrained(model: Crf, x: np.ndarray, good: bool, min_content: float = MIN_CONTENT) -> np.ndarray:
+    """Labels of a document's lines under its own label: the decoding, with the
+    evidence for boilerplate shifted no further than the constraint asks."""
+    size = np.rint(1.0 / x[:, FEATURES.index("short")])
+    marks = model.viterbi(x)
+    met = lambda m: (size[~m].sum() >= min_content * size.sum()) == good
+    if met(marks):
+        return marks
+    sign = -1.0 if good else 1.0
+
+    def at(shift: float) -> np.ndarray:
+        w = model.weights.copy()
+        w[0] += sign * shift
+        return Crf(w, model.start, model.trans).viterbi(x)
+
+    low, high = 0.0, 1.0
+    while not met(at(high)) and high < 1e6:
+        low, high = high, 2 * high
+    for _ in range(12):
+        mid = (low + high) / 2
+        low, high = (low, mid) if met(at(mid)) else (mid, high)
+    return at(high)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Crf:
     """Fit on at most ``max_docs`` labelled documents per class; the sample is
     the lowest hashes of doc_id, so reruns agree."""
@@ -251,13 +280,16 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Crf:
     if not len(use) or len(set(q.tolist())) < 2:
         return Crf.prior()
     xs = [xs[k] for k in use]
-    marks = [np.full(len(f), c == 0, np.int64) for f, c in zip(xs, q, strict=True)]
-    model = _fit(Crf.prior(), _buckets(xs, marks))
-    for d in np.flatnonzero(q == 0):  # good lines inside bad documents
-        got = model.viterbi(xs[d])
-        if got.any():
-            marks[d] = got.astype(np.int64)
-    return _fit(model, _buckets(xs, marks), rounds=40)
+    return learn(xs, q == 1)
+
+
+def learn(xs: list[np.ndarray], good: np.ndarray, rounds: int = ROUNDS) -> Crf:
+    """Expectation-maximisation from document labels over line features."""
+    model = Crf.prior()
+    for _ in range(rounds):
+        marks = [constrained(model, f, g).astype(np.int64) for f, g in zip(xs, good.tolist(), strict=True)]
+        model = _fit(model, _buckets(xs, marks), rounds=40)
+    return model
 
 
 def judge(docs: DataFrame, model: Crf, min_content: float = MIN_CONTENT) -> DataFrame:
