@@ -8,21 +8,25 @@ degrees. A kd-tree over the projections yields neighbours in the order of
 their projected distance; each is verified on the original vector. The search
 of a query stops when a neighbour nearer than its k-th best so far would, with
 probability ``SURE``, already have come up: next projected distance^2 >
-quantile * (k-th distance)^2.
+quantile * (k-th distance / ``APPROX``)^2. The factor asks only for neighbours
+``APPROX`` times nearer than those found; without it (1) the test excludes
+next to nothing in few dimensions.
 
 Spark holds the tree: its upper cuts come from a bounded sample of the
 projections (``SAMPLE`` rows, lowest hashes) and deal every vector into blocks
 of about ``BLOCK`` rows; a task builds the lower tree of one block. Round one
 sends a query to its ``PROBES`` nearest blocks, round two to exactly those
 others that the stop test, with the k-th distance found, cannot exclude. All
-rows are indexed and no block is capped. Copies of a vector are one index
+rows are indexed and no block is capped; beyond ``BOX_ROWS`` blocks, whose boxes
+every task holds, blocks grow instead. Copies of a vector are one index
 entry that carries its smallest k + 1 ids, which is all a top-k can need, so a
 very common vector costs one entry.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do vectors of another length than the most
 frequent one; rows equal in id and vector count once; null ids take no part;
-ties go to the smaller id; fewer candidates than k give fewer rows.
+ties go to the smaller id; fewer candidates than k give fewer rows; of several
+vectors of one query id the smallest is asked.
 """
 
 from __future__ import annotations
@@ -39,6 +43,7 @@ from narrata.llm.common import arrow_spec, map_arrow, materialise
 
 DIMS = 8
 SURE = 0.98
+APPROX = 1.7
 BLOCK = 8192
 LEAF = 64
 PROBES = 2
@@ -59,6 +64,11 @@ def chi_square_quantile(p: float, dims: int = DIMS) -> float:
     return high
 
 
+def stop_quantile() -> float:
+    """Projected distance^2, as a multiple of the k-th distance^2, that ends a search."""
+    return chi_square_quantile(SURE) / APPROX ** 2
+
+
 def directions(dim: int) -> np.ndarray:
     """(dim + 1, DIMS) Gaussian (2-stable) directions, fixed by the seed."""
     return np.random.default_rng(SEED).standard_normal((dim + 1, DIMS))
@@ -196,10 +206,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         .agg(F.count("*").alias("n"), F.max("d").alias("d"), F.max("norm").alias("top")).first()
     if not head["n"]:
         return spark.createDataFrame([], out)
-    top, axes, quantile = head["top"] * (1 + 1e-9), directions(head["d"]), chi_square_quantile(SURE)
+    top, axes, quantile = head["top"] * (1 + 1e-9), directions(head["d"]), stop_quantile()
     depth = max(0, math.ceil(math.log2(head["n"] / BLOCK)))
-    if 2 ** depth > BOX_ROWS:
-        raise ValueError("too many blocks for the box table: raise BLOCK")
+    depth = min(depth, int(math.log2(BOX_ROWS)))
     sample = entries.orderBy(F.xxhash64("embedding")).limit(SAMPLE).toArrow()
     tree = UpperTree(project(_matrix(sample.column("embedding")), top, axes), depth)
 
@@ -212,7 +221,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     kind = entries.schema["embedding"].dataType.simpleString()
     index = materialise(map_arrow(entries, f"block int, embedding {kind}, ids array<long>, p array<double>", deal), "ann-index")
-    # one box a block: N / BLOCK rows, checked above
+    # one box a block: at most BOX_ROWS rows
     sides = index.groupBy("block").agg(*[f(F.col("p")[j]).alias(f"{n}{j}") for n, f in (("lo", F.min), ("hi", F.max))
                                          for j in range(DIMS)]).orderBy("block").toPandas()
     blocks = sides["block"].to_numpy()
