@@ -78,8 +78,10 @@ def op7_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", "copies", "taken",
-                        F.round("position", 9).alias("position"))
+    placed = mixed.select("doc_id", "size", "source_size", "target", "copies", "taken",
+                          F.round("position", 9).alias("position"))
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last()]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 ORACLE["op8_curriculum_mix"] = curriculum.ORACLE
