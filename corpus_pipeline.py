@@ -14,6 +14,7 @@ table passes through all stages.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,11 +48,20 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Op 9: exact ids of every text, and what they decode to."""
+    """Op 9: exact ids of every text, and what they decode to. ``file_no`` and
+    ``row_no`` are the place of the copy in the files of the mixture, which hold
+    the copies in training order (null where ``docs`` isn't read from files)."""
     import public_tokenizers
     path = public_tokenizers.path("word_bpe_49k.json")
-    coded = prefix_bpe.encode_decode(docs.select("doc_id", "source", "text"), path, ["doc_id", "source"])
-    return coded.select("doc_id", "source", F.size("ids").alias("n_tokens"), "ids", "decoded")
+    order = ["file_no", "row_no"]
+    try:
+        part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1)
+        placed = docs.select("doc_id", "source", "text", part.cast("int").alias("file_no"), F.col("_metadata.row_index").alias("row_no"))
+    except AnalysisException:  # a table that has no files
+        placed = docs.select("doc_id", "source", "text", F.lit(None).cast("int").alias("file_no"),
+                             F.lit(None).cast("long").alias("row_no"))
+    coded = prefix_bpe.encode_decode(placed, path, ["doc_id", "source", *order])
+    return coded.select("doc_id", "source", *order, F.size("ids").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [
