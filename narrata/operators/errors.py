@@ -9,6 +9,7 @@ from narrata.fixed_values import (ERROR_LONG_WORDS, ERROR_LOW_CONFIDENCE, ERROR_
                                   RANDOM_SEED)
 from narrata.functions.text import excerpt, word_count
 from narrata.keys import draw
+from narrata.session import broadcast_bounded
 
 
 def error_type(words, confidence):
@@ -76,7 +77,7 @@ def confidence_hist(pred: DataFrame, model: str = "model", bins: int = 30) -> Da
                                     F.avg("confidence").alias("mean"))
     # one stats row per model; broadcast, as a shuffle join on a handful of
     # model keys would put every prediction in a handful of tasks
-    j = pred.select(model, "confidence").join(F.broadcast(stats), model)
+    j = pred.select(model, "confidence").join(broadcast_bounded(stats), model)
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)) \
          .otherwise(F.floor((F.col("confidence") - F.col("lo")) / width))

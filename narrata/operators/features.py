@@ -13,6 +13,20 @@ from pyspark.sql import functions as F
 
 from narrata.fixed_values import MAX_LEN, MAX_VOCAB, MIN_FREQ, PAD_IDX, UNK_IDX
 from narrata.functions.text import strip_accents, tokenize
+from narrata.session import cut_lineage
+
+
+def reaching_rank(counts: DataFrame, col: str, n: int) -> DataFrame:
+    """Rows whose ``col`` is at least the ``n``-th largest: the first ``n`` and
+    those that tie with the last of them. A histogram of the values (few rows:
+    distinct counts) gives the bound, so that a top-n after it gathers about
+    ``n`` rows in all, not ``n`` of every partition."""
+    counts = cut_lineage(counts, "counts")  # read twice: one row per term
+    hist = counts.groupBy(F.col(col).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
+    above = F.sum("_rows").over(Window.orderBy(F.desc("_value")).rowsBetween(Window.unboundedPreceding, 0))
+    bound = hist.withColumn("_above", above).where(F.col("_above") >= n).agg(F.max("_value").alias("_bound"))  # one row
+    return counts.crossJoin(F.broadcast(bound)) \
+        .where(F.col("_bound").isNull() | (F.col(col) >= F.col("_bound"))).drop("_bound")
 
 
 def vocab_build(df: DataFrame, text: str, max_vocab: int = MAX_VOCAB,
@@ -22,7 +36,7 @@ def vocab_build(df: DataFrame, text: str, max_vocab: int = MAX_VOCAB,
     toks = df.select(F.explode(tokenize(text)).alias("token"))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("freq")) \
                  .where(F.col("freq") >= min_freq)
-    top = counts.orderBy(F.desc("freq"), "token").limit(max_vocab)
+    top = reaching_rank(counts, "freq", max_vocab).orderBy(F.desc("freq"), "token").limit(max_vocab)
     # at most max_vocab rows: the unpartitioned ranking is bounded
     w = Window.orderBy(F.desc("freq"), "token")
     return top.select("token", (F.row_number().over(w) + 1).cast("int").alias("id"), "freq")
@@ -94,7 +108,7 @@ def tfidf_vocabulary(tf: DataFrame, n_docs: DataFrame, min_df: int = 5, max_df:
     stats = stats.withColumn("_one", F.lit(1)).join(
         F.broadcast(n_docs.withColumn("_one", F.lit(1))), "_one").drop("_one")
     kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("_N")))
-    top = kept.orderBy(F.desc("total"), "term").limit(max_features)
+    top = reaching_rank(kept, "total", max_features).orderBy(F.desc("total"), "term").limit(max_features)
     idf = F.log((1 + F.col("_N")) / (1 + F.col("df"))) + 1
     w = Window.orderBy("term")  # bounded by max_features rows
     return top.select("term", "df", idf.alias("idf"),

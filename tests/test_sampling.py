@@ -135,3 +135,16 @@ def test_bounded_broadcast_refuses_large_tables(spark):
     assert broadcast_bounded(small, 5).count() == 5
     with pytest.raises(Exception, match="more than 4 rows"):
         broadcast_bounded(small, 4).collect()
+
+
+def test_vocab_of_the_most_frequent_with_ties(spark):
+    from narrata.operators.features import reaching_rank, vocab_build
+    words = [w for k, w in enumerate("m n a b c d e f".split()) for _ in range([9, 7, 4, 4, 4, 4, 2, 1][k])]
+    df = spark.createDataFrame([(" ".join(words[i::5]),) for i in range(5)], "t string").repartition(4)
+    for n, want in ((1, "m"), (3, "mna"), (5, "mnabc"), (50, "mnabcdef")):
+        got = vocab_build(df, "t", n, 1).orderBy("id").collect()
+        assert "".join(r.token for r in got) == want and [r.id for r in got] == list(range(2, 2 + len(got)))
+    counts = spark.createDataFrame([(w, words.count(w)) for w in set(words)], "token string, freq long")
+    assert {r.token for r in reaching_rank(counts, "freq", 3).collect()} == set("mnabcd")
+    assert reaching_rank(counts, "freq", 99).count() == 8
+    assert vocab_build(df.limit(0), "t").count() == 0
