@@ -293,7 +293,7 @@ def evaluate(val: DataFrame, p: dict[str, np.ndarray]) -> tuple[float, dict[tupl
 
 
 def train_attention(train: DataFrame, val: DataFrame, label: str, text: str = "narrative_clean", copies: str | None = None,
-                    max_len: int = MAX_LEN, dims: int = 128, n_batches: int = 8, rate: float = 1e-2, decay: float = 1e-4,
+                    max_len: int = MAX_LEN, dims: int = 64, n_batches: int = 4, rate: float = 1e-2, decay: float = 1e-4,
                     epochs: int = 15, patience: int = 3, max_vocab: int = MAX_VOCAB, min_freq: int = MIN_FREQ,
                     seed: int = RANDOM_SEED) -> AttentionClassifier:
     """Fit on ``train``, stop by ``val``. Classes weigh alike (balanced weights);
@@ -313,7 +313,8 @@ def train_attention(train: DataFrame, val: DataFrame, label: str, text: str = "n
     weights = {k: total / (len(counts) * n) for k, n in counts.items()}
     w = F.element_at(F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))]), F.col("label")) * F.col("copies")
     data = path.withColumn("weight", w)
-    held = cut_lineage(_encoded(val, text, label, tokens, max_len, copies), "attention-val")
+    held = cut_lineage(_encoded(val, text, label, tokens, max_len, copies)
+                       .repartition(max(1, -(-val.count() // ROWS_PER_TASK))), "attention-val")
     p = initial(max(tokens.values(), default=UNK_IDX) + 1, n_classes, dims, seed)
     adam = Adam(p, rate, decay)
     best, best_at, history = p, 0, []
