@@ -31,7 +31,7 @@ def test_only_model_queries_lack_an_oracle():
     assert set(catalog.QUERIES) - set(catalog.ORACLE) == {
         "train_product", "train_issue_group", "predict_batch", "train_word2vec", "train_nb",
         "train_compare", "top_features", "model_roundtrip", "token_attribution", "triage_batch",
-        "train_attention", "attention_metrics", "score_stream", "stream_summaries"}
+        "train_attention", "attention_metrics", "score_stream", "stream_summaries", "textrank_category_all"}
 
 
 def test_pipeline_queries_use_the_full_class_bounds(spark):
