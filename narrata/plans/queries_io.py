@@ -12,6 +12,7 @@ from narrata.plans.prepare import class_refresh, clean_new_batch, filter_and_cle
 from narrata.plans.queries_core import _PIPE, SEED
 from narrata.session import scratch_path
 from narrata.sources import complaints as src
+from narrata.sources.class_table import ClassTable
 from narrata.sources.fixtures import complaints
 
 REFRESH = "Credit reporting"
@@ -90,6 +91,19 @@ def q_class_refresh(spark, sf):
                       "product_encoded", "split")
 
 
+@register("class_refresh_table", _refresh_sql().replace("product_encoded, split FROM spl",
+          "product_encoded, issue_group_encoded, split FROM spl"))
+def q_class_refresh_table(spark, sf):
+    """The refresh on a table kept by class: all classes are written once, then the
+    new batch rewrites its own class and the table is read back."""
+    table = ClassTable(spark, scratch_path(spark, "classes"), MAX_PER_CLASS, MIN_PER_CLASS, SEED)
+    table.write(filter_and_clean(complaints(spark, sf)))
+    new = _api_rows(spark, sf).withColumn("complaint_id", F.expr("try_cast(complaint_id AS BIGINT)"))
+    table.replace(REFRESH, clean_new_batch(new))
+    return table.read().select("complaint_id", "draw", "product", "issue_group", "priority",
+                               "product_encoded", "issue_group_encoded", "split")
+
+
 @register("triage_stream", f"""SELECT doc_id, {o.wc_sql('text')} AS raw_words,
   {o.wc_sql('text')} >= 10 AS accepted,
   CASE WHEN {o.wc_sql('text')} >= 10 THEN {o.clean_sql('text')} END AS narrative_clean,
