@@ -10,10 +10,11 @@ from narrata.plans import oracle as o
 from narrata.plans.catalog import register
 from narrata.plans.prepare import class_refresh, clean_new_batch, filter_and_clean, prepare_pipeline
 from narrata.plans.queries_core import _PIPE, SEED
-from narrata.session import scratch_path
+from narrata.session import cut_lineage, scratch_path
 from narrata.sources import complaints as src
 from narrata.sources.class_table import ClassTable
 from narrata.sources.fixtures import complaints
+from narrata.sources.page_source import land_pages, register_api_pages
 
 REFRESH = "Credit reporting"
 
@@ -42,6 +43,29 @@ def q_api_pages(spark, sf):
     return _api_rows(spark, sf)
 
 
+@register("api_pages_source", "WITH" + _API_SQL + "\nSELECT * FROM api")
+def q_api_pages_source(spark, sf):
+    """The pages land as files and arrive through the paged source as a stream, the
+    second half after a restart; their hits are flattened into a Parquet sink."""
+    register_api_pages(spark)
+    raw = complaints(spark, sf)
+    pages = cut_lineage(src.to_api_pages(raw.where(lookup("product", PRODUCT_LABEL_MAP) == REFRESH)), "pages")
+    end = (pages.agg(F.max("page")).first()[0] or 0) + 1
+    # numbers without rows of the class are pages without hits
+    pages = spark.range(end).select(F.col("id").alias("page")).join(pages, "page", "left").fillna(
+        '{"hits": {"hits": []}}', ["body"])
+    folder, out, ckpt = (scratch_path(spark, x) for x in ("landed-pages", "page-rows", "page-ckpt"))
+    half = end // 2
+    schema = src.api_pages_flatten(pages, product=REFRESH).schema
+    for part in (F.col("page") < half, F.col("page") >= half):
+        land_pages(pages.where(part), folder)
+        stream = spark.readStream.format("api_pages").option("path", folder).load()
+        query = (src.api_pages_flatten(stream, product=REFRESH).writeStream.format("parquet")
+                 .option("checkpointLocation", ckpt).trigger(availableNow=True).start(out))
+        query.awaitTermination()
+    return spark.read.schema(schema).parquet(out)
+
+
 @register("union_batches", f"""WITH {o.complaints_cte()}
 SELECT complaint_id, product, narrative, CAST(NULL AS VARCHAR) AS issue FROM complaints WHERE complaint_id % 2 = 0
 UNION ALL
