@@ -66,8 +66,13 @@ def top_probabilities(df: DataFrame, id_col: str, proba: str, labels: list[str],
                       (F.col("e.key") == F.col("_pred")).alias("is_pred"))
 
 
-def normalize_weights(weights, k: int | None = None) -> Column:
-    """w / (max(w) + 1e-9), optionally only the first ``k`` entries."""
+def normalize_weights(weights, k: int | None = None, first: int | None = None) -> Column:
+    """w / (max(w) + 1e-9), optionally only the first ``k`` entries.
+
+    The maximum is that of all weights; with ``first`` the weights are cut to that many
+    before, and the maximum is that of those kept."""
+    if first is not None:
+        weights = F.slice(_c(weights), 1, first)
     out = let(_c(weights), lambda w: let(
         F.array_max(w), lambda mx: F.transform(w, lambda v: v / (mx + F.lit(1e-9)))))
     return F.slice(out, 1, k) if k else out

@@ -298,6 +298,18 @@ def q_token_weights_norm(spark, sf):
         "vec_id", (F.col("pos") + 1).alias("pos"), round6("w").alias("w"))
 
 
+@register("token_weights_clipped", """WITH e AS (
+  SELECT vec_id, list_transform(embedding[1:30], lambda x: abs(CAST(x AS DOUBLE))) AS w FROM embeddings)
+SELECT vec_id, CAST(unnest(generate_series(1, len(w))) AS INTEGER) AS pos,
+       round(unnest(list_transform(w, lambda v: v / (list_max(w) + 1e-9))), 6) AS w FROM e""")
+def q_token_weights_clipped(spark, sf):
+    """The first 30 weights over their own maximum."""
+    e = read_table(spark, sf, "embeddings")
+    w = normalize_weights(F.transform("embedding", lambda x: F.abs(x.cast("double"))), first=30)
+    return e.select("vec_id", F.posexplode(w).alias("pos", "w")).select(
+        "vec_id", (F.col("pos") + 1).alias("pos"), round6("w").alias("w"))
+
+
 _ATTENTION_V = [1.0, -1.0] * 32  # over the 64 dimensions of an embedding
 
 
@@ -325,6 +337,26 @@ def q_metrics_store(spark, sf):
     return metrics_roundtrip(fx.model_predictions(spark, sf), LABELS)
 
 
+@register("metrics_store_values", _M + ",\n" + o.per_class_ctes("models", model=True) + f""",
+{_LAB},
+codes AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS at
+          FROM (SELECT y_true AS c FROM models UNION SELECT y_pred FROM models)),
+n AS (SELECT model, y_true, y_pred, count(*) AS n FROM models GROUP BY ALL)
+SELECT pc.model, 'f1' AS part, lab.label AS row, CAST(NULL AS INTEGER) AS col, round(f1, 6) AS value
+FROM pc JOIN lab ON pc.cls = lab.code
+UNION ALL
+SELECT m.model, 'confusion', CAST(t.at AS VARCHAR), CAST(p.at AS INTEGER), CAST(coalesce(n.n, 0) AS DOUBLE)
+FROM (SELECT DISTINCT model FROM models) m CROSS JOIN codes t CROSS JOIN codes p
+LEFT JOIN n ON n.model = m.model AND n.y_true = t.c AND n.y_pred = p.c""")
+def q_metrics_store_values(spark, sf):
+    """Every value of the stored per-class map and confusion matrix, read back."""
+    from narrata.session import scratch_path
+    from narrata.sources.metrics_store import document_values, metrics_documents, read_metrics, write_metrics
+    path = scratch_path(spark, "metrics")
+    write_metrics(metrics_documents(fx.model_predictions(spark, sf), LABELS), path)
+    return document_values(read_metrics(spark, path))
+
+
 @register("comparison_csv", _M + ",\n" + o.per_class_ctes("models", model=True) + f"""
 SELECT model, {', '.join(o.round_half_up_sql(x, 4) + ' AS ' + c for x, c in [
     ('CAST(sum(tp) AS DOUBLE) / sum(support)', 'accuracy'), ('avg(precision)', 'precision_macro'),

@@ -15,7 +15,7 @@ from narrata.plans import oracle as o
 from narrata.plans.catalog import register
 from narrata.plans.prepare import filter_and_clean, prepare_pipeline
 from narrata.plans.queries_core import _BAL, _PIPE, SEED
-from narrata.session import read_table
+from narrata.session import cut_lineage, read_table, scratch_path
 from narrata.sources.fixtures import complaints
 from narrata.sources.stats import DIST_COLS, dataset_stats_long, dataset_stats_row
 
@@ -234,3 +234,38 @@ def q_dataset_stats_doc(spark, sf):
         doc = doc.withColumn(stat, F.array_join(F.transform(
             F.map_entries(stat), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), "|"))
     return doc
+
+
+@register("period_profile", _F + f""", v AS (SELECT strftime(date_received, '%Y-%m') AS year_month, date_received AS d,
+    {_RAW_WC} AS w, product, issue_group FROM prep)
+SELECT year_month, count(*) AS n_rows, min(d) AS first_day, max(d) AS last_day, count(w) AS n_values,
+       round(avg(w), 6) AS mean, round(stddev_samp(w), 6) AS std, CAST(min(w) AS BIGINT) AS min,
+       CAST(max(w) AS BIGINT) AS max, CAST(quantile_disc(w, 0.5) AS BIGINT) AS p50,
+       CAST(quantile_disc(w, 0.9) AS BIGINT) AS p90, CAST(quantile_disc(w, 0.99) AS BIGINT) AS p99,
+       count(DISTINCT product) AS n_product, count(DISTINCT issue_group) AS n_issue_group
+FROM v GROUP BY year_month""")
+def q_period_profile(spark, sf):
+    """Day profiles of two batches, stored and merged by month. Quantiles and distinct counts
+    are sketches: exact for months of up to about 4,096 rows and small sets, else within
+    the errors that the store states."""
+    from narrata.sources.profile_store import add_batch, day_profiles, merged_profile, period
+    prep = cut_lineage(_prep(spark, sf).select("complaint_id", "date_received", "narrative", "product", "issue_group"))
+    path = scratch_path(spark, "day-profiles")
+    for batch in (0, 1):
+        rows = prep.where(F.pmod("complaint_id", F.lit(2)) == batch)
+        add_batch(day_profiles(rows, "date_received", _raw_wc(), ["product", "issue_group"]), path, batch)
+    out = merged_profile(period(spark, path), [0.5, 0.9, 0.99],
+                         [F.date_format("day", "yyyy-MM").alias("year_month")])
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
+@register("length_histogram_wide", _F + f"""
+, v AS (SELECT least({_RAW_WC}, 600) AS v FROM prep),
+b AS (SELECT min(v) AS lo, max(v) AS hi FROM v),
+x AS (SELECT CAST(least(CASE WHEN hi = lo THEN 0 ELSE floor((v - lo) / ((hi - lo) / 70.0)) END, 69)
+                 AS INTEGER) AS bin, lo, (hi - lo) / 70.0 AS width FROM v, b)
+SELECT bin, CAST(count(*) AS BIGINT) AS n, round(lo + bin * width, 6) AS left_edge
+FROM x GROUP BY bin, lo, width""")
+def q_length_histogram_wide(spark, sf):
+    """The report's form of the length chart: clipped at 600 words, 70 bins."""
+    return pf.length_histogram(_prep(spark, sf), _raw_wc(), 600, 70)

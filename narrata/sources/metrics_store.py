@@ -43,6 +43,17 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(METRICS_SCHEMA).json(path)
 
 
+def document_values(docs: DataFrame) -> DataFrame:
+    """(model, part, row, col, value): the values of the per-class map (part "f1", row the
+    label) and of the matrix (part "confusion", row and column the class positions)."""
+    f1 = docs.select("model", F.lit("f1").alias("part"), F.explode("per_class_f1").alias("row", "value"))
+    f1 = f1.select("model", "part", "row", F.lit(None).cast("int").alias("col"), F.round("value", 6).alias("value"))
+    cells = docs.select("model", F.posexplode("confusion_matrix").alias("row", "cells"))
+    cells = cells.select("model", F.lit("confusion").alias("part"), F.col("row").cast("string").alias("row"),
+                         F.posexplode("cells").alias("col", "value"))
+    return f1.unionByName(cells.withColumn("value", F.col("value").cast("double")))
+
+
 def write_comparison_csv(table: DataFrame, path: str) -> None:
     table.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
