@@ -274,12 +274,14 @@ def train_word2vec_lr(train: DataFrame, label: str, id_col: str = "complaint_id"
 
 
 def coefficient_table(clf: TextClassifier) -> DataFrame:
-    """(cls, idx, coef) from the fitted coefficient matrix. The matrix is
+    """(cls, idx, coef) from the fitted coefficient matrix, for naive Bayes the
+    log probabilities of the terms. The matrix is
     model state held by the driver (classes x max_features, bounded); it is
     handed to Spark once through Arrow."""
     import numpy as np
     import pandas as pd
-    coef = clf.model.coefficientMatrix.toArray()
+    bayes = isinstance(clf.model, NaiveBayesModel)
+    coef = (clf.model.theta if bayes else clf.model.coefficientMatrix).toArray()
     if coef.size > 5_000_000:  # callers broadcast it
         raise ValueError("a coefficient table of more than 5,000,000 rows")
     c, j = np.meshgrid(np.arange(coef.shape[0]), np.arange(coef.shape[1]), indexing="ij")
@@ -288,9 +290,14 @@ def coefficient_table(clf: TextClassifier) -> DataFrame:
     return clf.vocab.sparkSession.createDataFrame(pdf, "cls int, idx int, coef double")
 
 
-def top_features(clf: TextClassifier, names: list[str], top_n: int = 20) -> DataFrame:
-    """(label, rank, term, coef): highest coefficients per class."""
+def top_features(clf: TextClassifier, names: list[str], top_n: int = 20,
+                 digits: int | None = None) -> DataFrame:
+    """(label, rank, term, coef): highest coefficients per class, ties by term.
+    With ``digits`` coefficients are rounded first, so that equal
+    counts tie whatever order their sums were taken in."""
     long = coefficient_table(clf)
+    if digits is not None:
+        long = long.withColumn("coef", F.round("coef", digits))
     j = long.join(F.broadcast(clf.vocab.select("idx", "term")), "idx")
     return rank_features(j, names, top_n)
 

@@ -15,6 +15,7 @@ from narrata.operators import metrics as mt
 from narrata.operators import models as ml
 from narrata.operators.attention import train_attention
 from narrata.operators.history import training_history
+from narrata.operators.labels import encode_labels
 from narrata.operators.row_scoring import add_scores
 from narrata.operators.summarize import summarize, summarize_groups
 from narrata.plans import oracle as o
@@ -208,6 +209,89 @@ def q_triage_batch(spark, sf):
                         issue_model=issue, issue_names=_names(df, "issue_group"))
 
 
+# --------------------------------------------------------------------------
+# naive Bayes has a closed form: parameters, predictions and attributions in SQL
+# --------------------------------------------------------------------------
+
+_NB = f"""WITH {o.filtered_ctes()},
+docs AS (SELECT complaint_id AS id, product,
+                regexp_extract_all(lower(strip_accents(narrative_clean)), '[\\p{{L}}\\p{{N}}_]+') AS t FROM prep),
+terms AS (SELECT id, product, unnest(list_concat(t, list_transform(generate_series(1, len(t) - 1),
+                                                                   lambda i: t[i] || ' ' || t[i + 1]))) AS term
+          FROM docs),
+tf AS (SELECT id, product, term, count(*) AS tf FROM terms GROUP BY ALL),
+n AS (SELECT count(*) AS big_n FROM docs),
+st AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term),
+top AS (SELECT term, df, ln((1 + big_n) / (1 + df)) + 1 AS idf FROM st, n
+        WHERE df >= 5 AND df <= 0.95 * big_n ORDER BY total DESC, term LIMIT 50000),
+cl AS (SELECT product, CAST(row_number() OVER (ORDER BY product) - 1 AS INTEGER) AS cls, count(*) AS nc
+       FROM prep GROUP BY product),
+wt AS (SELECT cl.*, big_n / ((SELECT count(*) FROM cl) * CAST(nc AS DOUBLE)) AS w FROM cl, n),
+ct AS (SELECT cls, term, sum(tf) * w AS s FROM tf JOIN top USING (term) JOIN wt USING (product) GROUP BY cls, term, w),
+tot AS (SELECT cls, sum(s) + (SELECT count(*) FROM top) AS t FROM ct GROUP BY cls),
+th AS (SELECT wt.product, cls, term, ln(coalesce(s, 0) + 1) - ln(t) AS lp
+       FROM wt CROSS JOIN top JOIN tot USING (cls) LEFT JOIN ct USING (cls, term)),
+sc AS (SELECT id, cls, sum(tf * lp) AS s FROM tf JOIN th USING (term) GROUP BY ALL),
+al AS (SELECT docs.id, wt.cls, coalesce(s, 0) AS s, max(coalesce(s, 0)) OVER (PARTITION BY docs.id) AS m
+       FROM docs CROSS JOIN wt LEFT JOIN sc ON sc.id = docs.id AND sc.cls = wt.cls),
+pd AS (SELECT id, min(cls) FILTER (WHERE s = m) AS y_pred, 1 / sum(exp(s - m)) AS confidence FROM al GROUP BY id)"""
+
+
+def _closed_nb(spark, sf):
+    """Naive Bayes on every prepared complaint, saved and loaded again."""
+    df = _all_rows(spark, sf).select("row_id", "product", "narrative_clean")
+    df = cut_lineage(encode_labels(cut_lineage(df), ("product",)))
+    clf = ml.fit_nb(ml.term_matrix(df, ["product_encoded"], "row_id"), "product_encoded")
+    path = scratch_path(spark, "bayes")
+    clf.save(path)
+    return df, ml.TextClassifier.load(spark, path, "row_id", "narrative_clean")
+
+
+@register("nb_parameters", _NB + "\nSELECT cls, term, round(lp, 6) AS log_prob FROM th")
+def q_nb_parameters(spark, sf):
+    """Log probability of every vocabulary term in every class."""
+    _, clf = _closed_nb(spark, sf)
+    terms = clf.vocab.select("idx", "term")
+    return ml.coefficient_table(clf).join(F.broadcast(terms), "idx").select(
+        "cls", "term", round6("coef").alias("log_prob"))
+
+
+@register("nb_top_features", _NB + """
+SELECT product AS label, CAST(row_number() OVER (PARTITION BY product ORDER BY round(lp, 9) DESC, term) AS INTEGER) AS rank,
+       term, round(lp, 6) AS log_prob FROM th QUALIFY rank <= 20""")
+def q_nb_top_features(spark, sf):
+    """The ranking step of the model report over the naive Bayes parameters."""
+    df, clf = _closed_nb(spark, sf)
+    return ml.top_features(clf, _names(df), digits=9).select("label", "rank", "term", round6("coef").alias("log_prob"))
+
+
+@register("nb_predict", _NB + """
+SELECT id AS row_id, y_pred, round(confidence, 6) AS confidence FROM pd""")
+def q_nb_predict(spark, sf):
+    """Predictions of the loaded naive Bayes model inside the row."""
+    df, clf = _closed_nb(spark, sf)
+    return add_scores(df, {"m": clf}, "narrative_clean").select(
+        "row_id", F.col("m.y_pred").alias("y_pred"), round6("m.confidence").alias("confidence"))
+
+
+@register("nb_attribution", _NB + f""",
+wd AS (SELECT id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN top USING (term)),
+nw AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM wd),
+raw AS (SELECT complaint_id AS id, {o.tokens_sql('narrative_clean')} AS t FROM prep),
+tk AS (SELECT id, unnest(generate_series(1, len(t))) AS pos, unnest(t) AS token FROM raw),
+ts AS (SELECT tk.id, pos, token, coalesce(lp * w, 0) AS s FROM tk JOIN pd USING (id)
+       LEFT JOIN nw ON nw.id = tk.id AND nw.term = strip_accents(token)
+       LEFT JOIN th ON th.cls = y_pred AND th.term = nw.term)
+SELECT id AS row_id, CAST(pos - 1 AS INTEGER) AS pos, token,
+       round(exp(s - max(s) OVER d) / sum(exp(s)) OVER d * exp(max(s) OVER d), 6) AS weight
+FROM ts WINDOW d AS (PARTITION BY id)""")
+def q_nb_attribution(spark, sf):
+    """Token weights of the predicted class, a softmax over each text."""
+    df, clf = _closed_nb(spark, sf)
+    pred = add_scores(df, {"m": clf}, "narrative_clean").select("row_id", F.col("m.y_pred").alias("y_pred"))
+    return ml.token_attribution(clf, df, pred).select("row_id", "pos", "token", round6("weight").alias("weight"))
+
+
 # --------------------------------------------------------------------------
 # summaries (pairwise brute-force SQL oracle)
 # --------------------------------------------------------------------------
