@@ -26,13 +26,15 @@ decoded, white space becomes one space, blocks are joined by a line feed.
 
 Defined results: a null or empty html has empty text; a null url is a host of
 its own; text outside any tag is a page's region if it has no other; repeated
-rows are extracted alike; other columns stay, ``text`` is replaced.
+rows are extracted alike; other columns stay whatever their names, ``text`` is replaced
+and ``html`` left out.
 """
 
 from __future__ import annotations
 
 import html
 import json
+import math
 from hashlib import blake2b
 import re
 import zlib
@@ -64,6 +66,13 @@ _WORDS = frozenset("ad ads advert advertisement adverts advertising banner bread
                    "navbar navigation newsletter notice notices pagination popup promo related replies reply respond "
                    "share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget complementary "
                    "contentinfo search alert modal overlay".split())
+#: words with another meaning too: furniture alone or among furniture words and parts of a page
+_AMBIGUOUS = frozenset("ad ads alert form menu notice notices related search share sharing skip social".split())
+_PARTS = frozenset("area article articles aside bar bars block body bottom box btn button buttons card cards center col column "
+                   "container content footer frame group header holder home icon icons image img inner input item items label "
+                   "leaderboard left link links list main mobile module more news outer page pages pane panel placeholder "
+                   "post posts rail region results right row section side site slot space stories story text this title "
+                   "tool tools to top unit video wrap wrapper zone".split())
 _MAIN = frozenset("article content entry main post story text body".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SPLIT = re.compile(r"[^a-z]+")
@@ -176,24 +185,36 @@ def wrapper_of(group: Group) -> list:
 
 
 def squares(items: list) -> list:
-    """Adjacent equal groups, and equal runs of up to four, as repeated groups."""
+    """Adjacent equal runs of groups, of any length, as repeated groups."""
     out: list = []
-    for x in items:
+    places: dict[str, list[int]] = {}
+
+    def add(x: list) -> None:
+        places.setdefault(x[0], []).append(len(out))
         out.append(x)
-        again = True
-        while again:
-            again = False
-            for k in range(1, 5):
-                if len(out) >= 2 * k and out[-1][0] != "#" and all(
-                        a[0] == b[0] for a, b in zip(out[-2 * k:-k], out[-k:], strict=True)):
-                    tail = out[-k:]
-                    del out[-k:]
-                    for j, b in enumerate(tail):
-                        out[j - k] = _merge(out[j - k], b, same_page=True)
-                        if out[j - k][0] != "#":
-                            out[j - k][2] = True
-                    again = True
-                    break
+
+    def repeat() -> int:
+        """Length of the shortest run that stands twice at the end, or 0."""
+        n = len(out)
+        for p in reversed(places[out[-1][0]][:-1]):
+            k = n - 1 - p
+            if 2 * k > n:
+                break
+            if all(out[n - 2 * k + j][0] == out[n - k + j][0] for j in range(k)):
+                return k
+        return 0
+
+    for x in items:
+        add(x)
+        while out[-1][0] != "#" and (k := repeat()):
+            tail = out[-k:]
+            del out[-k:]
+            for b in reversed(tail):
+                places[b[0]].pop()
+            for j, b in enumerate(tail):
+                out[j - k] = _merge(out[j - k], b, same_page=True)
+                if out[j - k][0] != "#":
+                    out[j - k][2] = True
     return out
 
 
@@ -204,6 +225,58 @@ def _merge(a: list, b: list, same_page: bool = False) -> list:
             align(a[4], b[4], same_page)]
 
 
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, the first tokens of ``a`` skipped on ties.
+
+    Row i holds, for the tails a[i:] and b[j:], the lengths of their longest common
+    subsequences as bits: a zero where one more token of b adds one. A row follows from
+    the next by a few operations on whole integers. Every ``step``-th row is kept and
+    those between are made again, so a group of 100,000 tokens takes some megabytes."""
+    n, m = len(a), len(b)
+    full = (1 << m) - 1
+    match: dict[str, int] = {}
+    for j, x in enumerate(b):
+        match[x] = match.get(x, 0) | 1 << (m - 1 - j)
+
+    def before(row: int, i: int) -> int:
+        hit = row & match.get(a[i], 0)
+        return (row + hit | row - hit) & full
+
+    step = max(1, math.isqrt(n))
+    row, kept = full, {n: full}
+    for i in range(n - 1, -1, -1):
+        row = before(row, i)
+        if i % step == 0:
+            kept[i] = row
+    rows: dict[int, int] = {}
+
+    def at(i: int) -> int:
+        if i not in rows:
+            top = min(n, (i // step + 1) * step)
+            r = kept[top]
+            rows.clear()
+            rows[top] = r
+            for k in range(top - 1, i // step * step - 1, -1):
+                r = rows[k] = before(r, k)
+        return rows[i]
+
+    def length(i: int, j: int) -> int:
+        low = (1 << (m - j)) - 1
+        return m - j - (at(i) & low).bit_count()
+
+    pairs: list[tuple[int, int]] = []
+    i = j = 0
+    while i < n and j < m:
+        if a[i] == b[j]:
+            pairs.append((i, j))
+            i, j = i + 1, j + 1
+        elif not at(i) >> (m - 1 - j) & 1 or length(i + 1, j) >= length(i, j + 1):
+            i += 1
+        else:
+            j += 1
+    return pairs
+
+
 def align(a: list, b: list, same_page: bool = False) -> list:
     """Both streams under one expression: common tokens merged, others optional."""
     n, m = len(a), len(b)
@@ -211,33 +284,8 @@ def align(a: list, b: list, same_page: bool = False) -> list:
     pairs: list[tuple[int, int]] = []
     if la == lb:
         pairs = [(i, i) for i in range(n)]
-    elif n * m <= 250_000:
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n - 1, -1, -1):
-            row, below = best[i], best[i + 1]
-            for j in range(m - 1, -1, -1):
-                row[j] = below[j + 1] + 1 if la[i] == lb[j] else max(below[j], row[j + 1])
-        i = j = 0
-        while i < n and j < m:
-            if la[i] == lb[j]:
-                pairs.append((i, j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-    else:  # very wide groups: next equal token, in order
-        places: dict[str, list[int]] = {}
-        for j, x in enumerate(lb):
-            places.setdefault(x, []).append(j)
-        last = -1
-        for i, x in enumerate(la):
-            q = places.get(x)
-            while q and q[0] <= last:
-                q.pop(0)
-            if q:
-                last = q.pop(0)
-                pairs.append((i, last))
+    else:
+        pairs = common(la, lb)
     out, i, j = [], 0, 0
     for p, q in [*pairs, (n, m)]:
         for x in [*a[i:p], *b[j:q]]:
@@ -267,7 +315,18 @@ def furniture(label: str, inside: bool) -> bool:
         return False
     if inside and _headed(label):
         words = [w for w in words if not w.startswith("#")]
-    return any(p in _WORDS for w in words for p in _SPLIT.split(w))
+    return any(map(_named, words))
+
+
+def _named(word: str) -> bool:
+    """Whether a class, id or role names furniture: ``share``, ``share-buttons`` and
+    ``comment-list`` do, ``share-price`` and ``ad-hoc`` don't. Of one or two letters, an
+    unknown part says nothing (``ad-xl``)."""
+    parts = [p for p in _SPLIT.split(word) if p]
+    found = [p for p in parts if p in _WORDS]
+    if any(p not in _AMBIGUOUS for p in found):
+        return True
+    return bool(found) and all(p in _WORDS or p in _PARTS or len(p) < 3 for p in parts)
 
 
 def _headed(label: str) -> bool:
@@ -476,7 +535,7 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (url, html, any more) with ``text``."""
-    keep = [f for f in pages.schema.fields if f.name not in ("text", "html", "_host", "_paths", "_keep", "_constant")]
+    keep = [f for f in pages.schema.fields if f.name not in ("text", "html")]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "text string"])
 
     def regions(batches):
@@ -486,11 +545,14 @@ def extract(pages: DataFrame) -> DataFrame:
 
     plans = map_arrow(infer(pages), "host string, _paths array<string>, _keep array<string>", regions)
     plans = materialise(plans.join(templates(pages), "host", "left"), "wrappers")  # one row a host
-    placed = join_keyed(pages.withColumn("_host", host_of()), plans.withColumnRenamed("host", "_host"), ["_host"])
+    plain = [F.col(f"`{f.name}`") for f in pages.schema.fields if f.dataType.typeName() in ("long", "integer", "string")]
+    own = pages.select(host_of().alias("host"), F.xxhash64(*plain).alias("at"), "html",
+                       F.struct(*[F.col(f"`{f.name}`") for f in keep]).alias("_row"))
+    placed = join_keyed(own, plans, ["host"])  # the caller's columns are inside one, so no names clash
 
     def read(batches):
         for b in batches:
-            yield {**{f.name: b.column(f.name) for f in keep},
+            yield {**{f.name: c for f, c in zip(keep, b.column("_row").flatten(), strict=True)},
                    "text": [main_text(parse(t or ""), p or [], frozenset(c or ()), frozenset(k or ())) for t, p, c, k in
                             zip(*(b.column(x).to_pylist() for x in ("html", "_paths", "_constant", "_keep")), strict=True)]}
 
