@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import map_arrow, materialise
+from narrata.llm.common import join_keyed, map_arrow, materialise
 
 LEAF = 32
 SPLIT = 50_000
@@ -287,10 +287,11 @@ def classes(fps: DataFrame, distance: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document."""
+    """(doc_id, fingerprint, component_id) of every document. Copies share a
+    fingerprint, so the class of a fingerprint reaches its documents by a salted join."""
     fps = materialise(fingerprints(docs, shingle), "simhash")
-    table = classes(fps, distance)
-    out = fps.join(table, fps["fp"] == table["node"])
+    table = materialise(classes(fps, distance).select(F.col("node").alias("fp"), "component_id"), "simhash-classes")
+    out = join_keyed(fps, table, ["fp"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
