@@ -41,12 +41,17 @@ def triage_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text",
         F.when(ok, issue_rule_confidence()).alias("issue_confidence"))
 
 
+#: input of one micro-batch: whole files up to about this size (one file at least)
+BYTES_PER_TRIGGER = 1 << 30
+
+
 def open_source(spark: SparkSession, source_dir: str, schema: T.StructType = DOCUMENT_SCHEMA,
-                glob: str | None = None, files_per_trigger: int = 1) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.parquet(source_dir)
+                glob: str | None = None, bytes_per_trigger: int = BYTES_PER_TRIGGER) -> DataFrame:
+    """A stream of the Parquet files under ``source_dir``, or of what ``glob``
+    names in it: a file, or a table that is a folder of files. The braces make
+    a name without wildcards a pattern too, which a single file needs."""
+    path = f"{source_dir.rstrip('/')}/{{{glob}}}" if glob else source_dir
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_trigger).parquet(path)
 
 
 def run_triage_stream(spark: SparkSession, source_dir: str, out_path: str, checkpoint: str,

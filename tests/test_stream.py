@@ -60,3 +60,18 @@ def test_summaries_of_accepted_rows_only(spark):
     ids = {r.doc_id for r in spark.read.parquet(f"{base}/out").where("accepted").collect()}
     got = [r.doc_id for r in spark.read.parquet(f"{base}/sum").collect()]
     assert len(got) == len(set(got)) and set(got) == ids
+
+
+def test_source_is_a_folder_of_files(spark):
+    """A table of several files lies in a folder of the table's name."""
+    base = tempfile.mkdtemp(prefix="narrata-test-", dir="/tmp")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(3).write.parquet(f"{base}/in/documents.parquet")
+    docs.limit(5).write.parquet(f"{base}/in/other.parquet")  # is not read
+    run_triage_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", glob="documents.parquet",
+                      summaries_path=f"{base}/sum")
+    got = spark.read.parquet(f"{base}/out")
+    want = triage_rows(docs)
+    assert got.count() == want.count() == 200
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
+    assert spark.read.parquet(f"{base}/sum").count() == got.where("accepted").count()
