@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from narrata.operators import attention as att
 from narrata.operators import models as ml
+from narrata.operators.features import documents_by_id, term_statistics, tfidf_terms
 from narrata.operators.history import training_history
 from narrata.operators.row_scoring import add_scores
 from narrata.session import scratch_path
@@ -50,6 +51,36 @@ def test_scores_in_the_row_equal_predict(spark, copied):
             assert mine.y_pred == p.y_pred and np.allclose(mine.proba, p.proba, atol=1e-12)
 
 
+def test_terms_are_weighed_inside_the_row(spark):
+    """Rows of one id are one document; words are exchanged with their text and as sums only."""
+    rows = [(1, "a b a b"), (1, "b c"), (2, "a b"), (2, None), (3, ""), (None, "c c"), (None, "a")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    stats = term_statistics(documents_by_id(df, "id", "text"))
+    assert "id" not in stats._jdf.queryExecution().analyzed().toString().split("\n")[0]
+    got = {r["term"]: (r["df"], r["total"]) for r in stats.collect()}
+    assert got == {"a": (3, 4), "b": (2, 4), "c": (2, 3), "a b": (2, 3), "b a": (1, 1), "b c": (1, 1), "c c": (1, 1)}
+    terms = tfidf_terms(df, "id", "text", min_df=2)
+    assert "Window" not in terms._jdf.queryExecution().optimizedPlan().toString()
+    tf = {(r["id"], r["term"]): r["tf"] for r in terms.collect()}
+    assert tf == {(1, "a"): 2, (1, "b"): 3, (1, "c"): 1, (1, "a b"): 2, (2, "a"): 1, (2, "b"): 1, (2, "a b"): 1,
+                  (None, "a"): 1, (None, "c"): 2}
+
+
+def test_attribution_inside_the_row(spark, copied):
+    once, _ = copied
+    clf = ml.train_tfidf_nb(once, "y", "row_id", copies="copies")
+    rows = spark.createDataFrame([(1, "cárd fraud unknown card"), (2, ""), (3, None), (None, "card")],
+                                 "row_id long, narrative_clean string")
+    att = ml.token_attribution(clf, rows, clf.predict(rows))
+    assert "Window" not in att._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["pos"]: (r["token"], r["weight"]) for r in att.where("row_id = 1").collect()}
+    assert att.count() == 4 and [got[i][0] for i in range(4)] == ["cárd", "fraud", "unknown", "card"]
+    coef = clf.model.theta.toArray()[1]
+    f = {r["term"]: coef[r["idx"]] * r["weight"] for r in tfidf_terms(rows, "row_id", "narrative_clean", vocab=clf.vocab).where("row_id = 1").collect()}
+    s = np.exp([f["card"], f["fraud"], 0.0, f["card"]])
+    assert np.allclose([got[i][1] for i in range(4)], s / s.sum(), atol=1e-12)
+
+
 def test_scores_on_a_stream(spark, copied):
     once, _ = copied
     clf = ml.train_tfidf_nb(once, "y", "row_id", copies="copies")
