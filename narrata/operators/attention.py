@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from narrata.fixed_values import MAX_LEN, MAX_VOCAB, MIN_FREQ, RANDOM_SEED, UNK_IDX
 from narrata.functions.text import tokenize
 from narrata.operators.features import vocab_build
-from narrata.session import cut_lineage, scratch_path, ship_package
+from narrata.session import bound_batches, cut_lineage, scratch_path, ship_package
 
 #: embedding rows of one gradient block, and tasks beyond which sums take two levels
 BLOCK_ROWS, FAN_IN = 512, 64
@@ -215,6 +215,7 @@ class AttentionClassifier:
         confidence, proba, and the attention weight of every kept token."""
         spark = df.sparkSession
         ship_package(spark)
+        bound_batches(spark)
         shared = spark.sparkContext.broadcast((self.parameters, self.tokens, self.max_len))
 
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -255,6 +256,7 @@ def _encoded(df: DataFrame, text: str, label: str, tokens: dict[str, int], max_l
     """ids (padded), label, copies: encoded inside the row."""
     spark = df.sparkSession
     ship_package(spark)
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(tokens)
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
