@@ -63,6 +63,14 @@ def prepare_pipeline(raw: DataFrame, max_per_class: int = MAX_PER_CLASS,
     df = filter_and_clean(raw)
     if materialize:
         df = cut_lineage(df)
+    return prepare_cleaned(df, max_per_class, min_per_class, seed, split_mode, materialize)
+
+
+def prepare_cleaned(df: DataFrame, max_per_class: int = MAX_PER_CLASS,
+                    min_per_class: int = MIN_PER_CLASS, seed: int = RANDOM_SEED,
+                    split_mode: str = "exact", materialize: bool = True) -> DataFrame:
+    """The second half of :func:`prepare_pipeline`, on rows that
+    :func:`filter_and_clean` made: balance -> encoders -> split."""
     df = balance_classes(df, "product", max_per_class, min_per_class, seed)
     df = encode_labels(df, ("product", "issue_group"))
     if materialize:
