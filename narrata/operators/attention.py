@@ -2,7 +2,8 @@
 
 Model: token embeddings, additive attention ``v . tanh(W e + b)`` over the
 tokens of a text (padding masked), the weighted mean of the embeddings, and a
-linear layer to the classes. There is no recurrent layer.
+linear layer to the classes. There is no recurrent layer and no position, so a
+chunk of texts computes each distinct token once, weighted by its count.
 
 Training is synchronous. The encoded texts lie in the shared folder in
 ``n_batches`` buckets dealt by a hash, each cut into tasks. A step reads one
@@ -54,42 +55,64 @@ def initial(n_tokens: int, n_classes: int, dims: int, seed: int) -> dict[str, np
             "c": np.zeros(n_classes)}
 
 
+def distinct_tokens(ids: np.ndarray, n_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of padded id rows in ascending order, padding left out, and how
+    often each row holds each of them."""
+    seen = np.zeros(n_tokens, dtype=bool)
+    seen[ids] = True
+    seen[0] = False
+    tokens = np.flatnonzero(seen)
+    column = np.zeros(n_tokens, dtype=np.int64)
+    column[tokens] = np.arange(len(tokens))
+    row, _ = np.nonzero(live := ids > 0)
+    at = row * len(tokens) + column[ids[live]]
+    return tokens, np.bincount(at, minlength=len(ids) * len(tokens)).reshape(len(ids), len(tokens))
+
+
 def forward(p: dict[str, np.ndarray], ids: np.ndarray):
-    """(embeddings, hidden, attention weights, context, class probabilities) of
-    padded id rows; a text without tokens has no weights and a zero context."""
-    x = p["E"][ids]
+    """(tokens, their embeddings, hidden, attention weight of one occurrence by
+    text and token, that of all its occurrences, context, class probabilities) of
+    padded id rows. The hidden layer and the score depend on the token alone, not
+    on its place, so they are computed once for each distinct token. A text
+    without tokens has no weights and a zero context."""
+    tokens, count = distinct_tokens(ids, len(p["E"]))
+    x = p["E"][tokens]
     h = np.tanh(x @ p["W"] + p["b"])
-    s = np.where(ids > 0, h @ p["v"], -np.inf)
-    top = s.max(axis=1, keepdims=True)
+    s = np.where(count > 0, h @ p["v"], -np.inf)
+    top = s.max(axis=1, keepdims=True, initial=-np.inf)
     e = np.exp(s - np.where(np.isfinite(top), top, 0.0))
-    z = e.sum(axis=1, keepdims=True)
+    z = (e * count).sum(axis=1, keepdims=True)
     a = np.divide(e, z, out=np.zeros_like(e), where=z > 0)
-    context = np.einsum("nl,nld->nd", a, x)
+    share = a * count
+    context = share @ x
     logits = context @ p["U"].T + p["c"]
     q = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return x, h, a, context, q / q.sum(axis=1, keepdims=True)
+    return tokens, x, h, a, share, context, q / q.sum(axis=1, keepdims=True)
+
+
+def token_weights(ids: np.ndarray, tokens: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Attention weight of every place of padded id rows, 0 for padding."""
+    out = np.zeros(ids.shape)
+    row, place = np.nonzero(ids)
+    out[row, place] = a[row, np.searchsorted(tokens, ids[row, place])]
+    return out
 
 
 def gradient(p: dict[str, np.ndarray], ids: np.ndarray, y: np.ndarray, w: np.ndarray):
     """Summed weighted cross entropy, its gradient by parameter, and the token
     rows that E's part covers."""
-    x, h, a, context, q = forward(p, ids)
+    tokens, x, h, _, share, context, q = forward(p, ids)
     loss = float(-(w * np.log(np.maximum(q[np.arange(len(y)), y], 1e-12))).sum())
     dz = q
     dz[np.arange(len(y)), y] -= 1.0
     dz *= w[:, None]
     dcontext = dz @ p["U"]
-    da = np.einsum("nld,nd->nl", x, dcontext)
-    ds = a * (da - (a * da).sum(axis=1, keepdims=True))
-    dpre = ds[..., None] * p["v"] * (1.0 - h * h)
-    dx = a[..., None] * dcontext[:, None, :] + dpre @ p["W"].T
-    g = {"U": dz.T @ context, "c": dz.sum(axis=0), "v": np.einsum("nl,nld->d", ds, h),
-         "W": np.einsum("nld,nle->de", x, dpre), "b": dpre.sum(axis=(0, 1))}
-    live = ids > 0
-    tokens, at = np.unique(ids[live], return_inverse=True)
-    rows = dx[live]
-    order = np.argsort(at, kind="stable")
-    g["E"] = np.add.reduceat(rows[order], np.searchsorted(at[order], np.arange(len(tokens)))) if len(tokens) else rows[:0]
+    da = dcontext @ x.T
+    # a token's score meets the same derivative at each of its places
+    ds = (share * (da - (share * da).sum(axis=1, keepdims=True))).sum(axis=0)
+    dpre = ds[:, None] * p["v"] * (1.0 - h * h)
+    g = {"U": dz.T @ context, "c": dz.sum(axis=0), "v": ds @ h, "W": x.T @ dpre, "b": dpre.sum(axis=0),
+         "E": share.T @ dcontext + dpre @ p["W"].T}
     return loss, g, tokens
 
 
@@ -123,10 +146,12 @@ def _step_parts(shared, dims: int):
             total, weight = total + loss, weight + float(w.sum())
             flat = np.concatenate([g[k].ravel() for k in _DENSE])
             dense = flat if dense is None else dense + flat
-            for k in np.unique(tokens // BLOCK_ROWS).tolist():
-                held = by_token.setdefault(k, np.zeros((BLOCK_ROWS, dims)))
-                mine = tokens // BLOCK_ROWS == k
-                held[tokens[mine] % BLOCK_ROWS] += g["E"][mine]
+            blocks = np.unique(tokens // BLOCK_ROWS)
+            ends = np.searchsorted(tokens, (blocks + 1) * BLOCK_ROWS).tolist()  # tokens ascend
+            for k, lo, hi in zip(blocks.tolist(), [0, *ends], ends):
+                if k not in by_token:
+                    by_token[k] = np.zeros((BLOCK_ROWS, dims))
+                by_token[k][tokens[lo:hi] % BLOCK_ROWS] += g["E"][lo:hi]
         if dense is None:
             return
         out = [_encode(-1, np.zeros(0), np.concatenate([[total, weight], dense]))]
@@ -227,7 +252,8 @@ class AttentionClassifier:
                     for i, t in enumerate(b[lo:lo + CHUNK]):
                         got = [tokens.get(x, UNK_IDX) for x in (t if t is not None else ())[:length]]
                         ids[i, :len(got)] = got
-                    _, _, a, _, q = forward(p, ids)
+                    kinds, _, _, a, _, _, q = forward(p, ids)
+                    a = token_weights(ids, kinds, a)
                     out += [{"y_pred": int(q[i].argmax()), "confidence": float(q[i].max()), "proba": q[i],
                              "weights": a[i, :int((ids[i] > 0).sum())]} for i in range(len(ids))]
                 yield pd.DataFrame(out, columns=["y_pred", "confidence", "proba", "weights"])
@@ -281,7 +307,7 @@ def evaluate(val: DataFrame, p: dict[str, np.ndarray]) -> tuple[float, dict[tupl
         for b in batches:
             y = b.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
             n = b.column("copies").to_numpy(zero_copy_only=False)
-            q = np.concatenate([forward(shared.value, _matrix(b.column("ids").slice(lo, CHUNK)))[4]
+            q = np.concatenate([forward(shared.value, _matrix(b.column("ids").slice(lo, CHUNK)))[-1]
                                 for lo in range(0, len(y), CHUNK)] or [np.zeros((0, 1))])
             loss = -np.log(np.maximum(q[np.arange(len(y)), y], 1e-12)) * n
             yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(q.argmax(axis=1)), pa.array(n), pa.array(loss)],

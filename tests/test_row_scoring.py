@@ -114,6 +114,24 @@ def test_gradient_matches_differences():
             assert abs(diff - full[i]) < 1e-5
 
 
+def test_forward_computes_each_token_once():
+    r = np.random.default_rng(2)
+    p = att.initial(20, 3, 5, 1)
+    ids = r.integers(0, 20, (8, 50))  # tokens come often, padding stands between them
+    ids[3], ids[ids == 7] = 0, 8
+    tokens, x, h, a, share, context, q = att.forward(p, ids)
+    assert tokens.tolist() == sorted(set(ids.ravel().tolist()) - {0}) and len(x) == len(h) == len(tokens)
+    weights = att.token_weights(ids, tokens, a)
+    for i, row in enumerate(ids):  # place by place
+        e = np.exp(np.tanh(p["E"][row] @ p["W"] + p["b"]) @ p["v"]) * (row > 0)
+        want = e / e.sum() if e.any() else e
+        logits = (want @ p["E"][row]) @ p["U"].T + p["c"]
+        assert np.allclose(weights[i], want) and np.allclose(context[i], want @ p["E"][row])
+        assert np.allclose(share[i].sum(), want.sum()) and np.allclose(q[i], np.exp(logits) / np.exp(logits).sum())
+    none = att.forward(p, np.zeros((2, 4), dtype=np.int64))
+    assert len(none[0]) == 0 and not none[-2].any() and np.allclose(none[-1].sum(axis=1), 1)
+
+
 def test_steps_sum_over_tasks(spark, monkeypatch):
     r = np.random.default_rng(1)
     p = att.initial(1300, 2, 4, 1)  # several parameter blocks
