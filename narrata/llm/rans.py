@@ -33,11 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark import TaskContext
 
-from narrata.llm.common import documents, is_small, join_keyed, map_arrow, materialise
+from narrata.llm.common import BATCH_ROWS, documents, is_small, join_keyed, map_arrow, materialise
 from narrata.session import scratch_path
 
 SCALE_BITS = 18
@@ -45,9 +46,14 @@ LANES = 1024
 STEPS = 256
 BLOCK_IDS = 1 << 20
 FILE_IDS = 8 << 20
-CACHE_CHUNKS = 700_000
-#: stands for the ids of a chunk that cannot be encoded apart from its text
-WHOLE = "whole"
+#: chunks of each of the cache's two generations
+CACHE_CHUNKS = 400_000
+#: bytes of the texts that are encoded at once
+TEXT_BYTES = 4_000_000
+#: longest first chunk of a text whose ids are kept
+FIRST_CHARS = 64
+#: stands for the ids of a chunk that cannot be encoded apart from its text; ids take a multiple of four bytes
+WHOLE = b"whole"
 _LOW = np.uint64(1 << 31)
 _MAGIC = b"RNS1"
 _HEAD = struct.Struct("<4s6IQ")
@@ -207,15 +213,19 @@ class Chunked:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         if any(" " in t for t in self.special):
             raise ValueError("a special token holds a space")
-        self.cache: dict[str, bytes | str] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _fill(self, new: set[str]) -> None:
+    def _fill(self, new: list[str]) -> None:
         chunks = []
         for c in new:
-            if not c or c[0].isspace() or "<" in c and any(t in c for t in self.special):
+            if (got := self.older.get(c)) is not None:
+                self.cache[c] = got
+            elif not c or c[0].isspace() or "<" in c and any(t in c for t in self.special):
                 self.cache[c] = WHOLE  # a text with such a chunk is not cut
             else:
                 chunks.append(c)
@@ -228,41 +238,92 @@ class Chunked:
             raise ValueError("a chunk does not begin with one space")
         raw = ids.tobytes()
         ends = [*(4 * cut[1:]).tolist(), len(raw)]
-        self.cache.update((c, raw[s:e]) for c, s, e in zip(chunks, (4 * cut).tolist(), ends, strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as little-endian 32-bit integers. A text's first
-        chunk, which no space precedes, is encoded with the library each time."""
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        parts = [t.split(" ") for t in texts]
-        found = [list(map(self.cache.get, p[1:])) for p in parts]
-        missing = [[k for k, b in enumerate(f) if b is None] if None in f else () for f in found]
-        self._fill({p[k + 1] for p, m in zip(parts, missing, strict=True) for k in m})
-        get, out = self.cache.__getitem__, []
-        for t, p, f, m in zip(texts, parts, found, missing, strict=True):
-            for k in m:
-                f[k] = get(p[k + 1])
-            # a chunk without ids of its own: the text is not cut
-            out.append(self._whole(t) if WHOLE in f else self._whole(p[0]) + b"".join(f))
-        return out
+        self.cache.update(zip(chunks, map(raw.__getitem__, map(slice, (4 * cut).tolist(), ends))))
+
+    def _first(self, chunk: str) -> bytes:
+        """Ids of a text's first chunk, which no space precedes."""
+        got = self.first.get(chunk)
+        if got is None:
+            got = self._whole(chunk)
+            if len(chunk) <= FIRST_CHARS:
+                self.first[chunk] = got
+        return got
+
+    def encode(self, texts: pa.Array, end: bytes = b"", dtype: str = "<u4") -> tuple[np.ndarray, pa.Array]:
+        """Numbers of ids and ids, as little-endian integers, of whole texts, ``end``
+        after each. Chunks are told apart by Arrow: Python sees each distinct chunk of
+        a batch once, and the texts' ids are gathered from the distinct chunks' ids."""
+        if not len(texts):
+            return np.zeros(0, np.int64), pa.array([], pa.binary())
+        if len(self.cache) > CACHE_CHUNKS:  # what is met again moves back
+            self.cache, self.older = {}, self.cache
+        if len(self.first) > CACHE_CHUNKS:
+            self.first.clear()
+        parts = pc.split_pattern(texts, " ")  # at least one part a text
+        n = np.asarray(pc.list_value_length(parts)).astype(np.int64)
+        begin = np.cumsum(n) - n
+        coded = parts.flatten().dictionary_encode()
+        piece = np.asarray(coded.indices).astype(np.int64)
+        chunks = coded.dictionary.to_pylist()
+        ids = list(map(self.cache.get, chunks))
+        if missing := [k for k, x in enumerate(ids) if x is None]:
+            self._fill([chunks[k] for k in missing])
+            for k in missing:
+                ids[k] = self.cache[chunks[k]]
+        # pieces: the distinct chunks, each text's beginning, the end, nothing
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        uncut = size == len(WHOLE)
+        for k in np.flatnonzero(uncut).tolist():
+            ids[k] = b""
+        later = np.ones(len(piece), bool)
+        later[begin] = False
+        text = np.repeat(np.arange(len(n)), n)
+        whole = np.bincount(text[later & uncut[piece]], minlength=len(n)) > 0
+        extra = [self._whole(texts[i].as_py()) if w else self._first(chunks[k])
+                 for i, (k, w) in enumerate(zip(piece[begin].tolist(), whole.tolist(), strict=True))] + [end, b""]
+        size = np.concatenate([np.where(uncut, 0, size), np.fromiter(map(len, extra), np.int64, len(extra))]) // 4
+        piece[later & whole[text]] = len(size) - 1
+        piece[begin] = len(chunks) + np.arange(len(n))
+        piece = np.insert(piece, begin + n, len(size) - 2)
+        flat = np.frombuffer(b"".join([*ids, *extra]), "<u4").astype(dtype)
+        length = size[piece]
+        shift = (np.cumsum(size) - size)[piece] - (np.cumsum(length) - length)
+        out = flat[np.repeat(shift, length) + np.arange(length.sum())]
+        per_text = np.add.reduceat(length, begin + np.arange(len(n)))
+        ends = np.concatenate([[0], np.cumsum(per_text)]) * out.itemsize
+        return per_text, pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(out)]).cast(pa.binary())
 
 
 _LOADED: dict[str, Chunked] = {}
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
-    """(doc_id, ids binary): ids of the whole text as u32, with ``end_id``."""
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``TEXT_BYTES`` bytes: the more texts, the fewer distinct chunks a word."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= TEXT_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def tokenize(docs: DataFrame, path: str, end_id: int = 2, dtype: str = "<u4") -> DataFrame:
+    """(doc_id, n, ids binary): number and ids of the whole text, with ``end_id``."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         enc = _LOADED.setdefault(path, None) or Chunked(path)
         _LOADED[path] = enc
-        for b in batches:
-            yield {"doc_id": b.column("doc_id"),
-                   "ids": [e + end for e in enc.encode([t or "" for t in b.column("text").to_pylist()])]}
+        for docs in _joined(batches):
+            n, ids = enc.encode(docs.column("text").fill_null(""), end, dtype)
+            for lo in range(0, len(n), BATCH_ROWS):
+                part = slice(lo, lo + BATCH_ROWS)
+                yield {"doc_id": docs.column("doc_id")[part], "n": pa.array(n[part]), "ids": ids[part]}
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, ids binary", run)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, n long, ids binary", run)
 
 
 # ----------------------------------------------------------------- files
@@ -294,14 +355,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, vocab
         raise ValueError("ids are staged as 16-bit integers")
     spark = docs.sparkSession
 
-    def narrow(batches):
-        for b in batches:
-            raw = b.column("ids").to_pylist()
-            yield {"doc_id": b.column("doc_id"), "n": [len(r) // 4 for r in raw],
-                   "ids": [np.frombuffer(r, "<u4").astype("<u2").tobytes() for r in raw]}
-
-    staged = materialise(map_arrow(tokenize(docs, tokenizer, end_id), "doc_id long, n long, ids binary", narrow),
-                         "rans-ids")
+    staged = materialise(tokenize(docs, tokenizer, end_id, "<u2"), "rans-ids")
     table = count_table(staged, vocab)
     spark.createDataFrame([(i, int(s)) for i, s in enumerate(table.slots.tolist())],
                           "id int, slots int").coalesce(1).write.parquet(f"{path}/table")

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from narrata.llm import (
@@ -111,6 +112,21 @@ def test_rans_round_trip(spark, docs, nothing, monkeypatch):
     assert rans.read_ids(spark, rans.write_ids(nothing, scratch_path(spark, "t"), path)).count() == 0
 
 
+def test_rans_encodes_distinct_chunks_of_a_batch(monkeypatch):
+    from tokenizers import Tokenizer
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["", " ", "word", "the cat and the dog and the cat", " lead", "trail ", "a  b", "tab\there x", "x <|endoftext|> y",
+             "the", "é ü 漢字 é", "line\nbreak in the text\n", "z" * 100 + " the " + "z" * 100, "\u00a0 wide \u2003 a"] * 2
+    monkeypatch.setattr(rans, "CACHE_CHUNKS", 5)  # emptied between the batches
+    chunked = rans.Chunked(path)
+    for part in (texts, texts[:3], texts[::-1], ["the cat"] * 3):
+        n, ids = chunked.encode(pa.array(part, pa.string()), np.array([2], "<u4").tobytes(), "<u2")
+        want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in part]
+        assert [np.frombuffer(x, "<u2").tolist() for x in ids.to_pylist()] == want and n.tolist() == list(map(len, want))
+    assert len(chunked.encode(pa.array([], pa.string()))[1]) == 0
+
+
 def test_rans_checkpoints_and_checksums():
     r = np.random.default_rng(1)
     ids = np.minimum(r.geometric(0.01, 700_000), 50_000).astype("<u2")
