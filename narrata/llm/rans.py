@@ -52,6 +52,12 @@ CACHE_CHUNKS = 400_000
 TEXT_BYTES = 4_000_000
 #: longest first chunk of a text whose ids are kept
 FIRST_CHARS = 64
+#: stands before a chunk that no space precedes
+GLUE = "\x01"
+_INK = r"[^\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+#: places inside a chunk where a pre-token always begins: a mark or line break after a Latin letter or digit, and
+#: a line's beginning after a single line break
+BREAKS = ("([0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,;:!?\n])", rf"({_INK}\n)({_INK})")
 #: stands for the ids of a chunk that cannot be encoded apart from its text; ids take a multiple of four bytes
 WHOLE = b"whole"
 _LOW = np.uint64(1 << 31)
@@ -195,11 +201,13 @@ class Chunked:
     """The library's encoder with a cache of text chunks.
 
     A single space before a non-space always begins a pre-token, so a text
-    without other spaces falls into chunks that are encoded independently. The
-    chunks a batch lacks are joined, one space before each, and encoded by the
-    library as one text; its ids are cut again where a token begins with the
-    space, which only a chunk's first token does. Texts with other spaces or
-    with a special token's string are encoded by the library as they are."""
+    without other spaces falls into chunks that are encoded independently; so do
+    a word, the marks behind it and a new line's first word, so that a word is encoded
+    once whatever marks follow it. The chunks a batch lacks are joined, one space (a line
+    break, if none precedes them) before each, and encoded by the library as one text; its
+    ids are cut again where a token begins with that character, which only a chunk's
+    first token does. Texts with other spaces or with a special token's string are encoded
+    by the library as they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -208,8 +216,9 @@ class Chunked:
         self.library.no_truncation()
         self.library.no_padding()
         vocab = self.library.get_vocab()
-        self.begins = np.zeros(max(vocab.values()) + 1, bool)
-        self.begins[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # the space's byte symbol
+        # ids whose tokens begin with a space or a line break (their byte symbols)
+        self.spaced, self.broken = (np.isin(np.arange(max(vocab.values()) + 1), [i for t, i in vocab.items() if t.startswith(x)])
+                                    for x in ("\u0120", "\u010a"))
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         if any(" " in t for t in self.special):
             raise ValueError("a special token holds a space")
@@ -220,25 +229,35 @@ class Chunked:
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _joined(self, chunks: list[str], mark: str, begins: np.ndarray, skip: int) -> list[bytes]:
+        """Ids of each chunk, without its first ``skip`` ids, from one text with a ``mark`` before each."""
+        ids = np.array(self.library.encode_batch_fast([mark + mark.join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.flatnonzero(begins[ids])
+        if len(cut) != len(chunks):
+            raise ValueError("a chunk does not begin with one mark")
+        raw = ids.tobytes()
+        ends = [*(4 * cut[1:]).tolist(), len(raw)]
+        return list(map(raw.__getitem__, map(slice, (4 * (cut + skip)).tolist(), ends)))
+
     def _fill(self, new: list[str]) -> None:
-        chunks = []
+        chunks, glued = [], []
         for c in new:
             if (got := self.older.get(c)) is not None:
                 self.cache[c] = got
-            elif not c or c[0].isspace() or "<" in c and any(t in c for t in self.special):
+            elif c.isalpha():
+                chunks.append(c)
+            elif not c or c[0].isspace():
                 self.cache[c] = WHOLE  # a text with such a chunk is not cut
-            else:
+            elif c[0] != GLUE:
                 chunks.append(c)
-        if not chunks:
-            return
-        text = " " + " ".join(chunks)
-        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        cut = np.flatnonzero(self.begins[ids])
-        if len(cut) != len(chunks):
-            raise ValueError("a chunk does not begin with one space")
-        raw = ids.tobytes()
-        ends = [*(4 * cut[1:]).tolist(), len(raw)]
-        self.cache.update(zip(chunks, map(raw.__getitem__, map(slice, (4 * cut).tolist(), ends))))
+            elif c[1:].split() == [c[1:]]:
+                glued.append(c)
+            else:
+                self.cache[c] = self._whole(c[1:])
+        if chunks:
+            self.cache.update(zip(chunks, self._joined(chunks, " ", self.spaced, 0), strict=True))
+        if glued:
+            self.cache.update(zip(glued, self._joined([c[1:] for c in glued], "\n", self.broken, 1), strict=True))
 
     def _first(self, chunk: str) -> bytes:
         """Ids of a text's first chunk, which no space precedes."""
@@ -259,7 +278,13 @@ class Chunked:
             self.cache, self.older = {}, self.cache
         if len(self.first) > CACHE_CHUNKS:
             self.first.clear()
-        parts = pc.split_pattern(texts, " ")  # at least one part a text
+        apart = pc.match_substring(texts, GLUE)
+        for t in self.special:
+            apart = pc.or_(apart, pc.match_substring(texts, t))
+        cut = pc.if_else(apart, "", texts)
+        for place in BREAKS:
+            cut = pc.replace_substring_regex(cut, place, rf"\1 {GLUE}\2")
+        parts = pc.split_pattern(cut, " ")  # at least one part a text
         n = np.asarray(pc.list_value_length(parts)).astype(np.int64)
         begin = np.cumsum(n) - n
         coded = parts.flatten().dictionary_encode()
@@ -278,7 +303,7 @@ class Chunked:
         later = np.ones(len(piece), bool)
         later[begin] = False
         text = np.repeat(np.arange(len(n)), n)
-        whole = np.bincount(text[later & uncut[piece]], minlength=len(n)) > 0
+        whole = np.asarray(apart) | (np.bincount(text[later & uncut[piece]], minlength=len(n)) > 0)
         extra = [self._whole(texts[i].as_py()) if w else self._first(chunks[k])
                  for i, (k, w) in enumerate(zip(piece[begin].tolist(), whole.tolist(), strict=True))] + [end, b""]
         size = np.concatenate([np.where(uncut, 0, size), np.fromiter(map(len, extra), np.int64, len(extra))]) // 4

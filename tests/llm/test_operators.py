@@ -127,6 +127,20 @@ def test_rans_encodes_distinct_chunks_of_a_batch(monkeypatch):
     assert len(chunked.encode(pa.array([], pa.string()))[1]) == 0
 
 
+def test_rans_word_is_encoded_once_whatever_follows():
+    """Marks and line breaks behind a word are chunks of their own, with the library's ids."""
+    from tokenizers import Tokenizer
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    chunked = rans.Chunked(path)
+    texts = ["so a word, a word. A word.\nNext word?! word", "a\nb\nc.\n\nd", "a\u00a0\nb", "a\n\u00a0\u00a0b", "x.\u2028\ny",
+             "e.\u0301 e.,: 1.5 a.b's \u4e00\nc", "a \x01, b", "<|endoftext|>\na.", "a.\n", "a\n b", "a\n\tb", "a. "]
+    n, ids = chunked.encode(pa.array(texts))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids.to_pylist()] == want and n.tolist() == list(map(len, want))
+    assert "word" in chunked.cache and not any(c.startswith("word") and c != "word" for c in chunked.cache)
+
+
 def test_rans_checkpoints_and_checksums():
     r = np.random.default_rng(1)
     ids = np.minimum(r.geometric(0.01, 700_000), 50_000).astype("<u2")
